@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, simhash, substrings, toxicity
+from . import classlm, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -26,8 +26,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), toxicity.labels_of(spark, sf_dir))
 
 
+def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_substrings": op3_substrings, "op7_toxicity": op7_toxicity}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_secrets": op2_secrets,
+        "op3_substrings": op3_substrings,
+        "op7_toxicity": op7_toxicity,
+        "op10_classlm": op10_classlm,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
