@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, secrets, simhash, substrings, toxicity
+from . import classlm, decontaminate, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), decontaminate.benchmark_of(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), toxicity.labels_of(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_secrets": op2_secrets,
         "op3_substrings": op3_substrings,
+        "op4_decontaminate": op4_decontaminate,
         "op7_toxicity": op7_toxicity,
         "op10_classlm": op10_classlm,
     }
