@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, decontaminate, secrets, simhash, substrings, toxicity
+from . import binary, bpe, classlm, decontaminate, lengths, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -26,10 +26,22 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), decontaminate.benchmark_of(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.token_counts(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), toxicity.labels_of(spark, sf_dir))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(documents(spark, sf_dir))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
 def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(documents(spark, sf_dir))
 
@@ -40,7 +52,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_substrings": op3_substrings,
         "op4_decontaminate": op4_decontaminate,
+        "op5_token_counts": op5_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_token_files": op8_token_files,
+        "op9_bpe": op9_bpe,
         "op10_classlm": op10_classlm,
     }
 
