@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, classlm, decontaminate, lengths, secrets, simhash, substrings, toxicity
+from . import binary, bpe, classlm, decontaminate, lengths, quality, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), quality.labels_of(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), toxicity.labels_of(spark, sf_dir))
 
@@ -46,6 +50,12 @@ def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -53,10 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substrings": op3_substrings,
         "op4_decontaminate": op4_decontaminate,
         "op5_token_counts": op5_token_counts,
+        "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_token_files": op8_token_files,
         "op9_bpe": op9_bpe,
         "op10_classlm": op10_classlm,
+        "pipeline": pipeline,
     }
 
 

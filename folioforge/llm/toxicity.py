@@ -10,6 +10,7 @@ over the terms is then trained on the posterior labels and scores every text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,14 +23,15 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Kinds of terms: whole words (0) and word beginnings of so many letters.
-KINDS = (0, 3, 4, 5)
+KINDS = (0, 3, 4, 5, 6, 7)
 #: Voters of each kind; with the two counting voters there are 14, so at most 2**14 vote patterns.
-FOLDS = 3
+FOLDS = 2
 #: Bounds of the fit: terms that are kept, labelled training rows from which they are mined (the first by hash of
 #: doc_id), and training rows on which the linear classifier is fitted (likewise).
 MAX_TERMS, MAX_MINE_ROWS, MAX_FIT_ROWS = 600, 100_000, 20_000
-#: A term needs so many toxic training rows, and a gain (half of G2) beyond what chance gives one of many terms.
-LEAST_ROWS, LEAST_GAIN = 4, 7.0
+#: A term needs so many toxic training rows; its gain (half of G2) must pass the log of the number of such terms plus MARGIN,
+#: so that chance gives few.
+LEAST_ROWS, MARGIN = 4, -2.0
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,13 +90,14 @@ def mine(docs: DataFrame, known: DataFrame) -> list[tuple[str, float, float]]:
     counts = docs.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = common.written(counts, common.work_dir(spark, "terms"), "counts")
     total = counts.where("term = ''").first()
+    least = math.log(max(1, counts.where(F.col("pos") >= LEAST_ROWS).count())) + MARGIN
     if total is None or not total.pos or not total.neg:
         return []
     pos, neg = float(total.pos), float(total.neg)
     rate = pos / (pos + neg)
     seen = F.col("pos") + F.col("neg")
     gain = F.when(F.col("pos") > 0, F.col("pos") * F.log(F.col("pos") / (seen * rate))).otherwise(0) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (seen * (1 - rate)))).otherwise(0)
-    best = counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_ROWS) & (F.col("pos") / seen > 2 * rate)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    best = counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_ROWS) & (F.col("pos") / seen > 2 * rate)).withColumn("gain", gain).where(F.col("gain") >= least)
     return [(r.term, float(r.pos), float(r.neg)) for r in best.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()]
 
 
