@@ -1 +1,51 @@
+"""The three entry points: init, add and context."""
 
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import indexes, links, markdown, render, retrieval
+from ..sources import files
+
+__all__ = ["add", "context", "init"]
+
+
+def _desired(spark: SparkSession, root: str, out: str, recursive: bool) -> DataFrame:
+    notes = files.notes(files.scan(spark, root, recursive, skip=(out,)))
+    pages = render.compile_pages(notes)
+    summary = indexes.root_summary(notes, markdown.pages(notes), links.unresolved(links.resolve(notes)))
+    line = F.format_string("# Index\n\n- Notes: %d\n- Fragments: %d\n- Tags: %d\n- Unresolved: %d\n", "n_notes", "n_fragments", "n_tags", "n_unresolved")
+    return pages.unionByName(summary.select(F.lit("index.md").alias("path"), line.alias("body")))
+
+
+def init(spark: SparkSession, root: str, out: str, recursive: bool = True) -> dict[str, int]:
+    """Compiles a folder of notes into the folder out, which must be new, empty, or made by an earlier run."""
+    if os.path.isdir(out) and os.listdir(out) and files.read_manifest(out) is None:
+        raise ValueError(f"{out} holds files of others")
+    return files.apply_incremental(_desired(spark, root, out, recursive), out)
+
+
+def add(spark: SparkSession, root: str, out: str, path: str | None = None) -> dict[str, int]:
+    """Brings out up to date; path, where given, must lie below root."""
+    if path is not None and not (os.path.exists(path) and os.path.realpath(path).startswith(os.path.realpath(root))):
+        raise ValueError(f"{path} is not below {root}")
+    return files.apply_incremental(_desired(spark, root, out, True), out)
+
+
+def context(spark: SparkSession, root: str, schema_text: str, task: str, entities: list[str] | None = None, query: str | None = None, time: str | None = None, budget: int | None = None) -> str:
+    """The evidence pack of a request over a folder of notes."""
+    schema = retrieval.SchemaPack.load(schema_text)
+    notes = files.notes(files.scan(spark, root))
+    resolved = links.resolve(notes)
+    graph = links.edges(notes, resolved, links.resolve_markdown(notes))
+    cat = retrieval.catalog(notes, markdown.pages(notes), markdown.titles(notes), markdown.headings(notes))
+    by_kind = {k: {f: key for f, (_, sources) in schema.fields.items() for kind, key in sources if kind == k} for k in ("heading", "frontmatter")}
+    evidence = spark.createDataFrame([], "field string, generated_path string, source_path string, line_start long, line_end long, text string")
+    if by_kind["heading"]:
+        evidence = evidence.unionByName(retrieval.heading_evidence(notes, by_kind["heading"], "fm_line_end"))
+    if by_kind["frontmatter"]:
+        evidence = evidence.unionByName(retrieval.front_matter_evidence(notes, by_kind["frontmatter"]))
+    return retrieval.context_pack(cat, graph, evidence, schema, task, entities, query, time, budget)
