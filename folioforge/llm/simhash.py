@@ -246,12 +246,13 @@ def _bucket_edges(rows: np.ndarray, tau: int) -> Iterator[pa.RecordBatch]:
     change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
     starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(rows)]])
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    prints = np.ascontiguousarray(rows[:, 4]).view(np.uint64)  # bits of signed numbers are counted without their sign
     pairs = starts[ends - starts == 2]  # most buckets with a candidate have one
     if len(pairs):
-        near = np.bitwise_count(rows[pairs, 4] ^ rows[pairs + 1, 4]) <= tau
+        near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= tau
         out.append((rows[pairs[near], 5], rows[pairs[near] + 1, 5]))
     for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-        fps, ids = rows[lo:hi, 4], rows[lo:hi, 5]
+        fps, ids = prints[lo:hi], rows[lo:hi, 5]
         near = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.uint8) <= tau
         if near.sum() == len(fps):
             continue
