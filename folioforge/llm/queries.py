@@ -72,5 +72,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _kind_sql(kind: str, rank: int, pattern: str, judged: str) -> str:
+    """Matches of a kind by the pieces between them: running lengths give the places."""
+    quoted = pattern.replace("'", "''")
+    parts = f"regexp_extract_all(text, '{quoted}', {2 if kind == 'assign' else 0})"
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, unnest(regexp_split_to_array(text, '{quoted}')) AS gap, unnest(list_append(regexp_extract_all(text, '{quoted}'), '')) AS hit,
+    unnest(list_append({parts}, '')) AS part, {judged} AS least, unnest(range(len({parts}) + 1)) AS k FROM docs WHERE regexp_matches(text, '{quoted}')"""
+
+
+OP2_SQL = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+pieces AS ({" UNION ALL ".join(_kind_sql(x.kind, i, x.pattern, str(x.least)) for i, x in enumerate(secrets.RULES))}),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY k) AS stop FROM pieces),
+spans AS (SELECT r, kind, rank, stop - length(hit) AS start, kind || ':' || (stop - length(hit)) || ':' || stop AS line FROM placed WHERE hit <> '' AND length(part) >= least),
+lines AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(line, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(line, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob
+FROM docs LEFT JOIN lines USING (r)"""
+
+OP3_SQL = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+windows AS (SELECT doc_id, r, k, md5(array_to_string(w[k : k + 49], ' ')) AS h FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 48)) AS k FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS k FROM windows JOIN firsts USING (h) WHERE first_doc < doc_id),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r) LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": OP2_SQL, "op3_substrings": OP3_SQL}
