@@ -6,8 +6,9 @@ walk mostly in step, so edit distance becomes Hamming distance between walks. Re
 of the walk; a window that falls into a bucket of an item is a candidate for it, and every candidate is verified by the
 exact edit distance of the item to the nearest run of words around the window.
 
-A window can be that near to an item only if most of its words occur in some item, so windows that have too few are
-passed over before they walk; this loses none. The benchmark is taken in blocks of bounded size, each of which goes to
+A window can be that near to an item of its size only if most of its words occur in items of that size, and a candidate
+is near to its item only if most of the item's length in words around it are the item's; what has fewer is passed over
+before it walks or is verified. This loses none. The benchmark is taken in blocks of bounded size, each of which goes to
 all documents as a broadcast.
 """
 
@@ -48,12 +49,13 @@ def _allowed(n: int) -> int:
 
 
 def walks(ids: np.ndarray, starts: np.ndarray, n: int, length: int, coins: np.ndarray) -> np.ndarray:
-    """CGK walks over the n words from each start; past its end a window reads 0. coins: [time, word] in {0, 1}."""
+    """CGK walks over the n words from each start; past its end a window reads 0. The coin of a word at a time is the top bit
+    of a linear hash with that time's factor and offset (coins: [time, 2]); a word of no item steps on."""
     at, out = np.zeros(len(starts), dtype=np.int64), np.zeros((len(starts), length), dtype=np.int32)
     for j in range(length):
         here = np.where(at < n, ids[np.minimum(starts + at, len(ids) - 1)], 0)
         out[:, j] = here
-        at += coins[j, here]
+        at += (((here.astype(np.uint64) * coins[j, 0] + coins[j, 1]) >> np.uint64(63)).astype(np.int64)) | (here == 0)
     return out
 
 
@@ -91,11 +93,13 @@ class Items:
                 self.words.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], dtype=np.int32))
                 self.item_ids.append(item_id)
         longest = max((len(w) for w in self.words), default=1)
-        self.coins = rng.integers(0, 2, size=(3 * longest, len(self.number) + 1), dtype=np.int8)
-        self.coins[:, 0] = 1  # a word of no item steps on
+        self.coins = rng.integers(0, 1 << 64, size=(3 * longest, 2), dtype=np.uint64) | np.array([1, 0], dtype=np.uint64)
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(self.words):
             self.by_length[len(w)].append(k)
+        self.rows = {n: np.stack([self.words[k] for k in ks]) for n, ks in self.by_length.items()}
+        #: Whether an item of a length has a word.
+        self.any_has = {n: np.isin(np.arange(len(self.number) + 1), rows) for n, rows in self.rows.items()}
         #: By length: sampled places, sorted bucket keys, and the item of each key.
         self.plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, ks in self.by_length.items():
@@ -130,15 +134,31 @@ class Items:
         p = max(float(np.quantile(same, 0.1)), 0.15) ** PLACES
         return min(MAX_REPEATS, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - p))))
 
+    def _near(self, ids: np.ndarray, owner: np.ndarray, who: np.ndarray, which: np.ndarray, n: int, edits: int) -> np.ndarray:
+        """Of candidates (start, item) those that can be near: (document, item, start). At a distance of at most edits, at least
+        n - edits words around the start are words of the item, and as many places of the item have their word there."""
+        once = np.unique(who * len(self.words) + which)  # several samples find the same
+        who, which = once // len(self.words), once % len(self.words)
+        kept = [np.zeros((0, 3), dtype=np.int64)]
+        for lo in range(0, len(who), 2048):
+            start, item = who[lo : lo + 2048], which[lo : lo + 2048]
+            around = ids[np.clip(start[:, None] + np.arange(-edits, n + edits), 0, len(ids) - 1)]
+            same = around[:, :, None] == self.rows[n][np.searchsorted(self.by_length[n], item)][:, None, :]
+            enough = (same.any(2).sum(1) >= n - edits) & (same.any(1).sum(1) >= n - edits)
+            kept.append(np.stack([owner[start], item, start], axis=1)[enough])
+        return np.concatenate(kept)
+
     def search(self, ids: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) of verified finds in documents laid end to end (owner: document of each
         word); of finds of an item in a document the nearest, then the first."""
-        inside = np.concatenate([[0], np.cumsum(ids > 0)])
+        zero = np.zeros(1, dtype=np.int32)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, (places, keys, items) in self.plans.items():
             edits = _allowed(n)
-            last = np.minimum(np.arange(len(ids)) + n, len(ids))
-            starts = np.flatnonzero((inside[last] - inside[:-1] >= n - edits) & (ids > 0))
+            own = self.any_has[n][ids]
+            inside = np.concatenate([zero, np.cumsum(own, dtype=np.int32)])
+            inside = np.concatenate([inside, np.full(n - 1, inside[-1], dtype=np.int32)])
+            starts = np.flatnonzero(inside[n:] - inside[: len(ids)] >= n - edits)
             pairs = []  # (document, item, start)
             for lo in range(0, len(starts), 1 << 12):
                 part = starts[lo : lo + (1 << 12)]
@@ -146,11 +166,11 @@ class Items:
                 left = np.searchsorted(keys, own, "left")
                 at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == own)
                 while len(at):  # a key can stand for several items
-                    who = part[at // len(places)]
-                    pairs.append(np.unique(np.stack([owner[who], items[left[at]], who], axis=1), axis=0))
+                    who, which = part[at // len(places)], items[left[at]]
+                    pairs.append(self._near(ids, owner, who, which, n, edits))
                     left[at] += 1
                     at = at[(left[at] < len(keys)) & (keys[np.minimum(left[at], len(keys) - 1)] == own[at])]
-            if not pairs:
+            if not sum(map(len, pairs)):
                 continue
             found = np.unique(np.concatenate(pairs), axis=0)
             # starts that are near each other are verified together
