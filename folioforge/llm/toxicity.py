@@ -35,7 +35,8 @@ LEAST_ROWS, MARGIN = 4, -2.0
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+#: Words, and terms with counts, that a task holds at a time.
+_CACHE, _HELD = 150_000, 100_000
 
 
 def word_terms(raw: bytes) -> list[str]:
@@ -79,9 +80,9 @@ def mine(docs: DataFrame, known: DataFrame) -> list[tuple[str, float, float]]:
                     terms.update(found)
                 for term in terms:
                     held.setdefault(term, [0, 0])[label] += 1
-            if len(known) > _CACHE:
+            if len(known) > _HELD // 2:
                 known.clear()
-            if len(held) > _CACHE:
+            if len(held) > _HELD:
                 yield out()
                 held.clear()
         if held:
