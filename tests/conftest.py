@@ -10,10 +10,12 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]")
         .appName("folioforge-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.default.parallelism", "2")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
