@@ -1,14 +1,16 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Words are counted, and each distinct word is encoded once into a table (word, c, ids). The table's most frequent words,
-bounded in number and length, go to the texts as a broadcast; for the other words of a text (word, row) pairs are joined
-with the table, gathered by row and joined with the compressed text, where ids are put back by position. Decoding looks
-up the piece of each id.
+Texts are brought to a form with the same ids and fewer distinct words (`canonical`) and cut into words. Words are counted,
+and each distinct word is encoded once into a table (word, c, ids). The table's most frequent words, bounded in number and
+length, go to the texts as a broadcast: a text becomes its words' ranks there, by position. A word beyond them gets a slot
+of its text; (row, slot, word) is joined with the table and gathered by row, and the ids are put back by position. Decoding
+looks up the piece of each id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,44 +23,78 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Bounds of the broadcast table: words and bytes of a word. Bound of the sample that a text dictionary is fitted on.
-HEAD, HEAD_BYTES, DICT_ROWS, DICT_BYTES = 800_000, 64, 1000, 64 << 10
+#: Bounds of the broadcast table: words, and bytes of a word.
+HEAD, HEAD_BYTES = 800_000, 64
 _CACHE = 500_000
+_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+
+
+def canonical(text: bytes) -> bytes:
+    """A text with the same ids: the tokenizer lower-cases and always cuts between an ASCII letter or digit and marks that
+    end a word. Texts with what may be a special token, which is told by case, stay as they are."""
+    return text if b"<|" in text else _MARKS.sub(rb" \1", text.lower())
 _CHUNK = 1 << 17
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all texts."""
+def word_table(docs: DataFrame, path: str) -> DataFrame:
+    """(word, c, ids) of each distinct word of all texts, encoded once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task adds up its words and sends them by buckets of their hash, compressed; the bucket's counts are added up and its
+    words encoded where they meet. There are eight buckets to a shuffle partition.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * parts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for lo in range(0, len(words), _CHUNK):
-                part = words[lo : lo + _CHUNK]
-                yield pa.record_batch({"word": pa.array(part, pa.binary()), "c": pa.array([held[w] for w in part], pa.int64())})
+            words = np.array(list(held), dtype=object)
+            n = np.fromiter(held.values(), dtype="<u4", count=len(held))
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
             held.clear()
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            rows = [(int(bucket[at[0]]), *_press(words[at], n[at])) for at in np.split(order, cuts) if len(at)]
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "counts"])
 
         for _, texts in common.text_rows(batches):
             for text in texts:
-                held.update(text.split())
+                held.update(canonical(text).split())
             if len(held) > _CACHE:
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, unpress, now, held = tokens.Encoder(path), zstandard.ZstdDecompressor(), None, Counter()
 
+        def out() -> Iterator[pa.RecordBatch]:
+            words = list(held)
+            for lo in range(0, len(words), 4096):
+                part = words[lo : lo + 4096]
+                yield pa.record_batch({"word": pa.array(part, pa.binary()), "c": pa.array([held[w] for w in part], pa.int64()), "ids": pa.array(encoder.encode_new(part), pa.binary())})
+            held.clear()
 
-def encode_words(counts: DataFrame, path: str) -> DataFrame:
-    """(word, c, ids): each distinct word encoded once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(path)
         for batch in batches:
-            yield pa.record_batch({"word": batch.column("word"), "c": batch.column("c"), "ids": pa.array(encoder.encode_new(batch.column("word").to_pylist()), pa.binary())})
+            for bucket, words, n in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if bucket != now:
+                    yield from out()
+                    now = bucket
+                counts = np.frombuffer(unpress.decompress(n), dtype="<u4").tolist()
+                for word, c in zip(unpress.decompress(words).split(b"\n"), counts, strict=True):
+                    held[word] += c
+        yield from out()
 
-    return counts.mapInArrow(run, "word binary, c long, ids binary")
+    rows = docs.mapInArrow(count, "bucket long, words binary, counts binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(meet, "word binary, c long, ids binary")
+
+
+def _press(words: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted words by lines, and their counts, each compressed."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    press = zstandard.ZstdCompressor(level=3)
+    return press.compress(b"\n".join(words[i] for i in order)), press.compress(n[order].tobytes())
 
 
 class Pieces:
@@ -80,15 +116,6 @@ def _key(doc_id: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=(hash(doc_id) if doc_id is not None else 1 << 63) & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _fit_dictionary(docs: DataFrame) -> bytes:
-    """A dictionary for compressing short texts, from a bounded sample; only sizes depend on it."""
-    rows = docs.select("text").where(F.col("text").isNotNull()).limit(DICT_ROWS).toArrow()
-    samples = common.raw_texts(rows["text"].combine_chunks()) if rows.num_rows else []
-    if len(samples) < 50:
-        return b""
-    return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-
-
 def encode(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian 32-bit integers and decoded as UTF-8, both binary, of every
     row of docs; a null text is empty.
@@ -97,9 +124,8 @@ def encode(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> D
     gives an empty table.
     """
 
-    def whole(ids: bytes, pieces: Pieces) -> tuple[int, bytes, bytes]:
-        numbers = np.frombuffer(ids, dtype="<u4")
-        return len(numbers), ids, pieces.of(numbers)
+    def whole(ids: np.ndarray, pieces: Pieces) -> tuple[int, bytes, bytes]:
+        return len(ids), ids.tobytes(), pieces.of(ids)
 
     return _encoded(docs, path, head_size, whole, "n_tokens long, ids binary, decoded binary")
 
@@ -107,9 +133,8 @@ def encode(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> D
 def digests(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as `encode` gives them."""
 
-    def short(ids: bytes, pieces: Pieces) -> tuple[int, str, str]:
-        numbers = np.frombuffer(ids, dtype="<u4")
-        return len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(pieces.of(numbers)).hexdigest()
+    def short(ids: np.ndarray, pieces: Pieces) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(pieces.of(ids)).hexdigest()
 
     return _encoded(docs, path, head_size, short, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -119,59 +144,104 @@ def _encoded(docs: DataFrame, path: str | None, head_size: int, finish, schema:
     common.tune(spark)
     folder = common.work_dir(spark, "bpe")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = common.written(encode_words(count_words(docs), path), folder, "words")
-    head = table.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_size).select("word", "ids").toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast(head.to_batches()[0] if head.num_rows else None)
-    dictionary = spark.sparkContext.broadcast(_fit_dictionary(docs))
+    table = common.written(word_table(docs, path), folder, "words")
+    head = table.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_size).toArrow().combine_chunks()
+    least = head["c"][-1].as_py() if head.num_rows else 0
+    # as two plain buffers: a worker keeps what it has been sent
+    shared_words = spark.sparkContext.broadcast(b"\n".join(head["word"].to_pylist()))
+    ids = head["ids"].to_pylist()
+    shared_ids = spark.sparkContext.broadcast((np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+
+    def slotted(text: bytes, ranks: dict[bytes, int]) -> tuple[list[int], list[bytes]]:
+        """Ranks of a text's words; a word without one has its slot number beyond all ranks. The words of the slots."""
+        words = canonical(text).split()
+        found, n = list(map(ranks.get, words)), len(ranks)
+        slots: dict[bytes, int] = {}
+        if None in found:
+            found = [slots.setdefault(w, len(slots)) + n if r is None else r for w, r in zip(words, found, strict=True)]
+        return found, list(slots)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _table(folder, shared)
+        ranks = _ranks(folder, shared_words)
         for ids, texts in common.text_rows(batches):
-            keys, words = [], []
+            keys, slots, words = [], [], []
             for doc_id, text in zip(ids, texts, strict=True):
-                new = [w for w in set(text.split()) if w not in known]
+                new = slotted(text, ranks)[1]
                 if new:
                     keys += [_key(doc_id, text)] * len(new)
+                    slots += range(len(new))
                     words += new
             for lo in range(0, len(keys), _CHUNK):
-                yield pa.record_batch({"key": pa.array(keys[lo : lo + _CHUNK], pa.int64()), "word": pa.array(words[lo : lo + _CHUNK], pa.binary())})
+                at = slice(lo, lo + _CHUNK)
+                yield pa.record_batch({"key": pa.array(keys[at], pa.int64()), "slot": pa.array(slots[at], pa.int32()), "word": pa.array(words[at], pa.binary())})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = dictionary.value
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        ranks = _ranks(folder, shared_words)
         for ids, texts in common.text_rows(batches):
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(list(map(_key, ids, texts)), pa.int64()), "packed": pa.array(list(map(press.compress, texts)), pa.binary())})
+            rows = [_pack(np.array(slotted(x, ranks)[0], dtype="<u4")) for x in texts]
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(list(map(_key, ids, texts)), pa.int64()), "packed": pa.array(rows, pa.binary())})
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces, raw = _table(folder, shared), Pieces(path), dictionary.value
-        unpress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        _RANKS.clear()  # ranks aren't needed any more
+        pieces, (flat, ends) = Pieces(path), shared_ids.value
+        n = len(ends)
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("packed").to_pylist(), batch.column("rest").to_pylist(), strict=True):
-                words = unpress.decompress(text).split()
-                if found:
-                    own = {x["word"]: x["ids"] for x in found}
-                    out.append(finish(b"".join([own[w] if (i := known.get(w)) is None else i for w in words]), pieces))
-                else:
-                    out.append(finish(b"".join(map(known.__getitem__, words)), pieces))
+            for row, found in zip(batch.column("packed").to_pylist(), batch.column("rest").to_pylist(), strict=True):
+                own = sorted({(x["slot"], x["ids"]) for x in found or []})  # a row that is there twice has each slot twice
+                tail = np.frombuffer(b"".join(x for _, x in own), dtype="<u4")
+                out.append(finish(_gather(_unpack(row), n, flat, ends, tail, np.cumsum([len(x) // 4 for _, x in own], dtype=np.int64)), pieces))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
-    pairs = docs.mapInArrow(rest, "key long, word binary").join(table.select("word", "ids"), "word")
-    gathered = pairs.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rest"))
+    # of words that have no rank the table's rows are all at or below the least count of those that do
+    beyond = table.where((F.col("c") <= least) | (F.length("word") > HEAD_BYTES)).select("word", "ids")
+    gathered = docs.mapInArrow(rest, "key long, slot int, word binary").join(beyond, "word").select("key", "slot", "ids")
+    gathered = gathered.groupBy("key").agg(F.collect_list(F.struct("slot", "ids")).alias("rest"))
     texts = docs.mapInArrow(packed, "doc_id long, key long, packed binary")
     return texts.join(gathered, "key", "left").select("doc_id", "packed", "rest").mapInArrow(put, f"doc_id long, {schema}")
 
 
-_TABLES: dict[str, dict[bytes, bytes]] = {}
+def _pack(ranks: np.ndarray) -> bytes:
+    """Ranks by byte planes, compressed: high planes are nearly all alike."""
+    planes = np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes.tobytes())
+
+
+def _unpack(row: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _gather(ranks: np.ndarray, n: int, flat: np.ndarray, ends: np.ndarray, tail: np.ndarray, tail_ends: np.ndarray) -> np.ndarray:
+    """The ids of ranks (below n in flat, others in tail), each a run that ends at its end, one after another."""
+    is_tail = ranks >= n
+    all_ends = np.zeros(len(ranks), dtype=np.int64)
+    sizes = np.zeros(len(ranks), dtype=np.int64)
+    for mask, e, base in ((~is_tail, ends, 0), (is_tail, tail_ends, n)):
+        at = ranks[mask] - base
+        if len(at):
+            all_ends[mask] = e[at]
+            sizes[mask] = e[at] - np.where(at > 0, e[at - 1], 0)
+    stops = np.cumsum(sizes)
+    source = np.repeat(all_ends - stops, sizes) + np.arange(stops[-1] if len(stops) else 0)
+    if not is_tail.any():
+        return flat[source]
+    from_tail = np.repeat(is_tail, sizes)
+    out = np.empty(len(source), dtype="<u4")
+    out[~from_tail] = flat[source[~from_tail]]
+    out[from_tail] = tail[source[from_tail]]
+    return out
+
+
+_RANKS: dict[str, dict[bytes, int]] = {}
 
 
-def _table(name: str, shared) -> dict[bytes, bytes]:
-    """The broadcast part of the table `name`, as one dict for each worker process."""
-    if name not in _TABLES:
-        batch = shared.value
-        _TABLES.clear()
-        _TABLES[name] = {} if batch is None else dict(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
-    return _TABLES[name]
+def _ranks(name: str, shared) -> dict[bytes, int]:
+    """The ranks of the broadcast words, as one dict for each worker process."""
+    if name not in _RANKS:
+        _RANKS.clear()
+        _RANKS[name] = {w: i for i, w in enumerate(shared.value.split())}
+    return _RANKS[name]
