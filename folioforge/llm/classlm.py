@@ -1,13 +1,17 @@
 """Language-model scores from Brown class-based bigrams.
 
-p(word | before) = p(class(word) | class(before)) * p(word | class(word)). Exchange clustering assigns the most frequent
-words to classes: each word in turn goes to the class that raises the bigram likelihood most, until none moves. Every
-other word, seen or not, goes to the class whose words look most alike by their first and last letters, so the class of a
-word is a function of the word and a bounded table. Transitions are interpolated with class frequencies, emissions have
-half a count added and half for one unknown word type in each class.
+p(word | before) = p(class(word) | class(before)) * p(word | class(word)). Exchange clustering assigns every word of the
+training texts to a class: a word goes to the class that raises the bigram likelihood most. Transitions are interpolated
+with class frequencies, emissions have half a count added and half for one unknown word type in each class.
+
+Seeds are exchanged one by one on the driver, with the end and all other words as classes of their own; the letters that
+tell the seeds' classes give the other words a first class. Then rounds go over the texts: each word's counts of the classes
+before and after it meet in a bucket of words, and the bucket exchanges its words against the class-by-class table. A round
+that does not raise the likelihood is undone. Words beyond the head, which stand in those rounds as a class of rare words,
+are exchanged last, in a table of their own. Only words that no training text has go by their letters to the end.
 
 Word counts grow with the corpus. A bounded table of the most frequent words goes to the texts; the words beyond it come
-to the full table by a join, counted once per document.
+to the full table by a join, once for each document and word.
 """
 
 from __future__ import annotations
@@ -24,14 +28,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that exchange clustering assigns, classes, words of the table that goes to the texts, and its words' length.
+#: Words that are exchanged one by one, classes, words of the table that goes to the texts, and its words' length.
 CLUSTERED, CLASSES, HEAD, HEAD_BYTES = 1500, 32, 400_000, 64
 #: Weight of the class frequencies in transitions, as a number of tokens.
 BACKOFF = 20.0
 #: The end of a text, which no word can be, as a word has no white space.
 END = b"\n"
+#: Rounds over all words of the head, and the buckets that its words are dealt to.
+ROUNDS, BUCKETS = 3, 256
+#: Words that have these letters, for the letters to tell the class of an unknown word.
+LEAST_ALIKE = 8
+#: Cells of a word on a side: the classes, rare words, and the word itself.
+_RARE, _SELF, _CELLS = CLASSES, CLASSES + 1, CLASSES + 2
 _CACHE = 500_000
 _CHUNK = 1 << 18
+_KEYS = 6_000_000
 
 
 def in_training(doc_id):
@@ -106,36 +117,66 @@ def parts_of(word: bytes) -> list[bytes]:
     return [b"^" + core[:2], b"^" + core[:4], b"$" + core[-2:], b"$" + core[-4:]]
 
 
-def bigrams(train: DataFrame, index: dict[bytes, int]) -> np.ndarray:
-    """[before, after]: counts of neighbours, where row and column 0 stand for all other words."""
-    size = len(index) + 1
-    shared = train.sparkSession.sparkContext.broadcast(index)
+def encode(docs: DataFrame, index: dict[bytes, int]) -> DataFrame:
+    """(doc_id, codes, tail): 32-bit numbers of a text's words, -1 - k for the k-th of its words that aren't in index."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, get = np.zeros(size * size, dtype=np.int64), shared.value.get
-        end = get(END, 0)
-        for _, texts in common.text_rows(batches):
-            ids = np.array([end] + [get(w, 0) for text in texts for w in tokens(text)], dtype=np.int64)
-            out += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)  # a text starts after an end
+        get = shared.value.get
+        for ids, texts in common.text_rows(batches):
+            codes, tails = [], []
+            for text in texts:
+                words, tail = tokens(text), {}
+                row = list(map(get, words))
+                if None in row:
+                    row = [-1 - tail.setdefault(w, len(tail)) if x is None else x for w, x in zip(words, row, strict=True)]
+                codes.append(np.array(row, dtype="<i4").tobytes())
+                tails.append(list(tail))
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "codes": pa.array(codes, pa.binary()), "tail": pa.array(tails, pa.list_(pa.binary()))})
+
+    return docs.mapInArrow(run, "doc_id long, codes binary, tail array<binary>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch], column: str, dtype: str) -> Iterator[np.ndarray]:
+    """Texts of a batch end to end: a text starts after an end, as the one before it ends with one."""
+    for batch in batches:
+        if batch.num_rows:
+            yield np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=dtype)
+
+
+def bigrams(coded: DataFrame, at: dict[int, int], end: int) -> np.ndarray:
+    """[before, after]: counts of neighbours by their places in `at`, where row and column 0 stand for all other words."""
+    size = len(at) + 1
+    place = np.zeros(max(at, default=0) + 2, dtype=np.int64)
+    for code, k in at.items():
+        place[code] = k
+    top = len(place) - 1  # stands for all others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size * size, dtype=np.int64)
+        for codes in _joined(batches, "codes", "<i4"):
+            ids = place[np.where((codes < 0) | (codes > top), top, codes)]
+            out += np.bincount(np.concatenate([[at[end]], ids[:-1]]) * size + ids, minlength=size * size)
         yield from common.sparse(out)
 
-    return common.dense(train.mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
+    return common.dense(coded.select("codes").mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
 
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
-    """Exchange clustering: the class of each word, given counts of neighbouring words.
+def exchange(pairs: np.ndarray, classes: int, rounds: int = 12, fixed: int = 0) -> np.ndarray:
+    """Exchange clustering: the class of each word, given counts of neighbouring words. The last `fixed` words keep classes
+    of their own, beyond `classes`, which no other word enters.
 
     The likelihood of the class bigram is sum N(c, d) log N(c, d) - sum N(c) log N(c) over left and right counts, up to
     what no move changes. Words start spread over the classes in the order of their frequency; ties keep a word where it
     is.
     """
-    n = len(pairs)
-    own = np.arange(n) % classes
+    n = len(pairs) - fixed
+    own = np.concatenate([np.arange(n) % classes, classes + np.arange(fixed)])
     if n == 0:
         return own
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0)
-    member = np.zeros((n, classes))
-    member[np.arange(n), own] = 1
+    xlogx = _xlogx
+    member = np.zeros((n + fixed, classes + fixed))
+    member[np.arange(n + fixed), own] = 1
     left, right = pairs.T @ member, pairs @ member  # [word, class before it], [word, class after it]
     table = member.T @ right
     for _ in range(rounds):
@@ -158,7 +199,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             gain_corner = xlogx(corner + out + into + self_) - xlogx(corner + out) - xlogx(corner + into) + xlogx(corner)
             sizes = xlogx(row + total_out) - xlogx(row) + xlogx(column + total_in) - xlogx(column)
             gain = gain_row + gain_column + gain_corner - sizes
-            b = int(gain.argmax())
+            b = int(gain[:classes].argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             table[b, :] += out
@@ -176,18 +217,83 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return own
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigram, up to what no move changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+def gains(before: np.ndarray, after: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """[word, class]: what each word adds to the likelihood in each class, when it is taken out of its own.
+
+    before, after: [word, cell], counts of the classes beside the word, of rare words and of the word itself.
+    """
+    classes, self_ = len(table), after[:, _SELF]
+    every = np.arange(classes)
+    at_own = every[None, :] == own[:, None]
+    out = np.zeros((len(own), classes))
+    for mine, other, side in ((after, before, table), (before, after, table.T)):  # side[b, d]: b is the word's, d its neighbour's
+        who, d = np.nonzero(mine[:, :classes])
+        n = mine[who, d][:, None]
+        base = side.T[d] - np.where((d == own[who])[:, None], other[who, :classes], 0)
+        base = base - np.where(at_own[who], n + np.where(d == own[who], self_[who], 0)[:, None], 0)
+        np.add.at(out, who, _xlogx(np.maximum(base, 0) + n) - _xlogx(np.maximum(base, 0)))
+        total = mine.sum(1, keepdims=True)
+        size = np.maximum(side.sum(1)[None, :] - np.where(at_own, total, 0), 0)
+        out -= _xlogx(size + total) - _xlogx(size)
+    a, b, s = after[:, :classes], before[:, :classes], self_[:, None]
+    corner = np.maximum(np.diag(table)[None, :] - np.where(at_own, a + b + s, 0), 0)
+    return out + _xlogx(corner + a + b + s) - _xlogx(corner + a) - _xlogx(corner + b) + _xlogx(corner)
+
+
+def moved(before: np.ndarray, after: np.ndarray, own: np.ndarray, table: np.ndarray, step: int = 512) -> np.ndarray:
+    """The words' classes after an exchange against the table, which follows the moves of each step of words."""
+    own, table = own.copy(), table.copy()
+    empty = table.sum(0)[:CLASSES] == 0  # all buckets at once would enter it
+    for lo in range(0, len(own), step):
+        part = slice(lo, lo + step)
+        gain = gains(before[part], after[part], own[part], table)
+        old = own[part].copy()
+        best = np.where(empty, -np.inf, gain[:, :CLASSES])[:, 1:].argmax(1) + 1  # 0 is the end's alone
+        at = np.arange(len(old))
+        new = np.where((gain[at, best] > gain[at, old] + 1e-9) | (old == _RARE), best, old)
+        own[part] = new
+        for k in np.flatnonzero((new != old) & (old != _RARE)):
+            a, b, (x, y) = old[k], new[k], (before[lo + k], after[lo + k])
+            table[a] -= y[: len(table)]
+            table[:, a] -= x[: len(table)]
+            table[a, a] -= y[_SELF]
+            table[b] += y[: len(table)]
+            table[:, b] += x[: len(table)]
+            table[b, b] += y[_SELF]
+        np.maximum(table, 0, out=table)
+    return own
+
+
 def learn_classes(top: list[tuple[bytes, int]], pairs: np.ndarray, index: dict[bytes, int]) -> Classes:
-    """Classes of the clustered words by exchange, and the letters that tell them."""
+    """Classes of the seeds by exchange, and the letters that tell them. All other words and the end take part as classes of
+    their own."""
     words = [w for w in index if w != END]
-    at = np.array([index[w] for w in words], dtype=np.int64)
-    own = exchange(pairs[np.ix_(at, at)], CLASSES - 1) + 1 if words else np.empty(0, dtype=np.int64)
+    at = np.array([*(index[w] for w in words), 0, index[END]], dtype=np.int64)
+    own = exchange(pairs[np.ix_(at, at)], CLASSES - 1, fixed=2)[: len(words)] + 1
+    return by_letters(words, own, 1)
+
+
+def by_letters(words: list[bytes], own: np.ndarray, least: int) -> Classes:
+    """The words' classes, and how letters that at least so many of the words have tell the class."""
     known = {END: 0} | {w: int(c) for w, c in zip(words, own, strict=True)}
-    cells: dict[bytes, np.ndarray] = {}
-    total = np.zeros(CLASSES)
-    for w, c in zip(words, own, strict=True):  # words count, not tokens: rare words look like many words of a class
-        total[c] += 1
-        for part in parts_of(w):
-            cells.setdefault(part, np.zeros(CLASSES))[c] += 1
+    total = np.bincount(own, minlength=CLASSES).astype(np.float64)  # words count, not tokens: rare words look like many words of a class
+    tally = Counter((part, int(c)) for w, c in zip(words, own, strict=True) for part in parts_of(w))
+    number: Counter = Counter()
+    for (part, _), n in tally.items():
+        number[part] += n
+    cells = {part: np.zeros(CLASSES) for part, n in number.items() if n >= least}
+    for (part, c), n in tally.items():
+        if part in cells:
+            cells[part][c] += n
     prior = (total + 0.1) / (total.sum() + 0.1 * CLASSES)
     parts = {p: np.log((x + 2 * prior) / (x.sum() + 2)) - np.log(prior) for p, x in cells.items()}
     rest = np.log(prior)
@@ -197,68 +303,194 @@ def learn_classes(top: list[tuple[bytes, int]], pairs: np.ndarray, index: dict[b
     return Classes(known, parts, rest, CLASSES)
 
 
-def transitions(train: DataFrame, classes: Classes) -> np.ndarray:
-    """[class before, class]: counts over all tokens of train."""
-    shared, size = train.sparkSession.sparkContext.broadcast(classes), classes.n
+def _with_rare(own: np.ndarray) -> np.ndarray:
+    """Classes by code, where -1 (the last) stands for rare words."""
+    return np.append(own, _RARE).astype(np.int64)
+
+
+def table_of(coded: DataFrame, own: np.ndarray) -> np.ndarray:
+    """[class before, class]: counts over all tokens, with rare words as a class."""
+    size, shared = CLASSES + 1, coded.sparkSession.sparkContext.broadcast(_with_rare(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size * size, dtype=np.int64)
-        for _, texts in common.text_rows(batches):
-            for text in texts:
-                c = shared.value.of(tokens(text))
-                out += np.bincount(np.concatenate([[0], c[:-1]]) * size + c, minlength=size * size)
+        for codes in _joined(batches, "codes", "<i4"):
+            c = shared.value[np.maximum(codes, -1)]
+            out += np.bincount(np.concatenate([[0], c[:-1]]) * size + c, minlength=size * size)
         yield from common.sparse(out)
 
-    return common.dense(train.mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
+    return common.dense(coded.select("codes").mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, so that the zeros of small numbers stand together."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def exchange_round(coded: DataFrame, own: np.ndarray, end: int, table: np.ndarray) -> np.ndarray:
+    """The classes of the head's words after each bucket of them has been exchanged against the table."""
+    spark, n = coded.sparkSession, len(own)
+    shared, per = spark.sparkContext.broadcast(_with_rare(own)), -(-n // BUCKETS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, times, fresh, waiting = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, c = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (held[:0], times[:0])
+            if not len(held):
+                return keys, c
+            keys, c = np.concatenate([held, keys]), np.concatenate([times, c])
+            order = np.argsort(keys, kind="stable")
+            keys, c = keys[order], c[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[first], np.add.reduceat(c, first)
+
+        def out(keys: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.searchsorted(keys, np.arange(BUCKETS + 1) * per * 2 * _CELLS)
+            for b in range(BUCKETS):
+                lo, hi = cuts[b], cuts[b + 1]
+                if hi > lo:
+                    yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "keys": pa.array([_planes(np.diff(keys[lo:hi], prepend=0))], pa.binary()), "n": pa.array([_planes(c[lo:hi])], pa.binary())})
+
+        for codes in _joined(batches, "codes", "<i4"):
+            codes = np.maximum(codes, -1).astype(np.int64)
+            c = shared.value[codes]
+            word = (codes % BUCKETS * per + codes // BUCKETS) * (2 * _CELLS)
+            same = codes[1:] == codes[:-1]
+            left = word[1:] + np.where(same, _SELF, c[:-1])
+            right = word[:-1] + _CELLS + np.where(same, _SELF, c[1:])
+            mine = (codes >= 0) & (codes != end)
+            fresh += [left[mine[1:]].astype(np.int32), right[mine[:-1]].astype(np.int32)]
+            if mine[0]:
+                fresh.append(word[:1].astype(np.int32))  # after an end
+            waiting += 2 * len(codes)
+            if waiting > _KEYS:
+                held, times = merged()
+                fresh, waiting = [], 0
+                if len(held) > _KEYS:
+                    yield from out(held, times)
+                    held, times = held[:0], times[:0]
+        yield from out(*merged())
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, keys, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "n")), strict=True):
+                cells = found.setdefault(b, np.zeros(per * 2 * _CELLS))
+                cells[np.cumsum(_unplaned(keys)) - b * per * 2 * _CELLS] += _unplaned(c)
+        for b, cells in found.items():
+            ids = np.arange(per) * BUCKETS + b
+            cells = cells.reshape(per, 2, _CELLS)[ids < n]
+            ids = ids[ids < n]
+            some = np.flatnonzero(cells.sum((1, 2)))
+            new = moved(cells[some, 0], cells[some, 1], shared.value[ids[some]], table)
+            yield pa.record_batch({"id": pa.array(ids[some], pa.int32()), "class": pa.array(new, pa.int32())})
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = coded.select("codes").mapInArrow(count, "bucket int, keys binary, n binary").repartition(parts, "bucket")
+    got, out = dealt.mapInArrow(swap, "id int, class int").toArrow(), own.copy()
+    out[got["id"].to_numpy()] = got["class"].to_numpy()
+    return out
+
+
+def exchange_head(coded: DataFrame, own: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds of exchange over the head's words while the likelihood rises; the classes and their table."""
+    table = table_of(coded, own)
+    for _ in range(ROUNDS):
+        new = exchange_round(coded, own, end, table)
+        if (new == own).all():
+            break
+        after = table_of(coded, new)
+        if likelihood(after) <= likelihood(table):
+            break
+        own, table = new, after
+    return own, table
 
 
-def class_sizes(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
-    shared = counts.sparkSession.sparkContext.broadcast(classes)
+def exchange_tail(coded: DataFrame, own: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, class) of all words beyond the head: each goes where it raises the likelihood most."""
+    shared = coded.sparkSession.sparkContext.broadcast(_with_rare(own))
+    side = _RARE + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = shared.value.n
-        out = np.zeros(2 * n, dtype=np.int64)
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.array([shared.value.one(w) for w in batch.column("word").to_pylist()], dtype=np.int64)
-            if len(c):
-                out[:n] += np.bincount(c, weights=batch.column("c").to_numpy(), minlength=n).astype(np.int64)
-                out[n:] += np.bincount(c, minlength=n)
-        yield from common.sparse(out)
+            words, cells = [], []
+            for raw, tail in zip(batch.column("codes").to_pylist(), batch.column("tail").to_pylist(), strict=True):
+                codes = np.frombuffer(raw, dtype="<i4")
+                c = np.concatenate([[0], shared.value[np.maximum(codes, -1)]])
+                at = np.flatnonzero(codes < 0)  # never the last, an end
+                words += map(tail.__getitem__, (-1 - codes[at]).tolist())
+                cells.append(c[at] * side + c[at + 2])
+            if words:
+                yield pa.record_batch({"word": pa.array(words, pa.binary()), "cell": pa.array(np.concatenate(cells), pa.int32())})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            before, after = np.zeros((n, _CELLS)), np.zeros((n, _CELLS))
+            for k, (cells, times) in enumerate(zip(batch.column("cells").to_pylist(), batch.column("times").to_pylist(), strict=True)):
+                for cell, m in zip(cells, times, strict=True):
+                    before[k, cell // side] += m
+                    after[k, cell % side] += m
+            new = moved(before, after, np.full(n, _RARE), table)
+            yield pa.record_batch({"word": batch.column("word"), "class": pa.array(new, pa.int32())})
 
-    found = common.dense(counts.mapInArrow(run, "at long, n long"), 2 * classes.n)
-    return found[: classes.n], found[classes.n :]
+    rows = coded.where(F.size("tail") > 0).select("codes", "tail").mapInArrow(around, "word binary, cell int")
+    sums = rows.repartition("word").groupBy("word", "cell").agg(F.count(F.lit(1)).alias("m")).groupBy("word").agg(F.collect_list(F.struct("cell", "m")).alias("x"))
+    return sums.select("word", F.col("x.cell").alias("cells"), F.col("x.m").alias("times")).mapInArrow(place, "word binary, class int")
 
 
-@dataclass
-class Model:
-    """Everything of bounded size that scoring needs."""
+def transitions(filled: DataFrame) -> np.ndarray:
+    """[class before, class]: counts over all tokens of texts whose classes are known."""
 
-    classes: Classes
-    steps: np.ndarray  # log10 p(class | class before)
-    spread: np.ndarray  # log10 of the denominator of p(word | class)
-    head: dict[bytes, float]  # log10(c + 0.5) of frequent words
-    tokens: int
-    words: int
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for c in _joined(batches, "classes", "u1"):
+            out += np.bincount(np.concatenate([[0], c[:-1]]).astype(np.int64) * CLASSES + c, minlength=CLASSES * CLASSES)
+        yield from common.sparse(out)
 
+    return common.dense(filled.select("classes").mapInArrow(run, "at long, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
 
-def fit(train: DataFrame, folder: str) -> tuple[Model, DataFrame]:
-    """The model and the full table of counts (word, c), from the texts of train."""
-    counts = common.written(count_words(train), folder, "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total.n or 0, total.v
-    head = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    words, c = [bytes(x) for x in head["word"].to_pylist()], head["c"].to_pylist()
-    index = {w: i + 1 for i, w in enumerate(words[:CLUSTERED])}
-    if END not in index:
-        index[END] = len(index) + 1
-    classes = learn_classes(list(zip(words, c, strict=True)), bigrams(train, index), index)
-    steps = transitions(train, classes)
-    share = (steps.sum(0) + 0.5) / (steps.sum() + 0.5 * classes.n)
-    steps = np.log10((steps + BACKOFF * share[None, :]) / (steps.sum(1, keepdims=True) + BACKOFF))
-    size, types = class_sizes(counts, classes)
-    spread = np.log10(size + 0.5 * (types + 1))
-    return Model(classes, steps, spread, {w: math.log10(x + 0.5) for w, x in zip(words, c, strict=True)}, int(n), int(v)), counts
+
+def fill(coded: DataFrame, tail: DataFrame, own: np.ndarray, weights: np.ndarray, letters: Classes) -> DataFrame:
+    """(doc_id, n_tokens, n_known, weight, classes): a text's classes, and the sum of log10(c + 0.5) over its words. Words
+    beyond the head have their class and count from tail (word, c, class); what isn't there goes by its letters."""
+    shared = coded.sparkSession.sparkContext.broadcast((own.astype(np.uint8), weights, letters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, weights, letters = shared.value
+        for batch in batches:
+            n_tokens, known, weight, classes = [], [], [], []
+            for raw, words, at, c, cls in zip(*(batch.column(x).to_pylist() for x in ("codes", "tail", "at", "c", "class")), strict=True):
+                codes = np.frombuffer(raw, dtype="<i4")
+                rare = codes < 0
+                out = own[np.where(rare, 0, codes)]
+                total, seen = weights[codes[~rare]].sum(), len(codes)
+                if words:
+                    times, kind = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
+                    if at:
+                        times[at], kind[at] = c, cls
+                    new = np.flatnonzero(kind < 0)
+                    kind[new] = letters.of([words[k] for k in new.tolist()])
+                    which = -1 - codes[rare]
+                    out[rare] = kind[which]
+                    total += np.log10(times[which] + 0.5).sum()
+                    seen -= int((times[which] == 0).sum())
+                n_tokens.append(len(codes))
+                known.append(seen)
+                weight.append(float(total))
+                classes.append(out.tobytes())
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known, pa.int64())}
+            yield pa.record_batch(columns | {"weight": pa.array(weight, pa.float64()), "classes": pa.array(classes, pa.binary())})
+
+    words = coded.where(F.size("tail") > 0).select("row", F.posexplode("tail").alias("at", "word"))
+    found = words.join(tail, "word").groupBy("row").agg(F.collect_list(F.struct("at", "c", "class")).alias("x"))
+    rows = coded.join(found, "row", "left").select("doc_id", "codes", "tail", *[F.col(f"x.{k}").alias(k) for k in ("at", "c", "class")])
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, weight double, classes binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -272,53 +504,53 @@ def score(docs: DataFrame) -> DataFrame:
     common.tune(spark)
     folder = common.work_dir(spark, "classlm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, counts = fit(docs.where(in_training(F.col("doc_id"))), folder)
-    shared = spark.sparkContext.broadcast(model)
+    train = in_training(F.col("doc_id"))
+    counts = common.written(count_words(docs.where(train)), folder, "counts")
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_train, v = int(total.n or 0), int(total.v)
+    head = counts.where((F.length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    words, c = [END, *map(bytes, head["word"].to_pylist())], head["c"].to_numpy()
+    ends = counts.where(F.col("word") == F.lit(END)).first()
+    c = np.concatenate([[ends.c if ends else 0], c])
+    index = {w: i for i, w in enumerate(words)}
+    coded = common.written(encode(docs, index).withColumn("row", F.monotonically_increasing_id()), folder, "coded")
+
+    learning = coded.where(train)
+    seeds = {w: i for i, w in enumerate(words[1 : CLUSTERED + 1], 1)} | {END: min(CLUSTERED, len(words) - 1) + 1}
+    pairs = bigrams(learning, {index[w]: k for w, k in seeds.items()}, index[END])
+    first = learn_classes([], pairs, seeds)
+    own, table = exchange_head(learning, np.array([first.one(w) for w in words], dtype=np.int64), index[END])
+    letters = by_letters(words[1:], own[1:], LEAST_ALIKE)
+    letters.known = {END: 0}  # the rest of the known words have codes or are in the tail
+
+    tail = counts.join(exchange_tail(learning, own, table), "word") if v > (c > 0).sum() else counts.where("false").withColumn("class", F.lit(0))
+    tail = common.written(tail, folder, "tail")
+    filled = common.written(fill(coded, tail, own, np.log10(c + 0.5), letters), folder, "filled")
+    steps = transitions(filled.where(train))
+    share = (steps.sum(0) + 0.5) / (steps.sum() + 0.5 * CLASSES)
+    steps = np.log10((steps + BACKOFF * share[None, :]) / (steps.sum(1, keepdims=True) + BACKOFF))
+    size, types = np.bincount(own, weights=c, minlength=CLASSES), np.bincount(own[c > 0], minlength=CLASSES)
+    for x in tail.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        size[x["class"]] += x.n
+        types[x["class"]] += x.v
+    spread = np.log10(size + 0.5 * (types + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get = m.head.get
-        for ids, texts in common.text_rows(batches):
-            n_tokens, seen, base, steps, tails, times = [], [], [], [], [], []
-            for text in texts:
-                words = tokens(text)
-                c = m.classes.of(words)
-                values = list(map(get, words))
-                tail = Counter(w for w, x in zip(words, values, strict=True) if x is None) if None in values else {}
-                missing = sum(tail.values())
-                n_tokens.append(len(words))
-                seen.append(len(words) - missing)
-                base.append(math.fsum(x for x in values if x is not None) if missing else math.fsum(values))
-                steps.append(float(m.steps[np.concatenate([[0], c[:-1]]), c].sum() - m.spread[c].sum()))
-                tails.append(list(tail))
-                times.append(list(tail.values()))
-            yield pa.record_batch(
-                {
-                    "doc_id": pa.array(ids, pa.int64()),
-                    "n_tokens": pa.array(n_tokens, pa.int64()),
-                    "seen": pa.array(seen, pa.int64()),
-                    "base": pa.array(base, pa.float64()),
-                    "steps": pa.array(steps, pa.float64()),
-                    "words": pa.array(tails, pa.list_(pa.binary())),
-                    "times": pa.array(times, pa.list_(pa.int64())),
-                }
-            )
-
-    schema = "doc_id long, n_tokens long, seen long, base double, steps double, words array<binary>, times array<long>"
-    rows = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    rows = common.written(rows, folder, "rows")
-    tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    c = F.coalesce("c", F.lit(0))
-    rare = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(c + 0.5)).alias("rest"))
-    level = math.log10(model.tokens + 0.5 * (model.words + 1))
-    out = rows.drop("words", "times").join(rare, "row", "left")
-    weight = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return out.select(
+        for batch in batches:
+            out = []
+            for raw in batch.column("classes").to_pylist():
+                k = np.frombuffer(raw, dtype="u1")
+                out.append(float(steps[np.concatenate([[0], k[:-1]]), k].sum() - spread[k].sum()))
+            columns = {x: batch.column(x) for x in ("doc_id", "n_tokens", "n_known", "weight")}
+            yield pa.record_batch(columns | {"steps": pa.array(out, pa.float64())})
+
+    level = math.log10(n_train + 0.5 * (v + 1))
+    return filled.mapInArrow(run, "doc_id long, n_tokens long, n_known long, weight double, steps double").select(
         "doc_id",
-        (~in_training(F.col("doc_id"))).alias("held_out"),
+        (~train).alias("held_out"),
         "n_tokens",
-        (F.col("seen") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (weight - F.col("n_tokens") * F.lit(level)).alias("base_score"),
-        (weight + F.col("steps")).alias("score"),
+        "n_known",
+        F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("weight") - F.col("n_tokens") * F.lit(level)).alias("base_score"),
+        (F.col("weight") + F.col("steps")).alias("score"),
     )

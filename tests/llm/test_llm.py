@@ -335,6 +335,49 @@ def test_exchange_finds_classes():
     assert len(set(own[sides == 0])) == 1 and len(set(own[sides == 1])) == 1 and own[0] != own[1]
 
 
+def test_every_word_is_clustered(spark):
+    """Words of two kinds take turns; half of the head starts in the class of its kind, and letters tell nothing."""
+    rng = random.Random(6)
+    kinds = [[bytes(rng.choices(b"abcdefgh", k=6)) for _ in range(60)] for _ in range(2)]
+    texts = [b" ".join(rng.choice(kinds[k % 2]) for k in range(40)).decode() for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words_ = [classlm.END, *kinds[0][:40], *kinds[1][:40]]
+    coded = classlm.encode(docs, {w: i for i, w in enumerate(words_)}).cache()
+    any_ = lambda kind: rng.randrange(15) * 2 + kind + 1
+    own = np.array([0] + [any_(k // 40 if k % 2 else rng.randrange(2)) for k in range(80)])
+    own, table = classlm.exchange_head(coded, own, 0)
+    found = {bytes(r.word): r["class"] for r in classlm.exchange_tail(coded, own, table).collect()} | dict(zip(words_[1:], own[1:].tolist(), strict=True))
+    assert set(found) == {*kinds[0], *kinds[1]}
+    sides = np.stack([np.bincount([found[w] for w in kind], minlength=classlm.CLASSES) for kind in kinds])
+    assert sides.max(0).sum() >= 0.95 * sides.sum()
+
+
+def test_score_with_a_short_head(docs, monkeypatch):
+    """Counts don't depend on which words are in the head."""
+    exact = lambda rows: collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows)
+    want = exact(classlm.score(docs).collect())
+    monkeypatch.setattr(classlm, "HEAD", 50)
+    monkeypatch.setattr(classlm, "CLUSTERED", 20)
+    got = classlm.score(docs).collect()
+    assert exact(got) == want and all(r.score < 0 for r in got)
+
+
+def test_gains_are_likelihoods():
+    rng = np.random.default_rng(8)
+    text = np.concatenate([[0], rng.integers(1, 30, 4000), [0]])
+    own = np.append(0, rng.integers(1, classlm.CLASSES, 29))
+    table = lambda own: np.bincount(own[text[:-1]] * (classlm.CLASSES + 1) + own[text[1:]], minlength=(classlm.CLASSES + 1) ** 2).reshape(classlm.CLASSES + 1, -1).astype(float)
+    w = 7
+    side = lambda at: np.bincount(np.where(text[at] == w, classlm._SELF, own[text[at]]), minlength=classlm._CELLS)[None, :].astype(float)
+    at = np.flatnonzero(text == w)
+    gain = classlm.gains(side(at - 1), side(at + 1), own[[w]], table(own))[0]
+    want = []
+    for c in range(1, classlm.CLASSES):
+        own[w] = c
+        want.append(classlm.likelihood(table(own)))
+    assert np.allclose(np.diff(gain[1 : classlm.CLASSES]), np.diff(want))
+
+
 def test_model_is_a_distribution():
     """Over all classes and words, seen or unknown, the model's probabilities add up to one."""
     words_ = [(b"aa", 5), (b"ab", 4), (b"ba", 3), (b"bb", 2)]
