@@ -26,6 +26,8 @@ LAYOUTS = ((2, 2, 2, 2), (3, 3, 2), (4, 4))
 #: Cost of a probe row (a shuffled row) and of a candidate (one XOR and bit count).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 _SHINGLES = 1 << 16
+#: Of keep_one: words of a shingle, least Jaccard similarity of near duplicates, and bands of minima for candidates.
+WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 
 
 def fingerprint(raw: bytes) -> int:
@@ -317,13 +319,87 @@ def near_duplicates(docs: DataFrame, tau: int = 3, block: int = 512) -> DataFram
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame, tau: int = 3) -> DataFrame:
-    """One row of each near-duplicate group: the one whose doc_id names the component (one of rows that repeat it).
+def shingles(raw: bytes) -> np.ndarray:
+    """Sorted hashes of the different runs of WIDTH words; a shorter text is one run, one without words has none."""
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[k:] for k in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rng = np.random.default_rng(12)
+    turns = rng.integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.array([[0], [1]], dtype=np.uint64)
+    mix = rng.integers(0, 1 << 64, size=ROWS, dtype=np.uint64) | np.uint64(1)
+    for ids, texts in common.text_rows(batches):
+        whole, keys = [], []
+        for text in texts:
+            found = shingles(text)
+            whole.append(xxhash.xxh64_intdigest(found.tobytes()))
+            least = np.array([((found ^ x) * y).min() if len(found) else 0 for x, y in turns.T], dtype=np.uint64)
+            bands = least.reshape(BANDS, ROWS)
+            keys.append(((bands ^ (bands >> np.uint64(31))) * mix).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+        yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "whole": pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), "keys": lists})
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
+    """Of pairs (a, b) those whose texts' sets of shingles have a Jaccard similarity of at least SIMILAR."""
+    pairs = common.written(pairs.distinct(), folder, f"pairs-{name}")
+    ends = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
+    texts = docs.join(nodes.join(ends, "whole").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in common.text_rows(batches):
+            found = [shingles(x).tobytes() for x in rows]
+            whole = np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch({"whole": pa.array(whole), "found": pa.array(found, pa.binary())})
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            near = [jaccard(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) >= SIMILAR for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    texts = common.written(texts.mapInArrow(sets, "whole long, found binary").dropDuplicates(["whole"]), folder, f"sets-{name}")
+    both = pairs.join(texts.select(F.col("whole").alias("a"), F.col("found").alias("x")), "a").join(texts.select(F.col("whole").alias("b"), F.col("found").alias("y")), "b")
+    return common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), folder, f"alike-{name}")
 
-    All columns are kept. Rows with a null doc_id can't be named as a copy of another and all stay.
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group, that of the least doc_id (one of rows that repeat it).
+
+    Texts are near duplicates where their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are
+    what such links connect. Fingerprints at few bits do not find these (0.8 is about ten bits), so candidates share a band
+    of minima (recall at 0.8 over 0.999) and are verified exactly. Each text of a bucket is first held against the bucket's
+    least; then only texts of a bucket that are not yet connected are paired. All columns are kept. Rows with a null doc_id
+    can't be named as a copy of another and all stay.
     """
-    out = near_duplicates(docs.where(F.col("doc_id").isNotNull()), tau)
-    keep = out.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    spark = docs.sparkSession
+    common.tune(spark)
+    folder = common.work_dir(spark, "keep-one")
+    named = docs.where(F.col("doc_id").isNotNull())
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.written(texts.mapInArrow(_sketch, "doc_id long, whole long, keys array<long>"), folder, "sketches")
+    nodes = common.written(rows.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), folder, "nodes")
+    places = nodes.select(F.explode("keys").alias("key"), "whole")
+    least = places.groupBy("key").agg(F.min("whole").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
+    shared = common.written(places.join(least, "key"), folder, "shared")
+    stars = _alike(texts, nodes, shared.where("whole <> b").select(F.col("whole").alias("a"), "b"), folder, "stars")
+    labels = components(stars, f"{folder}/stars-components")
+    tied = shared.join(labels.withColumnRenamed("node", "whole"), "whole", "left").select("key", "whole", F.coalesce("label", "whole").alias("label"))
+    tied = common.written(tied, folder, "tied")
+    x, y = tied.select("key", F.col("whole").alias("a"), F.col("label").alias("la")), tied.select("key", F.col("whole").alias("b"), F.col("label").alias("lb"))
+    rest = _alike(texts, nodes, x.join(y, "key").where("a > b and la <> lb").select("a", "b").join(shared.select(F.col("whole").alias("a"), "b"), ["a", "b"], "left_anti"), folder, "rest")
+    labels = components(stars.union(rest), f"{folder}/components")
+    groups = nodes.join(labels.withColumnRenamed("node", "whole"), "whole", "left").groupBy(F.coalesce("label", "whole").alias("label"))
+    keep = groups.agg(F.min("node").alias("doc_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = named.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

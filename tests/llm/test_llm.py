@@ -115,6 +115,26 @@ def test_links_of_planted_prints(spark):
     assert [got.get(i, i) for i in range(len(prints))] == label.tolist()
 
 
+def test_one_of_near_copies_stays(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, copies = [], set()
+    for k in range(60):
+        base = say(rng.randint(80, 600))
+        rows.append((k, " ".join(base)))
+        for j, share in enumerate((0.01, 0.02, 0.05)):
+            w = [x if rng.random() > share else "new" + x for x in base]
+            a, b = grams(base), grams(w)
+            i, alike = 1000 * (j + 1) + k, len(a & b) / len(a | b)
+            rows.append((i, " ".join(w)))
+            if alike >= 0.8:
+                copies.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert len(copies) > 60 and not copies & ids and set(range(60)) <= ids
+
+
 def spans(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
