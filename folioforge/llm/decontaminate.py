@@ -8,7 +8,8 @@ exact edit distance of the item to the nearest run of words around the window.
 
 A window can be that near to an item of its size only if most of its words occur in items of that size, and a candidate
 is near to its item only if most of the item's length in words around it are the item's; what has fewer is passed over
-before it walks or is verified. This loses none. The benchmark is taken in blocks of bounded size, each of which goes to
+before it walks or is verified. This loses none. Where the samples of walks would not reach the recall, as with long items,
+nothing is sampled: every window that is not passed over is a candidate. The benchmark is taken in blocks of bounded size, each of which goes to
 all documents as a broadcast.
 """
 
@@ -31,6 +32,8 @@ SHARE = 0.2
 LEAST_WORDS = 8
 #: Sampled places of a walk for a bucket, and the recall to reach at the largest distance allowed.
 PLACES, RECALL, MAX_REPEATS = 2, 0.99, 64
+#: Words of the longest item that is sampled: one walk for all samples has been seen to reach the recall up to here.
+SAMPLED_WORDS = 50
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 #: Bytes of documents that are searched together.
@@ -101,18 +104,23 @@ class Items:
         #: Whether an item of a length has a word.
         self.any_has = {n: np.isin(np.arange(len(self.number) + 1), rows) for n, rows in self.rows.items()}
         #: By length: sampled places, sorted bucket keys, and the item of each key.
-        self.plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: None: so many samples would be needed that every window that can be near is a candidate.
+        self.plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray] | None] = {}
         for n, ks in self.by_length.items():
             length = 2 * n  # a walk stands at the end after about 2n steps
             own = {k: walks(self.words[k], np.zeros(1, dtype=np.int64), n, length, self.coins)[0] for k in ks}
             repeats = self._repeats(n, ks, length, rng)
+            if repeats is None:
+                self.plans[n] = None
+                continue
             places = np.stack([np.sort(rng.choice(length, size=min(PLACES, length), replace=False)) for _ in range(repeats)])
             keys = np.concatenate([_keys(own[k][None, :], places)[0] for k in ks])
             order = np.argsort(keys, kind="stable")
             self.plans[n] = places, keys[order], np.repeat(np.array(ks), repeats)[order]
 
-    def _repeats(self, n: int, ks: list[int], length: int, rng: np.random.Generator) -> int:
-        """So many samples that a window at the largest distance shares one with the item, as tried on edited items."""
+    def _repeats(self, n: int, ks: list[int], length: int, rng: np.random.Generator) -> int | None:
+        """So many samples that a window at the largest distance shares one with the item, as tried on edited items; None
+        where MAX_REPEATS of them don't reach the recall, or where the item is long, as all samples of a walk fail together."""
         edits, same = _allowed(n), []
         if not edits:
             return 1
@@ -131,8 +139,11 @@ class Items:
             one = walks(padded, np.zeros(1, dtype=np.int64), n, length, self.coins)[0]
             two = walks(self.words[k], np.zeros(1, dtype=np.int64), n, length, self.coins)[0]
             same.append((one == two).mean())
-        p = max(float(np.quantile(same, 0.1)), 0.15) ** PLACES
-        return min(MAX_REPEATS, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - p))))
+        p = float(np.quantile(same, 0.1)) ** PLACES
+        if p >= 1:
+            return 1
+        wanted = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - p))) if p > 0 else MAX_REPEATS + 1
+        return wanted if wanted <= MAX_REPEATS and n <= SAMPLED_WORDS else None
 
     def _near(self, ids: np.ndarray, owner: np.ndarray, who: np.ndarray, which: np.ndarray, n: int, edits: int) -> np.ndarray:
         """Of candidates (start, item) those that can be near: (document, item, start). At a distance of at most edits, at least
@@ -140,8 +151,9 @@ class Items:
         once = np.unique(who * len(self.words) + which)  # several samples find the same
         who, which = once // len(self.words), once % len(self.words)
         kept = [np.zeros((0, 3), dtype=np.int64)]
-        for lo in range(0, len(who), 2048):
-            start, item = who[lo : lo + 2048], which[lo : lo + 2048]
+        step = max(1, min(2048, (1 << 25) // (n * (n + 2 * edits))))
+        for lo in range(0, len(who), step):
+            start, item = who[lo : lo + step], which[lo : lo + step]
             around = ids[np.clip(start[:, None] + np.arange(-edits, n + edits), 0, len(ids) - 1)]
             same = around[:, :, None] == self.rows[n][np.searchsorted(self.by_length[n], item)][:, None, :]
             enough = (same.any(2).sum(1) >= n - edits) & (same.any(1).sum(1) >= n - edits)
@@ -153,15 +165,28 @@ class Items:
         word); of finds of an item in a document the nearest, then the first."""
         zero = np.zeros(1, dtype=np.int32)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, (places, keys, items) in self.plans.items():
+        for n, plan in self.plans.items():
             edits = _allowed(n)
             own = self.any_has[n][ids]
             inside = np.concatenate([zero, np.cumsum(own, dtype=np.int32)])
             inside = np.concatenate([inside, np.full(n - 1, inside[-1], dtype=np.int32)])
             starts = np.flatnonzero(inside[n:] - inside[: len(ids)] >= n - edits)
             pairs = []  # (document, item, start)
+            if n > SAMPLED_WORDS:  # each item's own words are counted along the text, as many starts pass beside a find
+                for k in self.by_length[n] if len(starts) else []:
+                    own = np.zeros(len(self.number) + 1, dtype=bool)
+                    own[self.words[k]] = True
+                    mine = np.concatenate([zero, np.cumsum(own[ids], dtype=np.int32)])
+                    part = starts[mine[np.minimum(starts + n, len(ids))] - mine[starts] >= n - edits]
+                    pairs.append(np.stack([owner[part], np.full(len(part), k), part], axis=1))
+                starts = starts[:0]
             for lo in range(0, len(starts), 1 << 12):
                 part = starts[lo : lo + (1 << 12)]
+                if plan is None:
+                    for k in self.by_length[n]:
+                        pairs.append(self._near(ids, owner, part, np.full(len(part), k), n, edits))
+                    continue
+                places, keys, items = plan
                 own = _keys(walks(ids, part, n, int(places.max()) + 1, self.coins), places).ravel()
                 left = np.searchsorted(keys, own, "left")
                 at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == own)

@@ -230,6 +230,23 @@ def test_leak_recall():
     assert np.mean([(i, i % 20) in found for i in range(len(texts))]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [100, 200, 400, 800])
+def test_leak_recall_of_long_items(n):
+    rng = np.random.default_rng(n)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    say = lambda n: [vocabulary[i] for i in rng.integers(4000, size=n)]
+    listed = [(k, " ".join(say(n)).encode()) for k in range(5)]
+    searched, texts = decontaminate.Items(listed), []
+    for _, raw in listed * 6:
+        w = raw.decode().split()
+        for _ in range(int(0.2 * n)):
+            at, kind = int(rng.integers(len(w))), rng.integers(3)
+            w[at : at + 1] = [] if kind == 0 else [vocabulary[rng.integers(4000)]] if kind == 1 else [w[at], vocabulary[rng.integers(4000)]]
+        texts.append(" ".join(say(40) + w + say(40)).encode())
+    found = {(x[0], x[1]) for x in decontaminate._search(searched, list(range(len(texts))), texts, {})}
+    assert np.mean([(i, i % 5) in found for i in range(len(texts))]) >= 0.99
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edit_ends(seed):
     rng = np.random.default_rng(seed)
