@@ -54,11 +54,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.Encoder.of(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for ids, texts in common.text_rows(batches):
-            rows = [np.frombuffer(x + end, dtype="<u4").astype(f"<u{width}").tobytes() for x in encoder.texts(texts)]
+            flat, ends = encoder.ids(texts)
+            flat, ends = np.insert(flat, ends, end_id).astype(f"<u{width}"), ends + np.arange(1, len(ends) + 1)
+            rows = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.concatenate([[0], width * ends])), pa.py_buffer(flat)])
             shard = np.searchsorted(cuts, np.array(ids, dtype=np.int64), "left")
-            yield pa.record_batch({"shard": pa.array(shard, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "ids": pa.array(rows, pa.binary())})
+            yield pa.record_batch({"shard": pa.array(shard, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "ids": rows.cast(pa.binary())})
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, ids, rows in _runs(batches):

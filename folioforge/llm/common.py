@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that carries whole texts; keeps a batch small even where texts are long.
-TEXT_BATCH = 500
+#: Bytes and rows of an Arrow batch, so that a batch is small even where texts are long.
+BATCH_BYTES, BATCH_ROWS = "8m", 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, as whole texts go through them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """Arrow batches that are bounded in bytes, as whole texts go through them. Plans take this from the session when they
+    run, so it stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

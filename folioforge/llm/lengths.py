@@ -28,7 +28,7 @@ def document_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.Encoder.of(path)
         for ids, texts in common.text_rows(batches):
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in encoder.texts(texts)], pa.int64())})
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(np.diff(encoder.ids(texts)[1], prepend=0), pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
