@@ -1,17 +1,20 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are brought to a form with the same ids and fewer distinct words (`canonical`) and cut into words. Words are counted,
-and each distinct word is encoded once into a table (word, c, ids). The table's most frequent words, bounded in number and
-length, go to the texts as a broadcast: a text becomes its words' ranks there, by position. A word beyond them gets a slot
-of its text; (row, slot, word) is joined with the table and gathered by row, and the ids are put back by position. Decoding
-looks up the piece of each id.
+Texts are cut into words and taken in chunks of some megabytes. A chunk is a dictionary of its distinct words and, for each
+word of its texts, the place in that dictionary. Dictionaries are dealt out by hash of the word; where equal words of all
+chunks meet, each distinct word is encoded once (the table is never in one place, a task holds one bucket of it). The ids go
+back to the chunks, where they take the words' places: ids are joined by position. Decoding joins the ids with the table of
+pieces, whose key is dense, so the join is a take.
+
+Both reads of the texts must cut the same chunks, as reads of files do. A chunk is named by its place and by a 128-bit hash of
+its dictionary, and one that does not find its words again ends the job with an error, so a source that changes between the
+two reads gives no wrong ids. A lost executor costs its tasks alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,100 +26,164 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Bounds of the broadcast table: words, and bytes of a word.
-HEAD, HEAD_BYTES = 800_000, 64
-_CACHE = 500_000
-_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+#: Buckets of words to a shuffle partition; a task holds the words of one at a time.
+BUCKETS = 8
+#: Words that are put back at a time.
+_BLOCK = 1 << 20
 
 
-def canonical(text: bytes) -> bytes:
-    """A text with the same ids: the tokenizer lower-cases and always cuts between an ASCII letter or digit and marks that
-    end a word. Texts with what may be a special token, which is told by case, stay as they are."""
-    return text if b"<|" in text else _MARKS.sub(rb" \1", text.lower())
-_CHUNK = 1 << 17
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 by byte planes, compressed: high planes are nearly all alike."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes.tobytes())
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(word, c, ids) of each distinct word of all texts, encoded once.
+def _unpack(row: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-    A task adds up its words and sends them by buckets of their hash, compressed; the bucket's counts are added up and its
-    words encoded where they meet. There are eight buckets to a shuffle partition.
-    """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+class Chunk:
+    """The texts of a batch as places in a dictionary, in which the most frequent word comes first."""
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words = np.array(list(held), dtype=object)
-            n = np.fromiter(held.values(), dtype="<u4", count=len(held))
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
-            held.clear()
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = [(int(bucket[at[0]]), *_press(words[at], n[at])) for at in np.split(order, cuts) if len(at)]
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "counts"])
-
-        for _, texts in common.text_rows(batches):
-            for text in texts:
-                held.update(canonical(text).split())
-            if len(held) > _CACHE:
-                yield from out()
-        yield from out()
+    def __init__(self, texts: list[bytes], part: int, nth: int):
+        found, self.ends = tokens.words_of(texts)
+        at = found.indices.to_numpy()
+        order = np.argsort(-np.bincount(at, minlength=len(found.dictionary)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.words = found.dictionary.take(pa.array(order)).to_pylist()  # each with a space behind it
+        self.codes = rank[at]
+        self.key = struct.pack(">II", part, nth) + xxhash.xxh3_128_digest(b"".join(self.words))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, unpress, now, held = tokens.Encoder(path), zstandard.ZstdDecompressor(), None, Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for lo in range(0, len(words), 4096):
-                part = words[lo : lo + 4096]
-                yield pa.record_batch({"word": pa.array(part, pa.binary()), "c": pa.array([held[w] for w in part], pa.int64()), "ids": pa.array(encoder.encode_new(part), pa.binary())})
-            held.clear()
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
+    """Ids and texts of each batch (doc_id, text, part)."""
+    for nth, batch in enumerate(b for b in batches if b.num_rows):
+        yield batch.column("doc_id").to_pylist(), Chunk(common.raw_texts(batch.column("text")), batch.column("part")[0].as_py(), nth)
 
-        for batch in batches:
-            for bucket, words, n in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if bucket != now:
-                    yield from out()
-                    now = bucket
-                counts = np.frombuffer(unpress.decompress(n), dtype="<u4").tolist()
-                for word, c in zip(unpress.decompress(words).split(b"\n"), counts, strict=True):
-                    held[word] += c
-        yield from out()
 
-    rows = docs.mapInArrow(count, "bucket long, words binary, counts binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "word binary, c long, ids binary")
+ROW = "chunk binary, kind int, numbers binary, sizes binary, ids binary, docs array<long>"
 
 
-def _press(words: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted words by lines, and their counts, each compressed."""
-    order = sorted(range(len(words)), key=words.__getitem__)
-    press = zstandard.ZstdCompressor(level=3)
-    return press.compress(b"\n".join(words[i] for i in order)), press.compress(n[order].tobytes())
+def _row(key: bytes, kind: int, numbers: bytes, sizes: bytes, ids: bytes = b"", docs: list | None = None) -> pa.RecordBatch:
+    return pa.record_batch(
+        {
+            "chunk": pa.array([key], pa.binary()),
+            "kind": pa.array([kind], pa.int32()),
+            "numbers": pa.array([numbers], pa.binary()),
+            "sizes": pa.array([sizes], pa.binary()),
+            "ids": pa.array([ids], pa.binary()),
+            "docs": pa.array([docs or []], pa.list_(pa.int64())),
+        }
+    )
 
 
-class Pieces:
-    """The piece of each id; the vocabulary is of fixed size."""
+def encoded_words(docs: DataFrame, path: str) -> DataFrame:
+    """Rows of ROW, kind 0: for a chunk and a bucket, the places (numbers) of the chunk's words there, and their ids."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
 
-    def __init__(self, path: str):
-        vocabulary = tokens.load(path).get_vocab(with_added_tokens=True)
-        self.pieces = [b""] * (max(vocabulary.values()) + 1)
-        for piece, i in vocabulary.items():
-            self.pieces[i] = piece.encode()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk in _chunks(batches):
+            words = np.array(chunk.words, dtype=object)
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in chunk.words), dtype=np.int64, count=len(words))
+            order = np.argsort(bucket, kind="stable")
+            press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+            rows = []
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[at[0]]), chunk.key, press.compress(b"".join(words[at])), _pack(np.diff(at, prepend=0))))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "words", "numbers"])
 
-    def of(self, ids: np.ndarray) -> bytes:
-        """As the library's decode does where the tokenizer names no decoder: pieces with spaces between."""
-        return b" ".join(map(self.pieces.__getitem__, ids.tolist()))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, unpress, now = tokens.Encoder(path), zstandard.ZstdDecompressor(), None
+        for batch in batches:
+            for bucket, key, words, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    encoder.forget()
+                    now = bucket
+                which = encoder.numbers([w + b" " for w in unpress.decompress(words).split(b" ")[:-1]])
+                at, sizes = tokens.runs(encoder.stops, which)
+                yield _row(key, 0, numbers, _pack(sizes), _pack(encoder.flat[at]))
+
+    rows = docs.mapInArrow(deal, "bucket int, chunk binary, words binary, numbers binary")
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ROW)
+
+
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """Rows of ROW, kind 1: for a chunk, its texts' places in its dictionary (numbers), and how many words each has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, chunk in _chunks(batches):
+            yield _row(chunk.key, 1, _pack(chunk.codes), _pack(np.diff(chunk.ends, prepend=0)), struct.pack(">I", len(chunk.words)), ids)
 
-def _key(doc_id: int | None, text: bytes) -> int:
-    """Of a row: repeated rows share it, copies under other ids don't, so no key is common."""
-    return xxhash.xxh3_64_intdigest(text, seed=(hash(doc_id) if doc_id is not None else 1 << 63) & ((1 << 64) - 1)) - (1 << 63)
+    return docs.mapInArrow(run, ROW)
 
 
-def encode(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> DataFrame:
+class Pieces:
+    """The piece of each id, with a space behind it; the vocabulary is of fixed size."""
+
+    def __init__(self, tokenizer):
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        pieces = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            pieces[i] = piece.encode() + b" "
+        self.pieces = pa.array(pieces, pa.large_binary())
+
+    def of(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Pieces of ids as the library's decode gives them where the tokenizer names no decoder, one behind another, and
+        where each begins; the last space is beyond a text."""
+        out = self.pieces.take(pa.array(ids.astype(np.int64)))
+        offsets = np.frombuffer(out.buffers()[1], dtype=np.int64)[: len(out) + 1]
+        return memoryview(out.buffers()[2] or b""), offsets
+
+
+class Dictionary:
+    """A chunk's words' ids, gathered from the buckets."""
+
+    def __init__(self):
+        self.places, self.sizes, self.ids = [], [], []
+
+    def add(self, numbers: bytes, sizes: bytes, ids: bytes) -> None:
+        self.places.append(np.cumsum(_unpack(numbers), dtype=np.int64))
+        self.sizes.append(_unpack(sizes).astype(np.int64))
+        self.ids.append(_unpack(ids))
+
+    def close(self, n_words: int) -> None:
+        places, sizes = np.concatenate([*self.places, np.empty(0, dtype=np.int64)]), np.concatenate([*self.sizes, np.empty(0, dtype=np.int64)])
+        if len(places) != n_words:
+            raise RuntimeError("the texts were not the same when they were read again: give a table of files or a checkpoint")
+        self.flat = np.concatenate([*self.ids, np.empty(0, dtype="<u4")])
+        self.size, self.start = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.int64)
+        self.size[places], self.start[places] = sizes, np.cumsum(sizes) - sizes
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one behind another, and where each word's end."""
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[codes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _texts(chunk: Dictionary, codes: np.ndarray, ends: np.ndarray, pieces: Pieces) -> Iterator[list[tuple[np.ndarray, memoryview]]]:
+    """Ids and decoded bytes of each text, in parts of at most _BLOCK words, with a space behind each piece."""
+    begins, k = np.concatenate([[0], ends[:-1]]), 0
+    while k < len(ends):
+        last = max(int(np.searchsorted(ends, begins[k] + _BLOCK, "right")), k + 1)  # these texts together, or one long text
+        parts: list[list] = [[] for _ in range(last - k)]
+        for lo in range(int(begins[k]), max(int(ends[last - 1]), int(begins[k]) + 1), _BLOCK):
+            hi = min(lo + _BLOCK, int(ends[last - 1]))
+            ids, stops = chunk.of(codes[lo:hi])
+            raw, offsets = pieces.of(ids)
+            stops = np.concatenate([[0], stops])
+            a, b = (stops[np.clip(x[k:last] - lo, 0, hi - lo)] for x in (begins, ends))
+            for part, x, y, p, q in zip(parts, a.tolist(), b.tolist(), offsets[a].tolist(), offsets[b].tolist(), strict=True):
+                part.append((ids[x:y], raw[p:q]))
+        yield from parts
+        k = last
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian 32-bit integers and decoded as UTF-8, both binary, of every
     row of docs; a null text is empty.
 
@@ -124,124 +191,65 @@ def encode(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> D
     gives an empty table.
     """
 
-    def whole(ids: np.ndarray, pieces: Pieces) -> tuple[int, bytes, bytes]:
-        return len(ids), ids.tobytes(), pieces.of(ids)
+    def whole(parts: list) -> tuple[int, bytes, bytes]:
+        return sum(len(x) for x, _ in parts), b"".join(x.tobytes() for x, _ in parts), b"".join(y for _, y in parts)[:-1]
 
-    return _encoded(docs, path, head_size, whole, "n_tokens long, ids binary, decoded binary")
+    return _encoded(docs, path, whole, "n_tokens long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, head_size: int = HEAD) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as `encode` gives them."""
 
-    def short(ids: np.ndarray, pieces: Pieces) -> tuple[int, str, str]:
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(pieces.of(ids)).hexdigest()
+    def short(parts: list) -> tuple[int, str, str]:
+        n, ids, text, held = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for x, y in parts:
+            n += len(x)
+            ids.update(x.tobytes())
+            if len(y):
+                text.update(held)
+                text.update(y[:-1])
+                held = b" "
+        return n, ids.hexdigest(), text.hexdigest()
 
-    return _encoded(docs, path, head_size, short, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, short, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _encoded(docs: DataFrame, path: str | None, head_size: int, finish, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFrame:
     spark, path = docs.sparkSession, path or tokens.default_path()
     common.tune(spark)
-    folder = common.work_dir(spark, "bpe")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = common.written(word_table(docs, path), folder, "words")
-    head = table.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_size).toArrow().combine_chunks()
-    least = head["c"][-1].as_py() if head.num_rows else 0
-    # as two plain buffers: a worker keeps what it has been sent
-    shared_words = spark.sparkContext.broadcast(b"\n".join(head["word"].to_pylist()))
-    ids = head["ids"].to_pylist()
-    shared_ids = spark.sparkContext.broadcast((np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
-
-    def slotted(text: bytes, ranks: dict[bytes, int]) -> tuple[list[int], list[bytes]]:
-        """Ranks of a text's words; a word without one has its slot number beyond all ranks. The words of the slots."""
-        words = canonical(text).split()
-        found, n = list(map(ranks.get, words)), len(ranks)
-        slots: dict[bytes, int] = {}
-        if None in found:
-            found = [slots.setdefault(w, len(slots)) + n if r is None else r for w, r in zip(words, found, strict=True)]
-        return found, list(slots)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(folder, shared_words)
-        for ids, texts in common.text_rows(batches):
-            keys, slots, words = [], [], []
-            for doc_id, text in zip(ids, texts, strict=True):
-                new = slotted(text, ranks)[1]
-                if new:
-                    keys += [_key(doc_id, text)] * len(new)
-                    slots += range(len(new))
-                    words += new
-            for lo in range(0, len(keys), _CHUNK):
-                at = slice(lo, lo + _CHUNK)
-                yield pa.record_batch({"key": pa.array(keys[at], pa.int64()), "slot": pa.array(slots[at], pa.int32()), "word": pa.array(words[at], pa.binary())})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(folder, shared_words)
-        for ids, texts in common.text_rows(batches):
-            rows = [_pack(np.array(slotted(x, ranks)[0], dtype="<u4")) for x in texts]
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(list(map(_key, ids, texts)), pa.int64()), "packed": pa.array(rows, pa.binary())})
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _RANKS.clear()  # ranks aren't needed any more
-        pieces, (flat, ends) = Pieces(path), shared_ids.value
-        n = len(ends)
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
-        for batch in batches:
-            out = []
-            for row, found in zip(batch.column("packed").to_pylist(), batch.column("rest").to_pylist(), strict=True):
-                own = sorted({(x["slot"], x["ids"]) for x in found or []})  # a row that is there twice has each slot twice
-                tail = np.frombuffer(b"".join(x for _, x in own), dtype="<u4")
-                out.append(finish(_gather(_unpack(row), n, flat, ends, tail, np.cumsum([len(x) // 4 for _, x in own], dtype=np.int64)), pieces))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
-
-    # of words that have no rank the table's rows are all at or below the least count of those that do
-    beyond = table.where((F.col("c") <= least) | (F.length("word") > HEAD_BYTES)).select("word", "ids")
-    gathered = docs.mapInArrow(rest, "key long, slot int, word binary").join(beyond, "word").select("key", "slot", "ids")
-    gathered = gathered.groupBy("key").agg(F.collect_list(F.struct("slot", "ids")).alias("rest"))
-    texts = docs.mapInArrow(packed, "doc_id long, key long, packed binary")
-    return texts.join(gathered, "key", "left").select("doc_id", "packed", "rest").mapInArrow(put, f"doc_id long, {schema}")
-
-
-def _pack(ranks: np.ndarray) -> bytes:
-    """Ranks by byte planes, compressed: high planes are nearly all alike."""
-    planes = np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes.tobytes())
+    def rows_of(ids: list, out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        return pa.record_batch([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
+    if not tokens.by_words(path):  # texts go to the library whole
 
-def _unpack(row: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
-def _gather(ranks: np.ndarray, n: int, flat: np.ndarray, ends: np.ndarray, tail: np.ndarray, tail_ends: np.ndarray) -> np.ndarray:
-    """The ids of ranks (below n in flat, others in tail), each a run that ends at its end, one after another."""
-    is_tail = ranks >= n
-    all_ends = np.zeros(len(ranks), dtype=np.int64)
-    sizes = np.zeros(len(ranks), dtype=np.int64)
-    for mask, e, base in ((~is_tail, ends, 0), (is_tail, tail_ends, n)):
-        at = ranks[mask] - base
-        if len(at):
-            all_ends[mask] = e[at]
-            sizes[mask] = e[at] - np.where(at > 0, e[at - 1], 0)
-    stops = np.cumsum(sizes)
-    source = np.repeat(all_ends - stops, sizes) + np.arange(stops[-1] if len(stops) else 0)
-    if not is_tail.any():
-        return flat[source]
-    from_tail = np.repeat(is_tail, sizes)
-    out = np.empty(len(source), dtype="<u4")
-    out[~from_tail] = flat[source[~from_tail]]
-    out[from_tail] = tail[source[from_tail]]
-    return out
-
-
-_RANKS: dict[str, dict[bytes, int]] = {}
-
-
-def _ranks(name: str, shared) -> dict[bytes, int]:
-    """The ranks of the broadcast words, as one dict for each worker process."""
-    if name not in _RANKS:
-        _RANKS.clear()
-        _RANKS[name] = {w: i for i, w in enumerate(shared.value.split())}
-    return _RANKS[name]
+        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = tokens.Encoder.of(path)
+            for ids, texts in common.text_rows(batches):
+                found = [np.frombuffer(x, dtype="<u4") for x in encoder.one_by_one(texts)]
+                yield rows_of(ids, [finish([(x, encoder.tokenizer.decode(x.tolist(), skip_special_tokens=False).encode() + b" ")]) for x in found])
+
+        return docs.mapInArrow(direct, f"doc_id long, {schema}")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, now, chunk, open_ = Pieces(tokens.load(path)), None, Dictionary(), False
+        for batch in batches:
+            for key, kind, numbers, sizes, ids, doc_ids in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "numbers", "sizes", "ids", "docs")), strict=True):
+                if key != now:
+                    now, chunk, open_ = key, Dictionary(), True
+                if kind == 0:
+                    chunk.add(numbers, sizes, ids)
+                    continue
+                if open_:
+                    chunk.close(struct.unpack(">I", ids)[0])
+                    open_ = False
+                yield rows_of(doc_ids, list(map(finish, _texts(chunk, _unpack(numbers).astype(np.int64), np.cumsum(_unpack(sizes), dtype=np.int64), pieces))))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("part", F.spark_partition_id())
+    rows = encoded_words(docs, path).union(coded_texts(docs)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    return rows.mapInArrow(put, f"doc_id long, {schema}")

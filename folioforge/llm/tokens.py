@@ -89,12 +89,16 @@ def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words.dictionary_encode(), ends
 
 
-def runs(stops: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs that `which` names, one after another, where run k ends at stops[k]; and their sizes."""
-    end = stops[which]
-    sizes = end - np.where(which > 0, stops[which - 1], 0)
+def spans(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from each begin to its end, one behind another, and how many each gives."""
+    sizes = ends - begins
     after = np.cumsum(sizes)
-    return np.repeat(end - after, sizes) + np.arange(after[-1] if len(after) else 0), sizes
+    return np.repeat(ends - after, sizes) + np.arange(after[-1] if len(after) else 0), sizes
+
+
+def runs(stops: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs that `which` names, one behind another, where run k ends at stops[k]; and their sizes."""
+    return spans(np.where(which > 0, stops[which - 1], 0), stops[which])
 
 
 class Encoder:
