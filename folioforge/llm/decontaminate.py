@@ -2,20 +2,21 @@
 
 Documents and benchmark items are sequences of words (lower case, cut to letters and digits at both ends). The CGK walk
 copies the word it stands on and, by a random bit of word and time, steps on or stays; sequences at a small edit distance
-walk mostly in step, so edit distance becomes Hamming distance between walks. Repeated bit sampling hashes a few places
-of the walk; a window that falls into a bucket of an item is a candidate for it, and every candidate is verified by the
-exact edit distance of the item to the nearest run of words around the window.
-
-A window can be that near to an item of its size only if most of its words occur in items of that size, and a candidate
-is near to its item only if most of the item's length in words around it are the item's; what has fewer is passed over
-before it walks or is verified. This loses none. Where the samples of walks would not reach the recall, as with long items,
-nothing is sampled: every window that is not passed over is a candidate. The benchmark is taken in blocks of bounded size, each of which goes to
-all documents as a broadcast.
+walk mostly in step, so edit distance becomes Hamming distance between walks. Bit sampling hashes a few places of a walk,
+repeatedly; a window that falls into a bucket of an item is a candidate for it, and every candidate is verified by the exact
+edit distance of the item to the nearest run of words around the window.
+
+All samples of a walk fail together where the walk goes astray, so items of a length get several walks: as many as it takes
+until copies of the items, edited as much as is allowed, are found with the recall that is asked for. Where that takes more
+than MAX_WALKS, every window that is walked is a candidate, which finds all.
+
+Not all windows are walked. Edits cut an item into one run of words more than there are edits, so a near copy has one of
+the item's short runs unchanged, and at about the item's place in it; windows without one are passed over, which loses none.
+The benchmark is taken in blocks of bounded size, each of which goes to all documents as a broadcast.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,20 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 #: An item is found where the edit distance in words is at most this share of its length.
 SHARE = 0.2
-#: Items with fewer words need an exact copy: a share of so few words says little.
-LEAST_WORDS = 8
-#: Sampled places of a walk for a bucket, and the recall to reach at the largest distance allowed.
-PLACES, RECALL, MAX_REPEATS = 2, 0.99, 64
-#: Words of the longest item that is sampled: one walk for all samples has been seen to reach the recall up to here.
-SAMPLED_WORDS = 50
+#: Places of a walk in a sample, samples of a walk, walks at most, the recall to reach, and the edited copies it is tried on.
+PLACES, SAMPLES, MAX_WALKS, RECALL, TRIED = 2, 16, 32, 0.995, 400
 #: Bytes of benchmark text in a block.
-BLOCK_BYTES = 4 << 20
-#: Bytes of documents that are searched together.
-BATCH_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _SEED = 20_11
 _CACHE = 400_000
 _EDGES = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -47,8 +42,14 @@ def normal(word: bytes) -> bytes:
     return word.lower().strip(_EDGES)
 
 
-def _allowed(n: int) -> int:
-    return int(SHARE * n) if n >= LEAST_WORDS else 0
+def allowed(n: int) -> int:
+    """Edits of an item of n words."""
+    return int(SHARE * n)
+
+
+def gram(n: int) -> int:
+    """Words of the run that a near copy of an item of n words has unchanged: some part of an item cut by edits has so many."""
+    return min(4, -(-(n - allowed(n)) // (allowed(n) + 1)))
 
 
 def walks(ids: np.ndarray, starts: np.ndarray, n: int, length: int, coins: np.ndarray) -> np.ndarray:
@@ -82,157 +83,146 @@ def edit_ends(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(rows[end]), int(begin[end]), end
 
 
+class Plan:
+    """The walks and samples for items of one length, and the items' buckets."""
+
+    def __init__(self, n: int, items: list[int], words: list[np.ndarray]):
+        self.n, self.edits, self.length = n, allowed(n), 2 * n  # a walk stands at the end after about 2n steps
+        self.items, self.walks, self.exact = items, [], False
+        rng = np.random.default_rng([_SEED, n])
+        own, begins = np.concatenate([words[k] for k in items]), np.arange(len(items)) * n
+        tried = [self._edited(words[items[i % len(items)]], rng) for i in range(TRIED if self.edits else 1)]
+        copies, source = np.concatenate(tried), np.arange(len(tried)) % len(items)
+        missed, keys = np.ones(len(tried), dtype=bool), []
+        while missed.mean() > 1 - RECALL:
+            if len(self.walks) == MAX_WALKS:
+                self.exact, self.walks = True, []
+                return
+            coins = rng.integers(0, 1 << 64, size=(self.length, 2), dtype=np.uint64) | np.array([1, 0], dtype=np.uint64)
+            places = np.stack([np.sort(rng.choice(self.length, size=min(PLACES, self.length), replace=False)) for _ in range(SAMPLES)])
+            self.walks.append((coins, places))
+            mine = _keys(walks(own, begins, n, self.length, coins), places, len(keys))
+            theirs = _keys(walks(copies, np.arange(len(tried)) * n, n, self.length, coins), places, len(keys))
+            missed &= ~(mine[source] == theirs).any(1)
+            keys.append(mine.ravel())
+        found, which = np.concatenate(keys), np.tile(np.repeat(np.array(items), SAMPLES), len(keys))
+        order = np.argsort(found, kind="stable")
+        self.keys, self.which = found[order], which[order]
+
+    def _edited(self, words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The first n words of a copy with as many edits as are allowed; new words are in no item."""
+        out = words.tolist()
+        for _ in range(self.edits):
+            at, kind = int(rng.integers(len(out))), rng.integers(3)
+            out[at : at + 1] = [] if kind == 0 else [0] if kind == 1 else [0, out[at]]
+        return np.array((out + [0] * self.n)[: self.n], dtype=np.int32)
+
+    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(starts, items) that share a bucket."""
+        if self.exact:
+            yield np.tile(starts, len(self.items)), np.repeat(np.array(self.items), len(starts))
+            return
+        step = max(1, (1 << 22) // self.length)
+        for lo in range(0, len(starts), step):
+            part = starts[lo : lo + step]
+            for w, (coins, places) in enumerate(self.walks):
+                own = _keys(walks(ids, part, self.n, self.length, coins), places, w).ravel()
+                left, right = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+                at, sizes = tokens.spans(left, right)
+                if len(at):
+                    yield np.repeat(np.repeat(part, SAMPLES), sizes), self.which[at]
+
+
 class Items:
-    """One block of items, ready to search: their words' numbers, coins, sampled places and buckets."""
+    """One block of items, ready to search."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        rng = np.random.default_rng(_SEED)
         self.number: dict[bytes, int] = {}
         self.words: list[np.ndarray] = []
         self.item_ids: list[int] = []
+        by_length: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
             words = [w for w in map(normal, text.split()) if w]
             if words:
+                by_length[len(words)].append(len(self.words))
                 self.words.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], dtype=np.int32))
                 self.item_ids.append(item_id)
-        longest = max((len(w) for w in self.words), default=1)
-        self.coins = rng.integers(0, 1 << 64, size=(3 * longest, 2), dtype=np.uint64) | np.array([1, 0], dtype=np.uint64)
-        self.by_length: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            self.by_length[len(w)].append(k)
-        self.rows = {n: np.stack([self.words[k] for k in ks]) for n, ks in self.by_length.items()}
-        #: Whether an item of a length has a word.
-        self.any_has = {n: np.isin(np.arange(len(self.number) + 1), rows) for n, rows in self.rows.items()}
-        #: By length: sampled places, sorted bucket keys, and the item of each key.
-        #: None: so many samples would be needed that every window that can be near is a candidate.
-        self.plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray] | None] = {}
-        for n, ks in self.by_length.items():
-            length = 2 * n  # a walk stands at the end after about 2n steps
-            own = {k: walks(self.words[k], np.zeros(1, dtype=np.int64), n, length, self.coins)[0] for k in ks}
-            repeats = self._repeats(n, ks, length, rng)
-            if repeats is None:
-                self.plans[n] = None
-                continue
-            places = np.stack([np.sort(rng.choice(length, size=min(PLACES, length), replace=False)) for _ in range(repeats)])
-            keys = np.concatenate([_keys(own[k][None, :], places)[0] for k in ks])
-            order = np.argsort(keys, kind="stable")
-            self.plans[n] = places, keys[order], np.repeat(np.array(ks), repeats)[order]
-
-    def _repeats(self, n: int, ks: list[int], length: int, rng: np.random.Generator) -> int | None:
-        """So many samples that a window at the largest distance shares one with the item, as tried on edited items; None
-        where MAX_REPEATS of them don't reach the recall, or where the item is long, as all samples of a walk fail together."""
-        edits, same = _allowed(n), []
-        if not edits:
-            return 1
-        for k in (ks * 40)[:40]:
-            words = list(self.words[k])
-            for _ in range(edits):
-                at, kind = int(rng.integers(len(words))), rng.integers(3)
-                if kind == 0:
-                    words[at] = 0
-                elif kind == 1 and len(words) > 1:
-                    del words[at]
-                else:
-                    words.insert(at, 0)
-            padded = np.zeros(max(n, len(words)), dtype=np.int32)
-            padded[: len(words)] = words
-            one = walks(padded, np.zeros(1, dtype=np.int64), n, length, self.coins)[0]
-            two = walks(self.words[k], np.zeros(1, dtype=np.int64), n, length, self.coins)[0]
-            same.append((one == two).mean())
-        p = float(np.quantile(same, 0.1)) ** PLACES
-        if p >= 1:
-            return 1
-        wanted = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - p))) if p > 0 else MAX_REPEATS + 1
-        return wanted if wanted <= MAX_REPEATS and n <= SAMPLED_WORDS else None
-
-    def _near(self, ids: np.ndarray, owner: np.ndarray, who: np.ndarray, which: np.ndarray, n: int, edits: int) -> np.ndarray:
-        """Of candidates (start, item) those that can be near: (document, item, start). At a distance of at most edits, at least
-        n - edits words around the start are words of the item, and as many places of the item have their word there."""
-        once = np.unique(who * len(self.words) + which)  # several samples find the same
-        who, which = once // len(self.words), once % len(self.words)
-        kept = [np.zeros((0, 3), dtype=np.int64)]
-        step = max(1, min(2048, (1 << 25) // (n * (n + 2 * edits))))
-        for lo in range(0, len(who), step):
-            start, item = who[lo : lo + step], which[lo : lo + step]
-            around = ids[np.clip(start[:, None] + np.arange(-edits, n + edits), 0, len(ids) - 1)]
-            same = around[:, :, None] == self.rows[n][np.searchsorted(self.by_length[n], item)][:, None, :]
-            enough = (same.any(2).sum(1) >= n - edits) & (same.any(1).sum(1) >= n - edits)
-            kept.append(np.stack([owner[start], item, start], axis=1)[enough])
-        return np.concatenate(kept)
+        self.plans = {n: Plan(n, ks, self.words) for n, ks in by_length.items()}
+        #: By size: sorted hashes of the items' runs of so many words, the item of each, and its place there.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({gram(n) for n in by_length}):
+            rows = [(h, k, i) for n, ks in by_length.items() if gram(n) == size for k in ks for i, h in enumerate(_grams(self.words[k], size).tolist())]
+            table = np.array(rows, dtype=np.uint64)
+            table = table[np.argsort(table[:, 0], kind="stable")]
+            self.grams[size] = table[:, 0].copy(), table[:, 1].astype(np.int64), table[:, 2].astype(np.int64)
+
+    def _starts(self, ids: np.ndarray, owner: np.ndarray) -> dict[int, np.ndarray]:
+        """By length of items: the starts of windows that have a run of an item at about its place there."""
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for size, (hashes, items, places) in self.grams.items():
+            own = _grams(ids, size)
+            known = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(ids > 0, size).all(1)) if len(own) else own[:0].astype(np.int64)
+            own = own[known]
+            near = np.searchsorted(hashes, own)
+            hit = hashes[np.minimum(near, len(hashes) - 1)] == own
+            known, own = known[hit], own[hit]
+            at, sizes = tokens.spans(np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right"))
+            where, n = np.repeat(known, sizes) - places[at], np.array([len(w) for w in self.words])[items[at]]
+            doc = np.repeat(owner[known], sizes)
+            for length in np.unique(n).tolist():
+                mine, edits = n == length, allowed(length)
+                starts = np.unique((where[mine] + (doc[mine] << 40))[:, None] + np.arange(-edits, edits + 1))
+                doc_of, starts = (starts + (1 << 39)) >> 40, ((starts + (1 << 39)) & ((1 << 40) - 1)) - (1 << 39)
+                fit = (starts >= 0) & (starts < len(ids))
+                doc_of, starts = doc_of[fit], starts[fit]
+                found[length].append(starts[owner[starts] == doc_of])
+        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
 
     def search(self, ids: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, distance, start, end) of verified finds in documents laid end to end (owner: document of each
-        word); of finds of an item in a document the nearest, then the first."""
-        zero = np.zeros(1, dtype=np.int32)
+        """(document, item, distance, start, end) of verified finds in documents laid end to end, with a 0 between them (owner:
+        document of each word); of finds of an item in a document the nearest, then the first."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, plan in self.plans.items():
-            edits = _allowed(n)
-            own = self.any_has[n][ids]
-            inside = np.concatenate([zero, np.cumsum(own, dtype=np.int32)])
-            inside = np.concatenate([inside, np.full(n - 1, inside[-1], dtype=np.int32)])
-            starts = np.flatnonzero(inside[n:] - inside[: len(ids)] >= n - edits)
-            pairs = []  # (document, item, start)
-            if n > SAMPLED_WORDS:  # each item's own words are counted along the text, as many starts pass beside a find
-                for k in self.by_length[n] if len(starts) else []:
-                    own = np.zeros(len(self.number) + 1, dtype=bool)
-                    own[self.words[k]] = True
-                    mine = np.concatenate([zero, np.cumsum(own[ids], dtype=np.int32)])
-                    part = starts[mine[np.minimum(starts + n, len(ids))] - mine[starts] >= n - edits]
-                    pairs.append(np.stack([owner[part], np.full(len(part), k), part], axis=1))
-                starts = starts[:0]
-            for lo in range(0, len(starts), 1 << 12):
-                part = starts[lo : lo + (1 << 12)]
-                if plan is None:
-                    for k in self.by_length[n]:
-                        pairs.append(self._near(ids, owner, part, np.full(len(part), k), n, edits))
-                    continue
-                places, keys, items = plan
-                own = _keys(walks(ids, part, n, int(places.max()) + 1, self.coins), places).ravel()
-                left = np.searchsorted(keys, own, "left")
-                at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == own)
-                while len(at):  # a key can stand for several items
-                    who, which = part[at // len(places)], items[left[at]]
-                    pairs.append(self._near(ids, owner, who, which, n, edits))
-                    left[at] += 1
-                    at = at[(left[at] < len(keys)) & (keys[np.minimum(left[at], len(keys) - 1)] == own[at])]
-            if not sum(map(len, pairs)):
+        for n, starts in self._starts(ids, owner).items():
+            plan = self.plans[n]
+            pairs = [np.stack([owner[at], which, at], axis=1) for at, which in plan.candidates(ids, starts)]
+            if not pairs:
                 continue
             found = np.unique(np.concatenate(pairs), axis=0)
             # starts that are near each other are verified together
             cut = np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] - found[:-1, 2] > n)) + 1
             for group in np.split(found, cut):
                 doc, k = int(group[0, 0]), int(group[0, 1])
-                first, end = int(np.searchsorted(owner, doc, "left")), int(np.searchsorted(owner, doc, "right"))
-                lo = max(int(group[0, 2]) - edits, first)
-                distance, a, b = edit_ends(self.words[k], ids[lo : min(int(group[-1, 2]) + n + edits, end)])
-                if distance <= edits:
+                first, end = int(np.searchsorted(owner, doc, "left")), int(np.searchsorted(owner, doc, "right")) - 1
+                lo = max(int(group[0, 2]) - plan.edits, first)
+                text = ids[lo : min(int(group[-1, 2]) + n + plan.edits, end)]
+                if np.isin(self.words[k], text).sum() < n - plan.edits:
+                    continue
+                distance, a, b = edit_ends(self.words[k], text)
+                if distance <= plan.edits:
                     best[doc, k] = min(best.get((doc, k), (1 << 30, 0, 0)), (distance, lo + a - first, lo + b - first))
         return [(doc, self.item_ids[k], d, a, b) for (doc, k), (d, a, b) in sorted(best.items())]
 
 
-def _keys(walk: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """[walk, sample]: a hash of the words at the sampled places, and of the sample."""
-    out = np.tile(np.arange(len(places), dtype=np.uint64), (len(walk), 1))
+def _grams(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    if len(ids) < size:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(len(ids) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ ids[k : len(ids) - size + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _keys(walk: np.ndarray, places: np.ndarray, nth: int) -> np.ndarray:
+    """[walk, sample]: a hash of the words at the sampled places, of the sample and of which walk it is."""
+    out = np.tile(np.arange(len(places), dtype=np.uint64) + np.uint64(nth << 32), (len(walk), 1))
     for column in range(places.shape[1]):
         out = (out ^ walk[:, places[:, column]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows by the BATCH_BYTES of text: fewer, longer arrays."""
-    all_ids, all_texts, size = [], [], 0
-    for ids, texts in common.text_rows(batches):
-        all_ids += ids
-        all_texts += texts
-        size += sum(map(len, texts))
-        if size > BATCH_BYTES:
-            yield all_ids, all_texts
-            all_ids, all_texts, size = [], [], 0
-    if all_ids:
-        yield all_ids, all_texts
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of at most BLOCK_BYTES of text (or one item), read one block at a time."""
     held, size = [], 0
@@ -267,7 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, known = shared.value, {}
-            for ids, texts in _gathered(batches):
+            for ids, texts in common.text_rows(batches):
                 rows = list(_search(items, ids, texts, known))
                 if len(known) > _CACHE:
                     known.clear()
@@ -282,28 +272,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _search(items: Items, doc_ids: list, texts: list[bytes], known: dict[bytes, int]) -> Iterator[tuple]:
-    number, numbers, places, owners = items.number, [], [], []
-    for i, text in enumerate(texts):
-        words = text.split()
-        try:
-            row = np.array(list(map(known.__getitem__, words)), dtype=np.int32)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    core = normal(w)
-                    known[w] = number.get(core, 0) if core else -1
-            row = np.array(list(map(known.__getitem__, words)), dtype=np.int32)
-        at = np.flatnonzero(row >= 0)
-        numbers.append(row[at])
-        places.append(at)
-        owners.append(np.full(len(at), i, dtype=np.int64))
-    ids, owner = np.concatenate(numbers), np.concatenate(owners)
-    if not len(ids):
-        return
-    for doc, item, distance, a, b in items.search(ids, owner):
-        own = places[doc]
+    words, ends = tokens.words_of(texts)
+    listed = words.dictionary.to_pylist()  # each with a space behind it; a space alone is no word
+    for w in listed:
+        if w not in known:
+            core = normal(w[:-1])
+            known[w] = items.number.get(core, 0) if core else -1 if len(w) > 1 else -2
+    row = np.array([known[w] for w in listed], dtype=np.int32)[words.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    solid = row > -2
+    place = np.cumsum(solid) - 1  # a word's number, over all texts
+    row, owner, place = row[solid], owner[solid], place[solid]
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    at = np.flatnonzero(row >= 0)
+    behind = np.searchsorted(owner[at], np.arange(len(texts)), "right")
+    ids, owners = np.insert(row[at], behind, 0), np.insert(owner[at], behind, np.arange(len(texts)))
+    begin = np.searchsorted(owner[at], np.arange(len(texts)))
+    for doc, item, distance, a, b in items.search(ids, owners):
         if b > a:
-            yield doc_ids[doc], item, distance, int(own[a]), int(own[b - 1]) + 1
+            own = place[at[begin[doc] + a]] - first[doc], place[at[begin[doc] + b - 1]] - first[doc] + 1
+            yield doc_ids[doc], item, distance, int(own[0]), int(own[1])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
