@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,73 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+class Log:
+    """Names of the tables that make up a store in a shared folder, by version. A commit is one appended row, so a reader
+    sees all of a version or nothing, and what was written without a commit is as if it were not there."""
+
+    SCHEMA = "version long, names array<string>, options map<string,string>"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, f"{folder}/commits"
+        self.version, self.names, self.options = 0, [], {}
+        try:
+            last = spark.read.schema(self.SCHEMA).parquet(self.folder).orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        if last is not None:
+            self.version, self.names, self.options = last.version, list(last.names), dict(last.options)
+
+    def commit(self, names: list[str]) -> None:
+        self.version, self.names = self.version + 1, list(names)
+        row = self.spark.createDataFrame([(self.version, self.names, self.options)], self.SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(self.folder)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def text_rows(batches: Iterator[pa.RecordBatch], key: str = "doc_id") -> Iterator[tuple[list, list[bytes]]]:
+def text_rows(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_id and text of the rows of each batch; of at most so many bytes of text, or one text, where most is given."""
     for batch in batches:
         if batch.num_rows:
-            yield batch.column(key).to_pylist(), raw_texts(batch.column("text"))
+            ids, texts = batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))
+            first, size = 0, 0
+            for k, text in enumerate(texts):
+                if most is not None and k > first and size + len(text) > most:
+                    yield ids[first:k], texts[first:k]
+                    first, size = k, 0
+                size += len(text)
+            yield ids[first:], texts[first:]
+
+
+_SPACE = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+
+
+def spaced_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of texts, each with a space behind it, one after another by place in a dictionary; and where the words of
+    each text end. White space beside white space gives empty words."""
+    raw = b" ".join([*texts, b""]).translate(_SPACE)
+    stops = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32) + 1
+    wide = len(raw) >= 1 << 31
+    offsets = np.concatenate([[0], stops]).astype(np.int64 if wide else np.int32)
+    words = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    ends = np.searchsorted(stops, np.cumsum([len(x) + 1 for x in texts], dtype=np.int64), "right")
+    return words.dictionary_encode(), ends
+
+
+def word_codes(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, the place there of each word, one text after another, and where each text's words end."""
+    found, ends = spaced_words(texts)
+    listed, codes = [w[:-1] for w in found.dictionary.to_pylist()], found.indices.to_numpy()
+    if b"" in listed:
+        solid = codes != listed.index(b"")
+        codes, ends = codes[solid], np.concatenate([[0], np.cumsum(solid)])[ends]
+    return listed, codes, ends
 
 
 def mod_of_id(column, n: int):
