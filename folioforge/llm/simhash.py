@@ -4,8 +4,9 @@ Texts become 64-bit fingerprints over three-word shingles. The 64 bits are group
 eight; a partition is a run of groups. Two fingerprints that differ in at most tau bits differ, in at least one of m
 partitions, in at most t_i bits whenever the t_i + 1 sum to tau + 1 (t_i = -1: the partition is not probed). Each
 fingerprint gets its own t by dynamic programming on candidate counts that are estimated from histograms of the groups,
-so it is not probed where its value is common. Candidates meet by partition value, are verified there, and every bucket
-returns a spanning forest of its links instead of its pairs.
+so it is not probed where its value is common. Every fingerprint stands at its own value of each partition and asks at the
+values within its threshold; one that asks and one that stands at the same value are candidates, are verified there, and
+every bucket returns a spanning forest of its links instead of its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LAYOUTS = ((2, 2, 2, 2), (3, 3, 2), (4, 4))
 #: Cost of a probe row (a shuffled row) and of a candidate (one XOR and bit count).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 _SHINGLES = 1 << 16
+#: What a row does in a bucket, as bits.
+STANDS, ASKS = 1, 2
 #: Of keep_one: words of a shingle, least Jaccard similarity of near duplicates, and bands of minima for candidates.
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 
@@ -189,7 +192,7 @@ def links(nodes: DataFrame, folder: str, tau: int = 3, block: int = 512) -> Data
             fps, ids = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
             values = _ordered_bits(fps, order).astype(np.uint64)
             t, _ = allocate(values.astype(np.int64), layout, tables, n, tau)
-            at, keys, owners = 0, [], []
+            at, keys, owners, roles = 0, [], [], []
             for i, width in enumerate(layout):
                 value = np.zeros(len(fps), dtype=np.uint64)
                 for g in range(at, at + width):
@@ -198,25 +201,29 @@ def links(nodes: DataFrame, folder: str, tau: int = 3, block: int = 512) -> Data
                 own = np.uint64(i) << np.uint64(33)
                 keys.append(value | own)
                 owners.append(np.arange(len(fps)))
+                roles.append(np.where(t[:, i] >= 0, STANDS | ASKS, STANDS))
                 for radius in range(1, tau + 1):
                     who = np.flatnonzero(t[:, i] == radius)
                     if len(who):
                         masks = _flips(8 * width, radius)
                         keys.append(((value[who][:, None] ^ masks[None, :]) | own).ravel())
                         owners.append(np.repeat(who, len(masks)))
-            owner, key = np.concatenate(owners), np.concatenate(keys).view(np.int64)
+                        roles.append(np.full(len(who) * len(masks), ASKS))
+            owner, key, role = np.concatenate(owners), np.concatenate(keys).view(np.int64), np.concatenate(roles)
             for lo in range(0, len(owner), 1 << 16):
                 part = owner[lo : lo + (1 << 16)]
-                yield pa.record_batch({"key": pa.array(key[lo : lo + (1 << 16)]), "fp": pa.array(fps[part]), "node": pa.array(ids[part])})
+                yield pa.record_batch({"key": pa.array(key[lo : lo + (1 << 16)]), "fp": pa.array(fps[part]), "node": pa.array(ids[part]), "role": pa.array(role[lo : lo + (1 << 16)], pa.int32())})
 
-    probes = nodes.select("node", "fp").mapInArrow(probe, "key long, fp long, node long")
+    probes = nodes.select("node", "fp").mapInArrow(probe, "key long, fp long, node long, role int")
     probes = common.written(probes, folder, "probes")
-    large = common.written(probes.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("nb")), folder, "large")
+    large = probes.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("role") != STANDS).alias("asking")).where(F.col("count") > block)
+    large = common.written(large.select("key", F.ceil(F.col("count") / block).alias("nb"), (F.col("asking") > 0).alias("asked")), folder, "large")
     dealt = (
         probes.join(large, "key", "left")
+        .where(F.coalesce("asked", F.lit(True)))  # where none asks there are no candidates
         .withColumn("own", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("nb"))).cast("int"))
         .withColumn("other", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int")))))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "node")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "node", "role")
     )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -229,7 +236,7 @@ def _forests(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordB
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "own", "fp", "node")], axis=1)
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "own", "fp", "node", "role")], axis=1)
         last = (rows[:, :3] != rows[-1, :3]).any(1)
         cut = int(np.flatnonzero(last).max()) + 1 if last.any() else 0
         if cut == 0:
@@ -244,6 +251,11 @@ def _forests(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordB
         yield from _bucket_edges(np.concatenate(held), tau)
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether one of them asks where the other stands."""
+    return ((a & ASKS > 0) & (b & STANDS > 0)) | ((b & ASKS > 0) & (a & STANDS > 0))
+
+
 def _bucket_edges(rows: np.ndarray, tau: int) -> Iterator[pa.RecordBatch]:
     change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
     starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(rows)]])
@@ -251,11 +263,12 @@ def _bucket_edges(rows: np.ndarray, tau: int) -> Iterator[pa.RecordBatch]:
     prints = np.ascontiguousarray(rows[:, 4]).view(np.uint64)  # bits of signed numbers are counted without their sign
     pairs = starts[ends - starts == 2]  # most buckets with a candidate have one
     if len(pairs):
-        near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= tau
+        near = (np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= tau) & _meet(rows[pairs, 6], rows[pairs + 1, 6])
         out.append((rows[pairs[near], 5], rows[pairs[near] + 1, 5]))
     for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
         fps, ids = prints[lo:hi], rows[lo:hi, 5]
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.uint8) <= tau
+        near = (np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.uint8) <= tau) & _meet(rows[lo:hi, 6][:, None], rows[lo:hi, 6][None, :])
+        near |= np.eye(len(fps), dtype=bool)
         if near.sum() == len(fps):
             continue
         label = np.arange(len(fps))
@@ -304,17 +317,19 @@ def near_duplicates(docs: DataFrame, tau: int = 3, block: int = 512) -> DataFram
     fingerprint: 16 lowercase hex digits. component_id: the least doc_id that can be reached over links between
     fingerprints that differ in at most tau bits, itself included. n_same: rows with the same fingerprint. Null and
     empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id each give a row; rows with a
-    null doc_id take part by their fingerprint, but never name a component unless all its rows have a null doc_id, and
-    then component_id is null. Columns besides doc_id and text are ignored; an empty table gives an empty table.
+    null doc_id link like any other, but never name a component; where all its rows have a null doc_id, component_id is
+    null. Columns besides doc_id and text are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.work_dir(spark, "simhash")
     fps = common.written(fingerprints(docs), folder, "fps")
-    nodes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_same")), folder, "nodes")
-    edges = links(nodes.where(F.col("node").isNotNull()).select("node", "fp"), folder, tau, block)
-    labels = components(edges, folder)
-    found = nodes.join(labels, "node", "left").select("fp", "n_same", F.coalesce("label", "node").alias("component_id"))
+    nodes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_same")), folder, "nodes")
+    edges = links(nodes.select(F.col("fp").alias("node"), "fp"), folder, tau, block)
+    labels = components(edges, folder).withColumnRenamed("node", "fp")
+    tied = common.written(nodes.join(labels, "fp", "left").select("fp", "least", "n_same", "label"), folder, "tied")
+    names = tied.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("name"))
+    found = tied.join(names, "label", "left").select("fp", "n_same", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"))
     found = common.written(found, folder, "found")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
@@ -337,23 +352,25 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(12)
     turns = rng.integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.array([[0], [1]], dtype=np.uint64)
     mix = rng.integers(0, 1 << 64, size=ROWS, dtype=np.uint64) | np.uint64(1)
-    for ids, texts in common.text_rows(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
         whole, keys = [], []
-        for text in texts:
+        for text in common.raw_texts(batch.column("text")):
             found = shingles(text)
             whole.append(xxhash.xxh64_intdigest(found.tobytes()))
             least = np.array([((found ^ x) * y).min() if len(found) else 0 for x, y in turns.T], dtype=np.uint64)
             bands = least.reshape(BANDS, ROWS)
             keys.append(((bands ^ (bands >> np.uint64(31))) * mix).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "whole": pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), "keys": lists})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "sig": batch.column("sig"), "whole": pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), "keys": lists})
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
     """Of pairs (a, b) those whose texts' sets of shingles have a Jaccard similarity of at least SIMILAR."""
     pairs = common.written(pairs.distinct(), folder, f"pairs-{name}")
     ends = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes.join(ends, "whole").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(nodes.join(ends, "whole").select(F.col("node").alias("doc_id"), "sig").distinct(), ["doc_id", "sig"], "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.text_rows(batches):
@@ -367,27 +384,31 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str, nam
             near = [jaccard(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) >= SIMILAR for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    texts = common.written(texts.mapInArrow(sets, "whole long, found binary").dropDuplicates(["whole"]), folder, f"sets-{name}")
+    texts = common.written(texts.select("doc_id", "text").mapInArrow(sets, "whole long, found binary").dropDuplicates(["whole"]), folder, f"sets-{name}")
     both = pairs.join(texts.select(F.col("whole").alias("a"), F.col("found").alias("x")), "a").join(texts.select(F.col("whole").alias("b"), F.col("found").alias("y")), "b")
     return common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), folder, f"alike-{name}")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group, that of the least doc_id (one of rows that repeat it).
+    """One row of each near-duplicate group: of its rows with the least doc_id one.
 
     Texts are near duplicates where their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are
     what such links connect. Fingerprints at few bits do not find these (0.8 is about ten bits), so candidates share a band
     of minima (recall at 0.8 over 0.999) and are verified exactly. Each text of a bucket is first held against the bucket's
-    least; then only texts of a bucket that are not yet connected are paired. All columns are kept. Rows with a null doc_id
-    can't be named as a copy of another and all stay.
+    least; then only texts of a bucket that are not yet connected are paired. All columns are kept, whatever their names.
+    Rows that repeat a doc_id are rows like any other: unrelated ones all stay, and of equal ones any one does. Rows with a
+    null doc_id can't be named as a copy of another and all stay.
     """
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.work_dir(spark, "keep-one")
-    named = docs.where(F.col("doc_id").isNotNull())
-    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.written(texts.mapInArrow(_sketch, "doc_id long, whole long, keys array<long>"), folder, "sketches")
-    nodes = common.written(rows.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), folder, "nodes")
+    rows_ = docs.select(F.struct("*").alias("row"))  # no name of docs meets one of ours
+    rows_ = rows_.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("sig"))
+    named = rows_.where(F.col("doc_id").isNotNull())
+    texts = named.select("doc_id", "sig", F.col("row.text").cast("string").alias("text"))
+    rows = common.written(texts.mapInArrow(_sketch, "doc_id long, sig long, whole long, keys array<long>"), folder, "sketches")
+    nodes = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "sig")).alias("least"), F.first("keys").alias("keys"))
+    nodes = common.written(nodes.select("whole", F.col("least.doc_id").alias("node"), F.col("least.sig").alias("sig"), "keys"), folder, "nodes")
     places = nodes.select(F.explode("keys").alias("key"), "whole")
     least = places.groupBy("key").agg(F.min("whole").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     shared = common.written(places.join(least, "key"), folder, "shared")
@@ -399,7 +420,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rest = _alike(texts, nodes, x.join(y, "key").where("a > b and la <> lb").select("a", "b").join(shared.select(F.col("whole").alias("a"), "b"), ["a", "b"], "left_anti"), folder, "rest")
     labels = components(stars.union(rest), f"{folder}/components")
     groups = nodes.join(labels.withColumnRenamed("node", "whole"), "whole", "left").groupBy(F.coalesce("label", "whole").alias("label"))
-    keep = groups.agg(F.min("node").alias("doc_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = named.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = groups.agg(F.min(F.struct("node", "sig")).alias("x")).select(F.col("x.node").alias("doc_id"), F.col("x.sig").alias("sig")).distinct()
+    first = Window.partitionBy("doc_id", "sig").orderBy("doc_id")
+    kept = named.join(keep, ["doc_id", "sig"], "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return kept.select("row").unionByName(rows_.where(F.col("doc_id").isNull()).select("row")).select("row.*")
