@@ -7,6 +7,7 @@ unseen pairs alone, once a blob, and joins the findings of all its blobs back to
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,9 +70,10 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(sha, kind, version, spans) of each row of blobs (sha, text) for each rule that has a span there."""
+    """(sha, kind, version, spans) of each row of blobs (sha, text, todo) for each rule whose kind is in todo and that has a
+    span there; other rules are not tried."""
     listed = [r.kind for r in RULES]
-    columns = [spans_of(F.col("text"), r, listed.index(r.kind) if r.kind in listed else len(listed) + i).alias(r.kind) for i, r in enumerate(rules)]
+    columns = [F.when(F.array_contains("todo", r.kind), spans_of(F.col("text"), r, listed.index(r.kind) if r.kind in listed else len(listed) + i)).alias(r.kind) for i, r in enumerate(rules)]
     found = blobs.select("sha", *columns)
     versions = {r.kind: r.version for r in rules}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version"), F.col(k).alias("spans")) for k, v in versions.items()]))
@@ -79,17 +81,18 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 class Ledger:
-    """The blob ledger in one folder of Parquet tables; runs are appended and never rewritten."""
+    """The blob ledger in one folder of Parquet tables. Runs are appended and never rewritten; a run counts from its commit on,
+    so a ledger that is opened again knows what has been scanned, and a scan that was broken off is as if it had not been."""
 
     SEEN, FOUND = "sha string, kind string, version int", f"sha string, kind string, version int, spans array<{SPAN}>"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.runs = spark, folder, 0
+        self.spark, self.folder, self.log = spark, folder, common.Log(spark, folder)
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        if not self.runs:
+        if not self.log.names:
             return self.spark.range(0).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in StructType.fromDDL(schema)])
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/run={i}" for i in range(self.runs)])
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{run}" for run in self.log.names])
 
     def seen(self) -> DataFrame:
         return self._table("seen", self.SEEN)
@@ -103,31 +106,28 @@ class Ledger:
         Of the paths that hold an unseen blob the least one lends its text, so that only ids and hashes are grouped and a
         text is moved at most once.
         """
-        run = self.runs
+        run = f"run-{self.log.version}"
         named = common.written(paths.select("path", "sha"), self.folder, f"paths-{run}")
         blobs = named.groupBy("sha").agg(F.min("path").alias("path"))
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        if run:
+        if self.log.names:
             pairs = blobs.select("sha", "path", F.explode(wanted).alias("x")).select("sha", "path", "x.kind", "x.version")
             pairs = pairs.join(self.seen(), ["sha", "kind", "version"], "left_anti")
             todo = pairs.groupBy("sha", "path").agg(F.collect_set(F.struct("kind", "version")).alias("todo"))
         else:
             todo = blobs.withColumn("todo", wanted)
         todo = common.written(todo, self.folder, f"todo-{run}")
-        texts = paths.select("path", "text").join(todo.select("path", "sha", "todo"), "path")
-        found = scan_blobs(texts.select("sha", "text"), rules)
-        if run:  # of a blob that some rules have seen, the others' findings alone are new
-            found = found.join(self.seen(), ["sha", "kind", "version"], "left_anti")
-        found.write.mode("overwrite").parquet(f"{self.folder}/found/run={run}")
-        todo.select("sha", F.explode("todo").alias("x")).select("sha", "x.kind", "x.version").write.mode("overwrite").parquet(f"{self.folder}/seen/run={run}")
-        self.runs = run + 1
+        texts = paths.select("path", "text").join(todo.select("path", "sha", F.col("todo.kind").alias("todo")), "path")
+        scan_blobs(texts.select("sha", "text", "todo"), rules).write.mode("overwrite").parquet(f"{self.folder}/found/{run}")
+        todo.select("sha", F.explode("todo").alias("x")).select("sha", "x.kind", "x.version").write.mode("overwrite").parquet(f"{self.folder}/seen/{run}")
+        self.log.commit([*self.log.names, run])
         return named
 
     def of_paths(self, named: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(path, sha, spans): the findings of the given rules in each path's blob, by start, then kind as listed."""
         mine = self.findings().where(F.struct("kind", "version").isin(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules]))
         each = mine.groupBy("sha").agg(_merged().alias("spans"))
-        each = common.written(each, self.folder, f"joined-{self.runs}-{len(rules)}")
+        each = common.written(each, self.folder, f"joined-{self.log.version}-{uuid.uuid4().hex[:8]}")
         none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
         return named.join(each, "sha", "left").select("path", "sha", F.coalesce("spans", none).alias("spans"))
 
@@ -176,8 +176,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     sha = F.sha2(text.cast("binary"), 256)
     paths = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha")).alias("path"), sha.alias("sha"), text.alias("text"))
     ledger.scan(paths)
-    each = ledger.findings().groupBy("sha").agg(_merged().alias("_spans"))
+    each = ledger.findings().groupBy("sha").agg(_merged().alias("spans"))
     each = common.written(each, ledger.folder, "spans")
+    rows = docs.select(F.struct("*").alias("row"))  # no name of docs meets one of ours
+    rows = rows.select("row", F.col("row.text").cast("string").alias("text"), F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary"), 256).alias("sha"))
     start = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at:bigint,out:array<string>>")
 
     def step(state: Column, s: Column) -> Column:
@@ -188,6 +190,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     def end(state: Column) -> Column:
         return F.concat(F.array_join(state["out"], ""), F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
 
-    joined = docs.withColumn("_sha", sha).join(each.withColumnRenamed("sha", "_sha"), "_sha", "left")
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, end)).otherwise(F.col("text"))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, end)).otherwise(F.col("text"))
+    out = rows.join(each, "sha", "left").withColumn("row", F.col("row").withField("text", clean))
+    return out.select("row").select("row.*")
