@@ -1,9 +1,11 @@
 """Quality rules and an isolation forest on their statistics.
 
 Each text gives a row of rule statistics. Two base rules fail a text outright: too few words, or too many words in
-repeated three-word windows. The rest is judged by an isolation forest: random splits isolate rows that are unlike most
-in few steps, so a short mean path marks an anomaly. The forest is grown on a bounded sample of labelled good rows, and
-the path length below which a text is rejected is calibrated on all labelled rows.
+repeated three-word windows. The rest is judged by an isolation forest: random splits isolate rows that are unlike good ones
+in few steps, so a short mean path marks an anomaly. The splits of a tree are drawn from the range that all rows of the table
+take, labelled or not, and its paths end where good rows no longer need telling apart: a path into a part of the range that
+no good row takes is short. The good rows are a bounded sample of half of the labelled rows, and the path length below which
+a text is rejected is calibrated on all rows of the other half.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
-#: Bounds of the fit: good rows from which trees draw, trees, and rows that a tree draws.
-MAX_FIT_ROWS, TREES, DRAWN = 8192, 128, 256
+#: Bounds of the fit: good rows from which trees draw, trees, rows that a tree draws, and steps of a path.
+MAX_FIT_ROWS, TREES, DRAWN, MOST_STEPS = 8192, 128, 256, 40
 #: At most this share of labelled good rows may be rejected by the forest.
 MOST_GOOD_LOST = 0.01
 #: Cells of the calibration histogram.
@@ -95,13 +97,13 @@ def features(counts: np.ndarray) -> np.ndarray:
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     return np.stack(
         [
-            c["word_chars"] / words,
+            np.log1p(c["word_chars"] / words),
             c["n_symbols"] / chars,
             c["n_dup_lines"] / np.maximum(c["n_lines"], 1),
             c["n_repeat_words"] / words,
             c["n_upper"] / chars,
             c["n_digits"] / chars,
-            c["n_marks"] / words,
+            np.log1p(c["n_marks"] / words),
             np.log1p(c["longest"]),
             np.log1p(words / np.maximum(c["n_distinct"], 1)),
         ],
@@ -140,10 +142,10 @@ def _search_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray) -> Forest:
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> Forest:
+    """A forest over rows x, whose splits are uniform over what is left of the range from low to high."""
     rng = np.random.default_rng(_SEED)
-    drawn = min(DRAWN, len(x))
-    limit, nodes = max(1, math.ceil(math.log2(max(drawn, 2)))) + 2, []
+    drawn, nodes = min(DRAWN, len(x)), []
     for _ in range(TREES):
         feature, split, left, depth = [], [], [], []
 
@@ -154,21 +156,22 @@ def grow(x: np.ndarray) -> Forest:
             depth.append(0.0)
             return len(feature) - 1
 
-        queue = [(add(), x[rng.choice(len(x), drawn, replace=False)], 0)]
+        queue = [(add(), x[rng.choice(len(x), drawn, replace=False)], low, high, 0)]
         while queue:
-            node, rows, level = queue.pop(0)
-            low, high = rows.min(0), rows.max(0)
-            open_ = np.flatnonzero(high > low)
-            if level >= limit or len(rows) <= 1 or not len(open_):
+            node, rows, lo, hi, level = queue.pop(0)
+            open_ = np.flatnonzero(hi > lo)
+            if level >= MOST_STEPS or len(rows) <= 1 or not len(open_):
                 depth[node] = level + _search_path(len(rows))
                 continue
             f = int(rng.choice(open_))
-            at = float(rng.uniform(low[f], high[f]))
+            at = float(rng.uniform(lo[f], hi[f]))
             side = rows[:, f] >= at
             feature[node], split[node] = f, at
             a, b = add(), add()
             left[node] = a
-            queue += [(a, rows[~side], level + 1), (b, rows[side], level + 1)]
+            below, above = hi.copy(), lo.copy()
+            below[f] = above[f] = at
+            queue += [(a, rows[~side], lo, below, level + 1), (b, rows[side], above, hi, level + 1)]
         nodes.append((feature, split, left, depth))
     size = max(len(t[0]) for t in nodes)
 
@@ -181,50 +184,53 @@ def grow(x: np.ndarray) -> Forest:
 @dataclass
 class Model:
     forest: Forest | None
-    low: np.ndarray
-    high: np.ndarray
     threshold: float
 
     def anomaly(self, counts: np.ndarray) -> np.ndarray:
-        """Of the forest; where a rate lies outside all rows that the trees have seen, the more so the farther it does."""
-        x = features(counts)
-        if self.forest is None:
-            return np.zeros(len(x))
-        width = np.maximum(self.high - self.low, 1e-3)
-        beyond = np.maximum(np.maximum(self.low - x, x - self.high), 0) / width
-        return self.forest.anomaly(x) + 0.5 * np.minimum(beyond, 1).max(1)
+        return self.forest.anomaly(features(counts)) if self.forest is not None else np.zeros(len(counts))
+
+
+def ranges(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest of each feature over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features(_matrix(batch))
+                yield pa.record_batch({"at": pa.array(range(x.shape[1]), pa.int32()), "low": pa.array(x.min(0)), "high": pa.array(x.max(0))})
+
+    found = measured.mapInArrow(run, "at int, low double, high double").groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("at").toArrow()
+    return found["low"].to_numpy(), found["high"].to_numpy()
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
-    """From measured rows and labels (doc_id, quality). A doc_id with labels of both kinds counts as bad. Without good and
-    bad rows the forest rejects nothing."""
+    """From measured rows and labels (doc_id, quality). A doc_id with labels of both kinds counts as bad. The halves of the
+    labelled rows go by a hash of doc_id. Without a good row in the first and a bad row in the second, nothing is rejected."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    joined = measured.where(~base_failed()).join(known, "doc_id")
-    good = joined.where("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_ROWS).select(*COUNTS).toArrow()
-    if good.num_rows < 16:
-        return Model(None, np.zeros(0), np.zeros(0), math.inf)
-    rows = np.stack([good[c].to_numpy() for c in COUNTS], axis=1)
-    x = features(rows)
-    model = Model(grow(x), *np.quantile(x, [0.005, 0.995], axis=0), math.inf)
+    judged = measured.where(~base_failed())
+    joined = judged.join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    good = joined.where("quality > 0 and half = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_ROWS).select(*COUNTS).toArrow()
+    if not good.num_rows:
+        return Model(None, math.inf)
+    model = Model(grow(features(np.stack([good[c].to_numpy() for c in COUNTS], axis=1)), *ranges(judged)), math.inf)
     shared = measured.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(2 * CELLS)
         for batch in batches:
             if batch.num_rows:
-                score = shared.value.anomaly(_matrix(batch))
-                cell = np.minimum((score / 1.5 * CELLS).astype(np.int64), CELLS - 1)
+                cell = np.minimum((shared.value.anomaly(_matrix(batch)) * CELLS).astype(np.int64), CELLS - 1)
                 out += np.bincount(2 * cell + (batch.column("quality").to_numpy() > 0), minlength=2 * CELLS)
         yield from common.sparse(out)
 
-    cells = common.dense(joined.mapInArrow(count, "at long, n double"), 2 * CELLS).reshape(-1, 2)
+    cells = common.dense(joined.where("half = 1").mapInArrow(count, "at long, n double"), 2 * CELLS).reshape(-1, 2)
     bad, kept = (np.cumsum(cells[::-1, i])[::-1] for i in (0, 1))  # rows of a cell or above
     if not cells[:, 0].sum():
         return model
     loss = kept / max(cells[:, 1].sum(), 1)
     gain = np.where(loss <= MOST_GOOD_LOST, bad / cells[:, 0].sum() - loss, -1)
     # of the best cells the highest: between the classes, good rows get the room
-    model.threshold = float(np.flatnonzero(gain >= gain.max() - 1e-12).max()) * 1.5 / CELLS if gain.max() > 0 else math.inf
+    model.threshold = float(np.flatnonzero(gain >= gain.max() - 1e-12).max()) / CELLS if gain.max() > 0 else math.inf
     return model
 
 
