@@ -160,7 +160,9 @@ def marks(docs: DataFrame, model: Model) -> DataFrame:
 def patterns(marked: DataFrame, known: DataFrame, model: Model) -> np.ndarray:
     """[vote pattern, label + 1] -> rows, over all rows; an unknown or held-out label is -1."""
     label = F.coalesce("toxic", F.lit(-1)).cast("long")
-    cells = marked.select("doc_id", "pattern").join(known, "doc_id", "left").select((3 * F.col("pattern") + label + 1).alias("at"))
+    named = F.col("doc_id").isNotNull()  # rows without an id have no label and would all meet in one task
+    cells = marked.where(named).select("doc_id", "pattern").join(known, "doc_id", "left").select((3 * F.col("pattern") + label + 1).alias("at"))
+    cells = cells.union(marked.where(~named).select(3 * F.col("pattern")))
     return common.dense(cells.groupBy("at").agg(F.count(F.lit(1)).cast("double").alias("n")), 3 << model.n_voters()).reshape(-1, 3)
 
 
