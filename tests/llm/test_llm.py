@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -12,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import binary, bpe, classlm, common, decontaminate, lengths, quality, secrets, simhash, substrings, tokens, toxicity
@@ -89,11 +91,32 @@ def test_simhash(docs, none):
     label = nearest(prints)
     want = [(i, f"{p:016x}", order[k][0]) for (i, _), p, k in zip(order, prints, label, strict=True)]
     got = simhash.near_duplicates(docs, block=4).select("doc_id", "fingerprint", "component_id").collect()
-    # rows with a null id take part by their fingerprint and don't connect others here
     assert counted(got) == counted(want)
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Of three fingerprints only the middle one, which has no doc_id, is near both others."""
+    prints = {"a": 0b11111, "b": 0b111, "c": 0, "d": 1 << 40 | 0b1010101}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.withColumn("fp", F.when(docs.text == "a", prints["a"]).when(docs.text == "b", prints["b"]).when(docs.text == "c", prints["c"]).otherwise(prints["d"])).select("doc_id", "fp"))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(1, f"{31:016x}"): 1, (None, f"{7:016x}"): 1, (2, f"{0:016x}"): 1, (None, f"{prints['d']:016x}"): None}
+
+
+def test_thresholds_differ_where_bits_are_skewed():
+    """A partition that has the same value in nearly all rows is not probed by these, and others are probed the farther."""
+    rng = np.random.default_rng(4)
+    groups = rng.integers(0, 256, size=(4000, 8))
+    groups[:, :2] = np.where(rng.random((4000, 1)) < 0.99, 7, groups[:, :2])
+    tables = simhash.distance_tables(np.stack([np.bincount(groups[:, g], minlength=256) for g in range(8)]), 3)
+    t, _ = simhash.allocate(groups, simhash.LAYOUTS[0], tables, 1e8, 3)
+    common_ = (groups[:, :2] == 7).all(1)
+    assert (t[common_, 0] == -1).all() and (t[common_].max(1) >= 1).all() and (t[~common_, 0] >= 0).mean() > 0.9
+    nodes = [(i, int(v)) for i, v in enumerate(np.unique(np.packbits(np.unpackbits(groups.astype(np.uint8), axis=1), axis=1).view(">u8").ravel().astype(np.uint64)).view(np.int64))]
+    assert nodes and ((t + 1).sum(1) == 4).all()
+
+
 @pytest.mark.parametrize("layout", simhash.LAYOUTS)
 def test_thresholds_cover(layout):
     rng = np.random.default_rng(3)
@@ -135,6 +158,20 @@ def test_one_of_near_copies_stays(spark):
     assert len(copies) > 60 and not copies & ids and set(range(60)) <= ids
 
 
+def test_no_unrelated_row_goes(spark):
+    """Rows that share a doc_id are not copies of each other; names that operators use inside are columns like any other."""
+    say = lambda seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(9999)}" for k in range(60))
+    clash = ("_nth", "_sha", "_spans", "sig", "row", "nth", "spans", "sha", "whole", "keys", "node", "label", "text_")
+    rows = [(5, say(1)), (5, say(2)), (6, say(1)), (5, say(1)), (None, say(1)), (7, "token=abcdef " + say(3)), (8, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, *[k] * len(clash)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert counted((r.doc_id, r.text) for r in got.collect()) == counted([(5, say(1)), (5, say(2)), (None, say(1)), rows[5], (8, None)])
+    masked = secrets.redact(docs)
+    assert masked.columns == docs.columns
+    assert {(r.text, r["_sha"], r.spans) for r in masked.where("doc_id = 7").collect()} == {("[SECRET] " + say(3), 5, 5)}
+
+
 def spans(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -161,8 +198,16 @@ def test_ledger_scans_what_is_new(spark):
     secrets.find_secrets(first, ledger).collect()
     got = {r.doc_id: r.spans for r in secrets.find_secrets(second, ledger).collect()}
     assert got == {1: "assign:0:12", 3: "assign:0:12", 4: "assign:0:14"}
-    seen = spark.read.parquet(f"{ledger.folder}/seen/run=1")
+    seen = spark.read.parquet(f"{ledger.folder}/seen/run-1")
     assert seen.select("sha").distinct().count() == 1  # one blob was new
+    again = secrets.Ledger(spark, ledger.folder)  # as another session would open it
+    assert again.seen().count() == 3 * len(secrets.RULES)
+    secrets.find_secrets(second, again).collect()
+    assert spark.read.parquet(f"{ledger.folder}/seen/run-2").isEmpty() and again.seen().count() == 3 * len(secrets.RULES)
+    newer = (*secrets.RULES[:-1], dataclasses.replace(secrets.RULES[-1], version=2))
+    paths = second.select(F.struct("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
+    again.scan(paths, newer)
+    assert {(r.kind, r.version) for r in spark.read.parquet(f"{ledger.folder}/seen/run-3").collect()} == {("pem", 2)}
 
 
 def test_redact(spark):
@@ -193,11 +238,18 @@ def test_substrings(docs, none):
 
 
 def test_index_runs_are_compacted(spark):
-    index = substrings.FingerprintIndex(spark, common.work_dir(spark, "index"), max_runs=1)
+    index = substrings.FingerprintIndex(spark, common.work_dir(spark, "index"))
     batch = lambda *rows: spark.createDataFrame(rows, "doc_id long, prints array<long>")
     assert index.ingest(batch((1, [1, 2]), (2, [2, 3]))).collect()[0].print == 2
     assert {r.print for r in index.ingest(batch((3, [1, 9]))).collect()} == {1}
-    assert len(index.runs) == 1 and {(r.print, r.first_doc) for r in index._run(index.runs[0]).collect()} == {(1, 1), (2, 1), (3, 2), (9, 3)}
+    index.close()
+    again = substrings.FingerprintIndex(spark, index.folder)  # as another session would open it
+    assert len(again.runs) == 2
+    assert {r.print for r in again.ingest(batch((4, [9, 3, 7]))).collect()} == {9, 3}
+    assert len(again.runs) == 2  # the first two are one
+    assert {(r.print, r.first_doc) for r in again.run(again.runs[0]).collect()} == {(1, 1), (2, 1), (3, 2), (9, 3)}
+    plan = again.run(again.runs[0]).hint("merge").join(again.run(again.runs[1]), "print")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def items(spark):
@@ -247,6 +299,34 @@ def test_leak_recall_of_long_items(n):
     assert np.mean([(i, i % 5) in found for i in range(len(texts))]) >= 0.99
 
 
+def test_leaks_by_brute_force():
+    """Every window of every document against every item: nothing is found but what is near, and near to nothing is missed."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(120)]
+    say = lambda n: [vocabulary[i] for i in rng.integers(120, size=n)]
+    listed = [say(int(n)) for n in [1, 2, 4, 5, 7, 8, 9, 10, 14, *rng.integers(11, 90, size=12)]]
+    listed[13] = listed[12] + ["tail"]
+    texts = []
+    for i in range(150):
+        w = list(listed[i % len(listed)])
+        for _ in range(int(rng.integers(0, int(0.3 * len(w)) + 2))):
+            at, kind = int(rng.integers(len(w))), rng.integers(3)
+            w[at : at + 1] = [] if kind == 0 and len(w) > 1 else say(1) if kind == 1 else [w[at], *say(1)]
+        texts.append(say(int(rng.integers(0, 12))) + w + ["--"] + say(int(rng.integers(0, 12))))
+    searched = decontaminate.Items([(k, " ".join(w).encode()) for k, w in enumerate(listed)])
+    got = {(x[0], x[1]): x[2] for x in decontaminate._search(searched, list(range(len(texts))), ["  ".join(w).encode() for w in texts], {})}
+    number = {w: i for i, w in enumerate(sorted({x for w in [*texts, *listed] for x in w} - {"--"}))}
+    want = {}
+    for d, text in enumerate(texts):
+        row = np.array([number[x] for x in text if x != "--"], dtype=np.int64)
+        for k, item in enumerate(listed):
+            distance = decontaminate.edit_ends(np.array([number[x] for x in item]), row)[0]
+            if distance <= decontaminate.allowed(len(item)):
+                want[d, k] = distance
+    assert len(want) > 100 and set(got) <= set(want)
+    assert np.mean([got.get(x) == n for x, n in want.items()]) >= 0.99
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edit_ends(seed):
     rng = np.random.default_rng(seed)
@@ -281,7 +361,7 @@ def test_bpe(docs, none, encoded):
     for (i, _), e in zip(ROWS, rows, strict=True):
         ids = np.array(e.ids, dtype="<u4").tobytes()
         want.append((i, len(e.ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()))
-    assert counted(bpe.digests(docs, head_size=100).collect()) == counted(want)
+    assert counted(bpe.digests(docs).collect()) == counted(want)
     assert bpe.digests(none).count() == 0
 
 
@@ -325,10 +405,44 @@ def test_quality(spark, docs, none):
     assert quality.judge(none, labels).count() == 0 and quality.judge(docs, labels.where("false")).count() == len(ROWS)
 
 
-def test_forest_tells_anomalies():
+def test_path_lengths():
+    """Against a walk of each row down each tree, with the good rows of each leaf counted anew."""
     rng = np.random.default_rng(1)
-    forest = quality.grow(rng.normal(size=(500, 4)))
-    assert forest.anomaly(np.full((1, 4), 6.0))[0] > forest.anomaly(np.zeros((1, 4)))[0] + 0.2
+    x = rng.normal(size=(40, 3))
+    x[:, 2] = 0  # good rows differ in two features, others in three
+    low, high = np.full(3, -5.0), np.full(3, 5.0)
+    forest = quality.grow(x, low, high)
+    rows = np.concatenate([x[:5], rng.uniform(-5, 5, size=(20, 3))])
+    want = []
+    for row in rows:
+        total = 0.0
+        for feature, split, left in zip(forest.feature, forest.split, forest.left, strict=True):
+            at, steps, inside = 0, 0, np.ones(len(x), dtype=bool)
+            while feature[at] >= 0:
+                right = row[feature[at]] >= split[at]
+                inside &= (x[:, feature[at]] >= split[at]) == right
+                at, steps = left[at] + right, steps + 1
+            total += steps + quality._search_path(inside.sum())
+        want.append(2 ** (-total / quality.TREES / quality._search_path(len(x))))
+    assert np.allclose(forest.anomaly(rows), want)
+    odd = np.array([[0, 0, 4.0], [4, 4, 0]])
+    assert forest.anomaly(odd).min() > forest.anomaly(x).max()
+
+
+def test_quality_of_held_out_rows(spark):
+    """Symbols between words, which no good row has, are told by path length alone; labels of a third of rows are not given."""
+    rng = random.Random(5)
+    say = lambda n: [f"{rng.choice('abcdef')}{'x' * rng.randint(0, 8)}{rng.randrange(99)}" for _ in range(n)]
+    rows = []
+    for i in range(900):
+        w = say(rng.randint(60, 200))
+        rows.append((i, " ".join(w if i % 6 else [x + rng.choice(["###", "$$", " |"]) for x in w])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(900) if i % 3], "doc_id long, quality int")
+    labels = labels.union(spark.createDataFrame([(i, 0) for i in range(0, 900, 6) if i % 4], "doc_id long, quality int"))
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect() if not r.base_failed}
+    held = [i for i in kept if i % 3 == 0 and (i % 6 or not i % 4)]
+    assert np.mean([kept[i] for i in held if i % 6]) >= 0.95 and np.mean([kept[i] for i in held if not i % 6]) <= 0.1
 
 
 def test_toxicity(spark, none):
@@ -379,11 +493,14 @@ def test_every_word_is_clustered(spark):
     texts = [b" ".join(rng.choice(kinds[k % 2]) for k in range(40)).decode() for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     words_ = [classlm.END, *kinds[0][:40], *kinds[1][:40]]
-    coded = classlm.encode(docs, {w: i for i, w in enumerate(words_)}).cache()
+    coded = classlm.encode(docs.withColumn("train", F.lit(True)), {w: i for i, w in enumerate(words_)})
+    coded = common.written(coded.withColumn("chunk", F.monotonically_increasing_id()), common.work_dir(spark, "coded"), "coded")
     any_ = lambda kind: rng.randrange(15) * 2 + kind + 1
     own = np.array([0] + [any_(k // 40 if k % 2 else rng.randrange(2)) for k in range(80)])
     own, table = classlm.exchange_head(coded, own, 0)
-    found = {bytes(r.word): r["class"] for r in classlm.exchange_tail(coded, own, table).collect()} | dict(zip(words_[1:], own[1:].tolist(), strict=True))
+    tails = {r.chunk: classlm._unpressed(r.tail) for r in coded.collect()}
+    replies = [(tails[r.chunk], bpe.unpack(r.places), r.classes) for r in classlm.exchange_tail(coded, own, table).where("kind = 0").collect()]
+    found = {words[k]: c for words, at, classes in replies for k, c in zip(at.tolist(), classes, strict=True)} | dict(zip(words_[1:], own[1:].tolist(), strict=True))
     assert set(found) == {*kinds[0], *kinds[1]}
     sides = np.stack([np.bincount([found[w] for w in kind], minlength=classlm.CLASSES) for kind in kinds])
     assert sides.max(0).sum() >= 0.95 * sides.sum()
