@@ -32,13 +32,13 @@ BUCKETS = 8
 _BLOCK = 1 << 20
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32 by byte planes, compressed: high planes are nearly all alike."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes.tobytes())
 
 
-def _unpack(row: bytes) -> np.ndarray:
+def unpack(row: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
@@ -92,7 +92,7 @@ def encoded_words(docs: DataFrame, path: str) -> DataFrame:
             press = zstandard.ZstdCompressor(level=3, write_checksum=False)
             rows = []
             for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                rows.append((int(bucket[at[0]]), chunk.key, press.compress(b"".join(words[at])), _pack(np.diff(at, prepend=0))))
+                rows.append((int(bucket[at[0]]), chunk.key, press.compress(b"".join(words[at])), pack(np.diff(at, prepend=0))))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "words", "numbers"])
 
@@ -105,7 +105,7 @@ def encoded_words(docs: DataFrame, path: str) -> DataFrame:
                     now = bucket
                 which = encoder.numbers([w + b" " for w in unpress.decompress(words).split(b" ")[:-1]])
                 at, sizes = tokens.runs(encoder.stops, which)
-                yield _row(key, 0, numbers, _pack(sizes), _pack(encoder.flat[at]))
+                yield _row(key, 0, numbers, pack(sizes), pack(encoder.flat[at]))
 
     rows = docs.mapInArrow(deal, "bucket int, chunk binary, words binary, numbers binary")
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ROW)
@@ -116,7 +116,7 @@ def coded_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, chunk in _chunks(batches):
-            yield _row(chunk.key, 1, _pack(chunk.codes), _pack(np.diff(chunk.ends, prepend=0)), struct.pack(">I", len(chunk.words)), ids)
+            yield _row(chunk.key, 1, pack(chunk.codes), pack(np.diff(chunk.ends, prepend=0)), struct.pack(">I", len(chunk.words)), ids)
 
     return docs.mapInArrow(run, ROW)
 
@@ -146,9 +146,9 @@ class Dictionary:
         self.places, self.sizes, self.ids = [], [], []
 
     def add(self, numbers: bytes, sizes: bytes, ids: bytes) -> None:
-        self.places.append(np.cumsum(_unpack(numbers), dtype=np.int64))
-        self.sizes.append(_unpack(sizes).astype(np.int64))
-        self.ids.append(_unpack(ids))
+        self.places.append(np.cumsum(unpack(numbers), dtype=np.int64))
+        self.sizes.append(unpack(sizes).astype(np.int64))
+        self.ids.append(unpack(ids))
 
     def close(self, n_words: int) -> None:
         places, sizes = np.concatenate([*self.places, np.empty(0, dtype=np.int64)]), np.concatenate([*self.sizes, np.empty(0, dtype=np.int64)])
@@ -247,7 +247,7 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFram
                 if open_:
                     chunk.close(struct.unpack(">I", ids)[0])
                     open_ = False
-                yield rows_of(doc_ids, list(map(finish, _texts(chunk, _unpack(numbers).astype(np.int64), np.cumsum(_unpack(sizes), dtype=np.int64), pieces))))
+                yield rows_of(doc_ids, list(map(finish, _texts(chunk, unpack(numbers).astype(np.int64), np.cumsum(unpack(sizes), dtype=np.int64), pieces))))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("part", F.spark_partition_id())

@@ -10,8 +10,9 @@ before and after it meet in a bucket of words, and the bucket exchanges its word
 that does not raise the likelihood is undone. Words beyond the head, which stand in those rounds as a class of rare words,
 are exchanged last, in a table of their own. Only words that no training text has go by their letters to the end.
 
-Word counts grow with the corpus. A bounded table of the most frequent words goes to the texts; the words beyond it come
-to the full table by a join, once for each document and word.
+Word counts grow with the corpus. A bounded table of the most frequent words, the head, goes to the texts, which are kept as
+chunks of its numbers (`coded`). The words beyond it are dealt out once for each chunk, with what stands beside them; where
+equal words of all chunks meet, they are counted and get their class, and both go back to the chunks.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common, tokens
 
 #: Words that are exchanged one by one, classes, words of the table that goes to the texts, and its words' length.
 CLUSTERED, CLASSES, HEAD, HEAD_BYTES = 1500, 32, 400_000, 64
@@ -41,39 +44,82 @@ LEAST_ALIKE = 8
 #: Cells of a word on a side: the classes, rare words, and the word itself.
 _RARE, _SELF, _CELLS = CLASSES, CLASSES + 1, CLASSES + 2
 _CACHE = 500_000
-_CHUNK = 1 << 18
-_KEYS = 6_000_000
 
 
 def in_training(doc_id):
     return common.mod_of_id(doc_id, 5) != 1
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def _parts(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of words by bucket of their hash."""
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
+    order = np.argsort(bucket, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(at):
+            yield int(bucket[at[0]]), at
+
+
+def _pressed(words: list[bytes], at) -> bytes:
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(b" ".join([words[k] for k in at]))
+
+
+def _unpressed(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split()
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over all texts of train; tasks add up before rows are dealt out."""
+    """(word, c) over all texts of train, with their ends; tasks add up before words are dealt out, by buckets."""
+    parts = _parts(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             words = list(held)
-            for lo in range(0, len(words), _CHUNK):
-                part = words[lo : lo + _CHUNK]
-                yield pa.record_batch({"word": pa.array(part, pa.binary()), "c": pa.array([held[w] for w in part], pa.int64())})
+            n = np.fromiter(held.values(), dtype=np.int64, count=len(words))
+            rows = [(b, _pressed(words, at.tolist()), n[at].astype("<u8").tobytes()) for b, at in _by_bucket(words, 8 * parts)]
             held.clear()
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "n"])
 
+        ends = 0
         for _, texts in common.text_rows(batches):
-            for text in texts:
-                held.update(tokens(text))
+            words, codes, _ = common.word_codes([x.lower() for x in texts])
+            ends += len(texts)
+            for w, c in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                if w:
+                    held[w] = held.get(w, 0) + c
             if len(held) > _CACHE:
                 yield from out()
         yield from out()
+        if ends:
+            yield pa.record_batch({"bucket": pa.array([-1], pa.int32()), "words": pa.array([None], pa.binary()), "n": pa.array([np.array([ends], dtype="<u8").tobytes()], pa.binary())})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = list(held)
+            for lo in range(0, len(words), 1 << 16):
+                part = words[lo : lo + (1 << 16)]
+                yield pa.record_batch({"word": pa.array(part, pa.binary()), "c": pa.array([held[w] for w in part], pa.int64())})
+            held.clear()
+
+        for batch in batches:
+            for bucket, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from out()
+                    now = bucket
+                for w, c in zip([END] if words is None else _unpressed(words), np.frombuffer(n, dtype="<u8").tolist(), strict=True):
+                    held[w] = held.get(w, 0) + c
+        yield from out()
 
-    return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = train.mapInArrow(run, "bucket int, words binary, n binary")
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "word binary, c long")
 
 
 @dataclass
@@ -117,31 +163,58 @@ def parts_of(word: bytes) -> list[bytes]:
     return [b"^" + core[:2], b"^" + core[:4], b"$" + core[-2:], b"$" + core[-4:]]
 
 
+CODED = "docs array<long>, train array<boolean>, sizes binary, codes binary, tail binary"
+
+
 def encode(docs: DataFrame, index: dict[bytes, int]) -> DataFrame:
-    """(doc_id, codes, tail): 32-bit numbers of a text's words, -1 - k for the k-th of its words that aren't in index."""
+    """Rows of CODED from docs (doc_id, text, train), one for each batch of texts: their tokens' numbers, -1 - k for the k-th of
+    the batch's words (tail) that aren't in index, and how many tokens each text has. Ends have number 0."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for ids, texts in common.text_rows(batches):
-            codes, tails = [], []
-            for text in texts:
-                words, tail = tokens(text), {}
-                row = list(map(get, words))
-                if None in row:
-                    row = [-1 - tail.setdefault(w, len(tail)) if x is None else x for w, x in zip(words, row, strict=True)]
-                codes.append(np.array(row, dtype="<i4").tobytes())
-                tails.append(list(tail))
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "codes": pa.array(codes, pa.binary()), "tail": pa.array(tails, pa.list_(pa.binary()))})
-
-    return docs.mapInArrow(run, "doc_id long, codes binary, tail array<binary>")
-
-
-def _joined(batches: Iterator[pa.RecordBatch], column: str, dtype: str) -> Iterator[np.ndarray]:
-    """Texts of a batch end to end: a text starts after an end, as the one before it ends with one."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, codes, ends = common.word_codes([x.lower() for x in common.raw_texts(batch.column("text"))])
+            listed = list(map(get, words))
+            tail = [k for k, (w, x) in enumerate(zip(words, listed, strict=True)) if x is None and w]
+            number = np.array([0 if x is None else x for x in listed], dtype=np.int32)
+            number[tail] = -1 - np.arange(len(tail))
+            yield pa.record_batch(
+                {
+                    "docs": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "train": pa.array([batch.column("train").to_pylist()], pa.list_(pa.bool_())),
+                    "sizes": pa.array([(np.diff(ends, prepend=0) + 1).astype("<i8").tobytes()], pa.binary()),
+                    "codes": pa.array([bpe.pack(np.insert(number[codes], ends, 0).view(np.uint32))], pa.binary()),
+                    "tail": pa.array([_pressed(words, tail)], pa.binary()),
+                }
+            )
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, CODED)
+
+
+class Coded:
+    """A row of CODED: numbers of its tokens, which of them are in training, and where each text ends."""
+
+    def __init__(self, codes: bytes, sizes: bytes, train: list[bool]):
+        self.codes = bpe.unpack(codes).view(np.int32)
+        self.sizes = np.frombuffer(sizes, dtype="<i8")
+        self.train = np.array(train, dtype=bool)
+
+    def learning(self) -> np.ndarray:
+        """The numbers of training texts, end to end: a text starts after an end, as the one before it ends with one."""
+        return self.codes if self.train.all() else self.codes[np.repeat(self.train, self.sizes)]
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[Coded]:
     for batch in batches:
-        if batch.num_rows:
-            yield np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=dtype)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("codes", "sizes", "train")), strict=True):
+            yield Coded(*row)
+
+
+def _learning(coded: DataFrame) -> DataFrame:
+    return coded.select("codes", "sizes", "train")
 
 
 def bigrams(coded: DataFrame, at: dict[int, int], end: int) -> np.ndarray:
@@ -154,12 +227,13 @@ def bigrams(coded: DataFrame, at: dict[int, int], end: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size * size, dtype=np.int64)
-        for codes in _joined(batches, "codes", "<i4"):
+        for row in _coded(batches):
+            codes = row.learning()
             ids = place[np.where((codes < 0) | (codes > top), top, codes)]
             out += np.bincount(np.concatenate([[at[end]], ids[:-1]]) * size + ids, minlength=size * size)
         yield from common.sparse(out)
 
-    return common.dense(coded.select("codes").mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
+    return common.dense(_learning(coded).mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
 
 
 def exchange(pairs: np.ndarray, classes: int, rounds: int = 12, fixed: int = 0) -> np.ndarray:
@@ -314,21 +388,12 @@ def table_of(coded: DataFrame, own: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size * size, dtype=np.int64)
-        for codes in _joined(batches, "codes", "<i4"):
-            c = shared.value[np.maximum(codes, -1)]
+        for row in _coded(batches):
+            c = shared.value[np.maximum(row.learning(), -1)]
             out += np.bincount(np.concatenate([[0], c[:-1]]) * size + c, minlength=size * size)
         yield from common.sparse(out)
 
-    return common.dense(coded.select("codes").mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, so that the zeros of small numbers stand together."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return common.dense(_learning(coded).mapInArrow(run, "at long, n long"), size * size).reshape(size, size)
 
 
 def exchange_round(coded: DataFrame, own: np.ndarray, end: int, table: np.ndarray) -> np.ndarray:
@@ -337,51 +402,30 @@ def exchange_round(coded: DataFrame, own: np.ndarray, end: int, table: np.ndarra
     shared, per = spark.sparkContext.broadcast(_with_rare(own)), -(-n // BUCKETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, times, fresh, waiting = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, c = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (held[:0], times[:0])
-            if not len(held):
-                return keys, c
-            keys, c = np.concatenate([held, keys]), np.concatenate([times, c])
-            order = np.argsort(keys, kind="stable")
-            keys, c = keys[order], c[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            return keys[first], np.add.reduceat(c, first)
-
-        def out(keys: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.searchsorted(keys, np.arange(BUCKETS + 1) * per * 2 * _CELLS)
-            for b in range(BUCKETS):
-                lo, hi = cuts[b], cuts[b + 1]
-                if hi > lo:
-                    yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "keys": pa.array([_planes(np.diff(keys[lo:hi], prepend=0))], pa.binary()), "n": pa.array([_planes(c[lo:hi])], pa.binary())})
-
-        for codes in _joined(batches, "codes", "<i4"):
-            codes = np.maximum(codes, -1).astype(np.int64)
+        cells = np.zeros(BUCKETS * per * 2 * _CELLS, dtype=np.uint32)  # as many as the head has words, whatever the input
+        for row in _coded(batches):
+            codes = np.maximum(row.learning(), -1).astype(np.int64)
+            if not len(codes):
+                continue
             c = shared.value[codes]
             word = (codes % BUCKETS * per + codes // BUCKETS) * (2 * _CELLS)
             same = codes[1:] == codes[:-1]
-            left = word[1:] + np.where(same, _SELF, c[:-1])
-            right = word[:-1] + _CELLS + np.where(same, _SELF, c[1:])
             mine = (codes >= 0) & (codes != end)
-            fresh += [left[mine[1:]].astype(np.int32), right[mine[:-1]].astype(np.int32)]
+            np.add.at(cells, (word[1:] + np.where(same, _SELF, c[:-1]))[mine[1:]], np.uint32(1))
+            np.add.at(cells, (word[:-1] + _CELLS + np.where(same, _SELF, c[1:]))[mine[:-1]], np.uint32(1))
             if mine[0]:
-                fresh.append(word[:1].astype(np.int32))  # after an end
-            waiting += 2 * len(codes)
-            if waiting > _KEYS:
-                held, times = merged()
-                fresh, waiting = [], 0
-                if len(held) > _KEYS:
-                    yield from out(held, times)
-                    held, times = held[:0], times[:0]
-        yield from out(*merged())
+                cells[word[0]] += 1  # after an end
+        for b, found in enumerate(cells.reshape(BUCKETS, -1)):
+            at = np.flatnonzero(found)
+            if len(at):
+                yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "keys": pa.array([bpe.pack(np.diff(at, prepend=0))], pa.binary()), "n": pa.array([bpe.pack(found[at])], pa.binary())})
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, keys, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "n")), strict=True):
                 cells = found.setdefault(b, np.zeros(per * 2 * _CELLS))
-                cells[np.cumsum(_unplaned(keys)) - b * per * 2 * _CELLS] += _unplaned(c)
+                cells[np.cumsum(bpe.unpack(keys), dtype=np.int64)] += bpe.unpack(c)
         for b, cells in found.items():
             ids = np.arange(per) * BUCKETS + b
             cells = cells.reshape(per, 2, _CELLS)[ids < n]
@@ -390,8 +434,7 @@ def exchange_round(coded: DataFrame, own: np.ndarray, end: int, table: np.ndarra
             new = moved(cells[some, 0], cells[some, 1], shared.value[ids[some]], table)
             yield pa.record_batch({"id": pa.array(ids[some], pa.int32()), "class": pa.array(new, pa.int32())})
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = coded.select("codes").mapInArrow(count, "bucket int, keys binary, n binary").repartition(parts, "bucket")
+    dealt = _learning(coded).mapInArrow(count, "bucket int, keys binary, n binary").repartition(_parts(spark), "bucket")
     got, out = dealt.mapInArrow(swap, "id int, class int").toArrow(), own.copy()
     out[got["id"].to_numpy()] = got["class"].to_numpy()
     return out
@@ -411,86 +454,157 @@ def exchange_head(coded: DataFrame, own: np.ndarray, end: int) -> tuple[np.ndarr
     return own, table
 
 
+#: Kinds of rows of FOUND: a chunk's tail words with their counts and classes, and for a bucket the words of each class.
+REPLY, CHUNK, TYPES = 0, 1, 2
+FOUND = "chunk long, kind int, places binary, times binary, classes binary"
+
+
 def exchange_tail(coded: DataFrame, own: np.ndarray, table: np.ndarray) -> DataFrame:
-    """(word, class) of all words beyond the head: each goes where it raises the likelihood most."""
-    shared = coded.sparkSession.sparkContext.broadcast(_with_rare(own))
-    side = _RARE + 1
+    """Rows of FOUND for all words beyond the head: each goes where it raises the likelihood most. Words that no training text
+    has count 0 and have no class (255).
+
+    coded has a number for each row (chunk). A chunk sends a word once, with how often it stands between which classes; a task
+    holds the words of one bucket.
+    """
+    spark, side = coded.sparkSession, _RARE + 1
+    parts, shared = _parts(spark), spark.sparkContext.broadcast(_with_rare(own))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, cells = [], []
-            for raw, tail in zip(batch.column("codes").to_pylist(), batch.column("tail").to_pylist(), strict=True):
-                codes = np.frombuffer(raw, dtype="<i4")
+            for chunk, tail, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tail", "codes", "sizes", "train")), strict=True):
+                words, codes = _unpressed(tail), Coded(*row).learning()
+                if not words:
+                    continue
                 c = np.concatenate([[0], shared.value[np.maximum(codes, -1)]])
                 at = np.flatnonzero(codes < 0)  # never the last, an end
-                words += map(tail.__getitem__, (-1 - codes[at]).tolist())
-                cells.append(c[at] * side + c[at + 2])
-            if words:
-                yield pa.record_batch({"word": pa.array(words, pa.binary()), "cell": pa.array(np.concatenate(cells), pa.int32())})
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                keys, times = np.unique((-1 - codes[at].astype(np.int64)) * side * side + c[at] * side + c[at + 2], return_counts=True)
+                stops = np.searchsorted(keys, np.arange(len(words) + 1) * side * side)
+                rows = []
+                for bucket, mine in _by_bucket(words, 8 * parts):
+                    pick, n = tokens.spans(stops[mine], stops[mine + 1])
+                    rows.append((bucket, chunk, _pressed(words, mine.tolist()), bpe.pack(mine), bpe.pack(n), bpe.pack(keys[pick] % (side * side)), bpe.pack(times[pick])))
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "words", "places", "n", "cells", "times"])
+
+    def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = {}
+        which = [np.array([numbers.setdefault(w, len(numbers)) for w in _unpressed(row[2])], dtype=np.int64) for row in held]
+        word = np.concatenate([np.repeat(w, bpe.unpack(row[4])) for w, row in zip(which, held, strict=True)])
+        cell, times = (np.concatenate([bpe.unpack(row[k]) for row in held]).astype(np.int64) for k in (5, 6))
+        order = np.argsort(word, kind="stable")
+        word, cell, times = word[order], cell[order], times[order]
+        count, classes = np.bincount(word, weights=times, minlength=len(numbers)).astype(np.int64), np.full(len(numbers), 255, dtype=np.uint8)
+        seen = np.flatnonzero(count)
+        for lo in range(0, len(seen), 4096):
+            some = seen[lo : lo + 4096]
+            part = slice(*np.searchsorted(word, [some[0], some[-1] + 1]))
+            row = np.searchsorted(some, word[part])
+            before, after = np.zeros((len(some), _CELLS)), np.zeros((len(some), _CELLS))
+            np.add.at(before, (row, cell[part] // side), times[part])
+            np.add.at(after, (row, cell[part] % side), times[part])
+            classes[some] = moved(before, after, np.full(len(some), _RARE), table)
+        for w, row in zip(which, held, strict=True):
+            yield _found(row[1], REPLY, row[3], bpe.pack(count[w]), classes[w].tobytes())
+        yield _found(-1, TYPES, b"", np.bincount(classes[seen], minlength=CLASSES).astype("<i8").tobytes(), b"")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            n = batch.num_rows
-            before, after = np.zeros((n, _CELLS)), np.zeros((n, _CELLS))
-            for k, (cells, times) in enumerate(zip(batch.column("cells").to_pylist(), batch.column("times").to_pylist(), strict=True)):
-                for cell, m in zip(cells, times, strict=True):
-                    before[k, cell // side] += m
-                    after[k, cell % side] += m
-            new = moved(before, after, np.full(n, _RARE), table)
-            yield pa.record_batch({"word": batch.column("word"), "class": pa.array(new, pa.int32())})
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from settled(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from settled(held)
 
-    rows = coded.where(F.size("tail") > 0).select("codes", "tail").mapInArrow(around, "word binary, cell int")
-    sums = rows.repartition("word").groupBy("word", "cell").agg(F.count(F.lit(1)).alias("m")).groupBy("word").agg(F.collect_list(F.struct("cell", "m")).alias("x"))
-    return sums.select("word", F.col("x.cell").alias("cells"), F.col("x.m").alias("times")).mapInArrow(place, "word binary, class int")
+    rows = coded.select("chunk", "tail", "codes", "sizes", "train").mapInArrow(around, "bucket int, chunk long, words binary, places binary, n binary, cells binary, times binary")
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
 
 
-def transitions(filled: DataFrame) -> np.ndarray:
-    """[class before, class]: counts over all tokens of texts whose classes are known."""
+def tail_types(found: DataFrame) -> np.ndarray:
+    """How many words beyond the head each class has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(CLASSES * CLASSES, dtype=np.int64)
-        for c in _joined(batches, "classes", "u1"):
-            out += np.bincount(np.concatenate([[0], c[:-1]]).astype(np.int64) * CLASSES + c, minlength=CLASSES * CLASSES)
+        out = np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column("times").to_pylist():
+                out += np.frombuffer(raw, dtype="<i8")
         yield from common.sparse(out)
 
-    return common.dense(filled.select("classes").mapInArrow(run, "at long, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    return common.dense(found.where(F.col("kind") == TYPES).select("times").mapInArrow(run, "at long, n long"), CLASSES)
 
 
-def fill(coded: DataFrame, tail: DataFrame, own: np.ndarray, weights: np.ndarray, letters: Classes) -> DataFrame:
-    """(doc_id, n_tokens, n_known, weight, classes): a text's classes, and the sum of log10(c + 0.5) over its words. Words
-    beyond the head have their class and count from tail (word, c, class); what isn't there goes by its letters."""
-    shared = coded.sparkSession.sparkContext.broadcast((own.astype(np.uint8), weights, letters))
+def _found(chunk: int, kind: int, places: bytes, times: bytes, classes: bytes) -> pa.RecordBatch:
+    return pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "kind": pa.array([kind], pa.int32()), "places": pa.array([places], pa.binary()), "times": pa.array([times], pa.binary()), "classes": pa.array([classes], pa.binary())})
+
+
+def fill(coded: DataFrame, found: DataFrame, own: np.ndarray, weights: np.ndarray, letters: Classes) -> DataFrame:
+    """(docs, train, n_tokens, n_known, weight, classes) for each chunk: texts' tokens, known tokens and sums of log10(c + 0.5),
+    and all tokens' classes. Words beyond the head have class and count from found; what has none goes by its letters."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast((own.astype(np.uint8), weights, letters))
+    schema = "docs array<long>, train array<boolean>, n_tokens array<long>, n_known array<long>, weight array<double>, classes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, letters = shared.value
+        now, replies = None, []
         for batch in batches:
-            n_tokens, known, weight, classes = [], [], [], []
-            for raw, words, at, c, cls in zip(*(batch.column(x).to_pylist() for x in ("codes", "tail", "at", "c", "class")), strict=True):
-                codes = np.frombuffer(raw, dtype="<i4")
-                rare = codes < 0
-                out = own[np.where(rare, 0, codes)]
-                total, seen = weights[codes[~rare]].sum(), len(codes)
-                if words:
-                    times, kind = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
-                    if at:
-                        times[at], kind[at] = c, cls
-                    new = np.flatnonzero(kind < 0)
-                    kind[new] = letters.of([words[k] for k in new.tolist()])
-                    which = -1 - codes[rare]
-                    out[rare] = kind[which]
-                    total += np.log10(times[which] + 0.5).sum()
-                    seen -= int((times[which] == 0).sum())
-                n_tokens.append(len(codes))
-                known.append(seen)
-                weight.append(float(total))
-                classes.append(out.tobytes())
-            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known, pa.int64())}
-            yield pa.record_batch(columns | {"weight": pa.array(weight, pa.float64()), "classes": pa.array(classes, pa.binary())})
-
-    words = coded.where(F.size("tail") > 0).select("row", F.posexplode("tail").alias("at", "word"))
-    found = words.join(tail, "word").groupBy("row").agg(F.collect_list(F.struct("at", "c", "class")).alias("x"))
-    rows = coded.join(found, "row", "left").select("doc_id", "codes", "tail", *[F.col(f"x.{k}").alias(k) for k in ("at", "c", "class")])
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, weight double, classes binary")
+            for chunk, kind, places, times, classes, ids, train, sizes, codes, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now:
+                    now, replies = chunk, []
+                if kind == REPLY:
+                    replies.append((places, times, classes))
+                    continue
+                row, words = Coded(codes, sizes, train), _unpressed(tail)
+                count, cls = np.zeros(len(words), dtype=np.int64), np.full(len(words), 255, dtype=np.uint8)
+                for p, t, c in replies:
+                    at = bpe.unpack(p)
+                    count[at], cls[at] = bpe.unpack(t), np.frombuffer(c, dtype=np.uint8)
+                new = np.flatnonzero(cls == 255)
+                cls[new] = letters.of([words[k] for k in new.tolist()])
+                # tail words stand behind the head's, the last one first
+                kinds = np.concatenate([own, cls[::-1]])
+                logs = np.concatenate([weights, np.log10(count[::-1] + 0.5)])
+                seen = np.concatenate([np.ones(len(own), dtype=bool), count[::-1] > 0])
+                seen[0] = weights[0] > np.log10(0.5)  # no training text, no end
+                first = np.cumsum(row.sizes) - row.sizes
+                yield pa.record_batch(
+                    {
+                        "docs": pa.array([ids], pa.list_(pa.int64())),
+                        "train": pa.array([train], pa.list_(pa.bool_())),
+                        "n_tokens": pa.array([row.sizes], pa.list_(pa.int64())),
+                        "n_known": pa.array([np.add.reduceat(seen[row.codes].astype(np.int64), first)], pa.list_(pa.int64())),
+                        "weight": pa.array([np.add.reduceat(logs[row.codes], first)], pa.list_(pa.float64())),
+                        "classes": pa.array([zstandard.ZstdCompressor(level=1).compress(kinds[row.codes].tobytes())], pa.binary()),
+                    }
+                )
+
+    none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in CODED.split(", "))]
+    payload = coded.select("chunk", F.lit(CHUNK).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("places", "times", "classes")], "docs", "train", "sizes", "codes", "tail")
+    rows = found.where(F.col("kind") == REPLY).select("*", *none).union(payload)
+    return rows.repartition(_parts(spark), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
+
+
+def _classes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes, sizes and training flags of each row of a batch of `fill`."""
+    unpress = zstandard.ZstdDecompressor()
+    for raw, sizes, train in zip(*(batch.column(c).to_pylist() for c in ("classes", "n_tokens", "train")), strict=True):
+        yield np.frombuffer(unpress.decompress(raw), dtype=np.uint8), np.array(sizes, dtype=np.int64), np.array(train, dtype=bool)
+
+
+def transitions(filled: DataFrame) -> np.ndarray:
+    """[class before, class]: counts over all tokens of training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for batch in batches:
+            for c, sizes, train in _classes(batch):
+                c = c[np.repeat(train, sizes)]
+                out += np.bincount(np.concatenate([[0], c[:-1]]).astype(np.int64)[: len(c)] * CLASSES + c, minlength=CLASSES * CLASSES)
+        yield from common.sparse(out)
+
+    return common.dense(filled.select("classes", "n_tokens", "train").mapInArrow(run, "at long, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -513,36 +627,29 @@ def score(docs: DataFrame) -> DataFrame:
     ends = counts.where(F.col("word") == F.lit(END)).first()
     c = np.concatenate([[ends.c if ends else 0], c])
     index = {w: i for i, w in enumerate(words)}
-    coded = common.written(encode(docs, index).withColumn("row", F.monotonically_increasing_id()), folder, "coded")
+    coded = common.written(encode(docs.withColumn("train", train), index).withColumn("chunk", F.monotonically_increasing_id()), folder, "coded")
 
-    learning = coded.where(train)
     seeds = {w: i for i, w in enumerate(words[1 : CLUSTERED + 1], 1)} | {END: min(CLUSTERED, len(words) - 1) + 1}
-    pairs = bigrams(learning, {index[w]: k for w, k in seeds.items()}, index[END])
+    pairs = bigrams(coded, {index[w]: k for w, k in seeds.items()}, index[END])
     first = learn_classes([], pairs, seeds)
-    own, table = exchange_head(learning, np.array([first.one(w) for w in words], dtype=np.int64), index[END])
+    own, table = exchange_head(coded, np.array([first.one(w) for w in words], dtype=np.int64), index[END])
     letters = by_letters(words[1:], own[1:], LEAST_ALIKE)
-    letters.known = {END: 0}  # the rest of the known words have codes or are in the tail
+    letters.known = {END: 0}  # the rest of the known words have numbers or are in the tail
 
-    tail = counts.join(exchange_tail(learning, own, table), "word") if v > (c > 0).sum() else counts.where("false").withColumn("class", F.lit(0))
-    tail = common.written(tail, folder, "tail")
-    filled = common.written(fill(coded, tail, own, np.log10(c + 0.5), letters), folder, "filled")
-    steps = transitions(filled.where(train))
+    found = common.written(exchange_tail(coded, own, table), folder, "tail")
+    filled = common.written(fill(coded, found, own, np.log10(c + 0.5), letters), folder, "filled")
+    steps = transitions(filled)
+    size, types = steps.sum(0), np.bincount(own[c > 0], minlength=CLASSES) + tail_types(found)
     share = (steps.sum(0) + 0.5) / (steps.sum() + 0.5 * CLASSES)
     steps = np.log10((steps + BACKOFF * share[None, :]) / (steps.sum(1, keepdims=True) + BACKOFF))
-    size, types = np.bincount(own, weights=c, minlength=CLASSES), np.bincount(own[c > 0], minlength=CLASSES)
-    for x in tail.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        size[x["class"]] += x.n
-        types[x["class"]] += x.v
-    spread = np.log10(size + 0.5 * (types + 1))
+    gain = steps - np.log10(size + 0.5 * (types + 1))[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.column("classes").to_pylist():
-                k = np.frombuffer(raw, dtype="u1")
-                out.append(float(steps[np.concatenate([[0], k[:-1]]), k].sum() - spread[k].sum()))
-            columns = {x: batch.column(x) for x in ("doc_id", "n_tokens", "n_known", "weight")}
-            yield pa.record_batch(columns | {"steps": pa.array(out, pa.float64())})
+            rows = zip(*(batch.column(x).to_pylist() for x in ("docs", "n_known", "weight")), strict=True)
+            for (ids, known, weight), (k, sizes, _) in zip(rows, _classes(batch), strict=True):
+                out = np.add.reduceat(gain[np.concatenate([[0], k[:-1]]), k], np.cumsum(sizes) - sizes)
+                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(sizes), "n_known": pa.array(known, pa.int64()), "weight": pa.array(weight, pa.float64()), "steps": pa.array(out)})
 
     level = math.log10(n_train + 0.5 * (v + 1))
     return filled.mapInArrow(run, "doc_id long, n_tokens long, n_known long, weight double, steps double").select(

@@ -19,6 +19,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from . import common
+
 NAME = "word_bpe_49k.json"
 _CACHE = 1_000_000
 # The pattern by which the word tokenizer cuts, and its steps.
@@ -74,19 +76,9 @@ def lowered(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
-_SPACE = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
-
-
 def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words of texts with the same ids as these, one after another by place in a dictionary; and where the words of
-    each text end. White space beside white space gives empty words."""
-    raw = b" ".join([lowered(x) for x in texts] + [b""]).translate(_SPACE)
-    stops = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32) + 1
-    wide = len(raw) >= 1 << 31
-    offsets = np.concatenate([[0], stops]).astype(np.int64 if wide else np.int32)
-    words = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-    ends = np.searchsorted(stops, np.cumsum([len(x) + 1 for x in texts], dtype=np.int64), "right")
-    return words.dictionary_encode(), ends
+    """As `common.spaced_words`, of texts with the same ids as these."""
+    return common.spaced_words([lowered(x) for x in texts])
 
 
 def spans(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
