@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of an Arrow batch, so that a batch is small even where texts are long.
-BATCH_BYTES, BATCH_ROWS = "8m", 10_000
+BATCH_BYTES, BATCH_ROWS = "4m", 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

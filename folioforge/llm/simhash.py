@@ -366,17 +366,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "sig": batch.column("sig"), "whole": pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), "keys": lists})
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
     """Of pairs (a, b) those whose texts' sets of shingles have a Jaccard similarity of at least SIMILAR."""
-    pairs = common.written(pairs.distinct(), folder, f"pairs-{name}")
-    ends = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes.join(ends, "whole").select(F.col("node").alias("doc_id"), "sig").distinct(), ["doc_id", "sig"], "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in common.text_rows(batches):
-            found = [shingles(x).tobytes() for x in rows]
-            whole = np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch({"whole": pa.array(whole), "found": pa.array(found, pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,18 +375,56 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str, nam
             near = [jaccard(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) >= SIMILAR for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    texts = common.written(texts.select("doc_id", "text").mapInArrow(sets, "whole long, found binary").dropDuplicates(["whole"]), folder, f"sets-{name}")
-    both = pairs.join(texts.select(F.col("whole").alias("a"), F.col("found").alias("x")), "a").join(texts.select(F.col("whole").alias("b"), F.col("found").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("whole").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("whole").alias("b"), F.col("found").alias("y")), "b")
     return common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), folder, f"alike-{name}")
 
 
+def _sets(texts: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """(whole, found): the shingles of the wanted texts (whole, doc_id, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in common.text_rows(batches):
+            found = [shingles(x).tobytes() for x in rows]
+            whole = np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch({"whole": pa.array(whole), "found": pa.array(found, pa.binary())})
+
+    some = texts.join(wanted.select("doc_id", "sig").distinct(), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    return common.written(some.select("doc_id", "text").mapInArrow(run, "whole long, found binary"), folder, "sets")
+
+
+def links_of_buckets(shared: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Edges (a, b) that connect all texts of a bucket whose sets are alike, from the buckets (key, whole, n, weight).
+
+    A text that others are copies of stands in the fullest bucket of nearly every band, so each text of a bucket is first held
+    against the bucket's heaviest one. Where a bucket is not connected by then, its texts stand in a ring and are held against
+    those beside them, then against those farther off, twice as far in each round, as long as they are not connected. Rounds go
+    to the far side of the ring, so no link between unconnected texts is missed.
+    """
+    centre = shared.groupBy("key").agg(F.max(F.struct("weight", "whole"))["whole"].alias("b"))
+    stars = shared.join(centre, "key").where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
+    edges, far = _alike(common.written(stars, folder, "stars"), sets, folder, "stars"), 1
+    while True:
+        labels = components(edges, f"{folder}/components-{far}").withColumnRenamed("node", "whole")
+        tied = shared.where((F.col("n") > 2) & (F.col("n") >= 2 * far)).join(labels, "whole", "left").select("key", "whole", "n", F.coalesce("label", "whole").alias("label"))
+        open_ = tied.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        tied = common.written(tied.join(open_, "key"), folder, f"tied-{far}")
+        if tied.isEmpty():
+            return edges
+        ring = tied.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("whole"), "whole")) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        ring = common.written(ring, folder, f"ring-{far}")
+        reach = F.sequence(F.lit(far), F.least(F.lit(2 * far - 1), F.floor(F.col("of") / 2).cast("int")))
+        asks = ring.where(F.floor(F.col("of") / 2) >= far).select("key", F.col("whole").alias("a"), F.col("label").alias("la"), F.explode(F.transform(reach, lambda d: F.pmod(F.col("at") + d, F.col("of")))).alias("at"))
+        met = asks.join(ring.select("key", "at", F.col("whole").alias("b"), F.col("label").alias("lb")), ["key", "at"]).where("la <> lb")
+        pairs = common.written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"pairs-{far}")
+        edges, far = common.written(edges.union(_alike(pairs, sets, folder, f"ring-{far}")), folder, f"edges-{far}"), 2 * far
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group: of its rows with the least doc_id one.
 
     Texts are near duplicates where their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are
     what such links connect. Fingerprints at few bits do not find these (0.8 is about ten bits), so candidates share a band
-    of minima (recall at 0.8 over 0.999) and are verified exactly. Each text of a bucket is first held against the bucket's
-    least; then only texts of a bucket that are not yet connected are paired. All columns are kept, whatever their names.
+    of minima (recall at 0.8 over 0.999) and are verified exactly (`links_of_buckets`). All columns are kept, whatever their names.
     Rows that repeat a doc_id are rows like any other: unrelated ones all stay, and of equal ones any one does. Rows with a
     null doc_id can't be named as a copy of another and all stay.
     """
@@ -410,15 +439,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "sig")).alias("least"), F.first("keys").alias("keys"))
     nodes = common.written(nodes.select("whole", F.col("least.doc_id").alias("node"), F.col("least.sig").alias("sig"), "keys"), folder, "nodes")
     places = nodes.select(F.explode("keys").alias("key"), "whole")
-    least = places.groupBy("key").agg(F.min("whole").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    shared = common.written(places.join(least, "key"), folder, "shared")
-    stars = _alike(texts, nodes, shared.where("whole <> b").select(F.col("whole").alias("a"), "b"), folder, "stars")
-    labels = components(stars, f"{folder}/stars-components")
-    tied = shared.join(labels.withColumnRenamed("node", "whole"), "whole", "left").select("key", "whole", F.coalesce("label", "whole").alias("label"))
-    tied = common.written(tied, folder, "tied")
-    x, y = tied.select("key", F.col("whole").alias("a"), F.col("label").alias("la")), tied.select("key", F.col("whole").alias("b"), F.col("label").alias("lb"))
-    rest = _alike(texts, nodes, x.join(y, "key").where("a > b and la <> lb").select("a", "b").join(shared.select(F.col("whole").alias("a"), "b"), ["a", "b"], "left_anti"), folder, "rest")
-    labels = components(stars.union(rest), f"{folder}/components")
+    size = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = common.written(places.join(size, "key"), folder, "places")
+    weight = shared.groupBy("whole").agg(F.sum("n").alias("weight"))
+    shared = common.written(shared.join(weight, "whole"), folder, "shared")
+    wanted = nodes.join(weight, "whole").select(F.col("node").alias("doc_id"), "sig")
+    edges = links_of_buckets(shared, _sets(texts, wanted, folder), folder)
+    labels = components(edges, f"{folder}/components")
     groups = nodes.join(labels.withColumnRenamed("node", "whole"), "whole", "left").groupBy(F.coalesce("label", "whole").alias("label"))
     keep = groups.agg(F.min(F.struct("node", "sig")).alias("x")).select(F.col("x.node").alias("doc_id"), F.col("x.sig").alias("sig")).distinct()
     first = Window.partitionBy("doc_id", "sig").orderBy("doc_id")
