@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -124,30 +125,60 @@ def yaml_field(path: str):
     return field
 
 
+_BLANK = re.compile(r"[^\n]")
+_COMMENT = re.compile(r"<!--.*?(-->|\Z)", re.S)
+_CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
+_LINK = re.compile(r"!?\[\[[^\[\]\n]+\]\]")
+#: Stands between the brackets of what only looks like a link; no text has it.
+SHIELD = "\x01"
+
+
+def mask(text: str) -> str:
+    """Comments, inline code and fenced blocks blanked out at equal length. Line breaks stay."""
+    blank = lambda m: _BLANK.sub(" ", m.group())
+    out, fenced = [], False
+    for line in text.split("\n"):
+        mark = line.lstrip()[:3] in ("```", "~~~")
+        out.append(" " * len(line) if fenced or mark else line)
+        fenced ^= mark
+    return _CODE.sub(blank, _COMMENT.sub(blank, "\n".join(out)))
+
+
 @F.pandas_udf(TEXT)
 def masked(body: pd.Series) -> pd.Series:
-    """Comments and inline code blanked out at equal length; fenced blocks too. Line breaks stay."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+    return body.map(lambda x: None if x is None else mask(x))
+
+
+@F.pandas_udf(TEXT)
+def shielded(body: pd.Series) -> pd.Series:
+    """Text in which no link that touches a comment, inline code or a fenced block looks like one."""
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        out, fenced = [], False
-        for line in text.split("\n"):
-            mark = line.lstrip()[:3] in ("```", "~~~")
-            out.append(" " * len(line) if fenced or mark else line)
-            fenced ^= mark
-        text = re.sub(r"<!--.*?(-->|\Z)", blank, "\n".join(out), flags=re.S)
-        return re.sub(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)", blank, text)
+        bare = mask(text)
+        return _LINK.sub(lambda m: m.group() if bare[m.start() : m.end()] == m.group() else m.group().replace("[[", f"[{SHIELD}["), text)
 
     return body.map(one)
 
 
+def with_shields(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `shielded` of a column in its place; only texts that have links and marks of code or comments go to Python."""
+    risky = F.coalesce(F.col(column).contains("[[") & F.col(column).rlike("`|~~~|<!--"), F.lit(False))
+    return rows.where(~risky).unionByName(rows.where(risky).withColumn(column, shielded(column)))
+
+
 @F.pandas_udf(TEXT)
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def normalised(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with `out`, the NFKC form of a column; ASCII, which is its own form, does not go to Python."""
+    odd = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return rows.where(~odd).withColumn(out, F.col(column)).unionByName(rows.where(odd).withColumn(out, nfkc(column)))
+
+
 @F.pandas_udf(TEXT)
 def fnv1a(content: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits as 16 hex digits."""

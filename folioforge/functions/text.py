@@ -114,13 +114,16 @@ def plain_link_label(c: Column) -> Column:
     return F.regexp_replace(c, r"!?\[([^\]\n]*)\]\([^)\n]+\)", "$1")
 
 
-def link_label(c: Column, depth: int = 3) -> Column:
-    """Readable text of a label: images and links flattened `depth` deep, tags stripped, brackets escaped."""
-    x = c
-    for _ in range(depth):
-        x = F.regexp_replace(x, r"!\[([^\]\n]*)\]\([^)]+\)", "$1")
-    for _ in range(depth):
-        x = F.regexp_replace(x, r"\[([^\]\n]+)\]\([^)]+\)", "$1")
+def _until_still(c: Column, pattern: str, replacement: str) -> Column:
+    """regexp_replace again and again until nothing changes; each time takes a `](` away, so their number is enough."""
+    turns = F.sequence(F.lit(1), F.greatest(occurrences(c, "]("), F.lit(1)))
+    return F.aggregate(turns, c, lambda x, _: F.regexp_replace(x, pattern, replacement))
+
+
+def link_label(c: Column) -> Column:
+    """Readable text of a label: nested images and links flattened, tags stripped, brackets escaped."""
+    x = _until_still(c, r"!\[([^\]\n]*)\]\([^)]+\)", "$1")
+    x = _until_still(x, r"\[([^\]\n]+)\]\([^)]+\)", "$1")
     x = F.regexp_replace(x, r"<[^>\n]+>", "")
     x = F.replace(F.replace(x, F.lit("[["), F.lit("[")), F.lit("]]"), F.lit("]"))
     x = F.replace(F.replace(x, F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]"))
@@ -145,7 +148,9 @@ def compact_line(c: Column) -> Column:
 
 
 def source_page_stem(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9-]+", "_"), "^_+|_+$", "")
+    """A name for the catalog page of a source: without its extension, other characters than letters, digits and - as _."""
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(\.md)+$", ""), r"[^A-Za-z0-9-]+", "_"), "^_+|_+$", "")
+    return F.when(x == "", "source").otherwise(x)
 
 
 def metadata_value(body: Column, key: str) -> Column:
@@ -154,6 +159,11 @@ def metadata_value(body: Column, key: str) -> Column:
     return F.when(body.rlike(rf"(?m)^  {key}:"), F.regexp_replace(trim(found), '^"|"$', ""))
 
 
+def page_number(n: Column) -> Column:
+    """001, 002, ..., 1000, ...: three digits at least."""
+    return F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+
+
 def strip_front_matter(body: Column) -> Column:
     return F.regexp_replace(body, r"\A---\n(?s:.*?)\n---\n", "")
 

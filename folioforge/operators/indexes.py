@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from . import markdown
@@ -60,14 +64,12 @@ def first_titles(notes: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by_dir).cast("long")).where(F.col("rank") <= k).select("dir", "rank", "title")
 
 
-def heading_index(notes: DataFrame) -> DataFrame:
-    """(source_path, line_idx, level, text, anchor): the first h1 and every h2, anchors by a counter for equal ones."""
-    rows = markdown.headings(notes)
+def heading_index(notes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(source_path, line_idx, level, text, anchor): the first h1 and every h2, anchors by a counter for equal ones of a level."""
+    rows = markdown.headings(notes) if heads is None else heads
     first = rows.where("level = 1").groupBy("source_path").agg(F.min("line_idx").alias("line_idx"))
     kept = rows.where("level = 2").unionByName(rows.where("level = 1").join(first, ["source_path", "line_idx"]).select(*rows.columns))
-    kept = kept.withColumn("base", T.slugify(F.col("text")))
-    nth = F.row_number().over(Window.partitionBy("source_path", "base").orderBy("line_idx")) - 1
-    return kept.select("source_path", "line_idx", "level", "text", F.when(nth == 0, F.col("base")).otherwise(F.concat_ws("-", "base", nth.cast("string"))).alias("anchor"))
+    return markdown.counter_slugs(kept, ["source_path", "level"], "line_idx", default="").withColumnRenamed("slug", "anchor")
 
 
 def is_suppressed(term) -> F.Column:
@@ -79,16 +81,25 @@ def suppressed_source(path) -> F.Column:
     return path.isin("index.md", "_unresolved.md") | (F.substring_index(path, "/", -1) == "_index.md") | path.rlike("^(headings|links|agent)(/|$)")
 
 
-def terms(notes: DataFrame) -> DataFrame:
-    """(term, kind, page): lower-cased terms of five kinds with the pages that have them, each once."""
+LABELS = r"\[([^\]\n]+)\]\([^)\n]+\)"
+
+
+def terms(notes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(term, kind, page): lower-cased terms of five kinds with the entry pages that have them, each once."""
     page = F.col("entry_path").alias("page")
+    heads = markdown.headings(notes) if heads is None else heads
+    own = notes.select("source_path", "entry_path")
     parts = [
         note_tags(notes).select(F.col("tag").alias("term"), F.lit("tag").alias("kind"), page),
-        markdown.headings(notes, "entry_path").select(F.col("text").alias("term"), F.lit("heading").alias("kind"), page),
-        markdown.titles(notes).join(notes.select("source_path", "entry_path"), "source_path").select(F.col("title").alias("term"), F.lit("title").alias("kind"), page),
+        heads.join(own, "source_path").select(F.col("text").alias("term"), F.lit("heading").alias("kind"), page),
+        markdown.titles(notes, heads).join(own, "source_path").select(F.col("title").alias("term"), F.lit("title").alias("kind"), page),
         notes.select(F.col("stem").alias("term"), F.lit("file").alias("kind"), page),
-        notes.select(F.explode(F.regexp_extract_all("body", F.lit(r"\[([^\]\n]+)\]\([^)\n]+\)"), F.lit(1))).alias("term"), F.lit("link_label").alias("kind"), page),
+        notes.select(F.explode(F.regexp_extract_all("body", F.lit(LABELS), F.lit(1))).alias("term"), F.lit("link_label").alias("kind"), page),
     ]
+    return _cleaned(parts)
+
+
+def _cleaned(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
@@ -96,6 +107,37 @@ def terms(notes: DataFrame) -> DataFrame:
     return rows.where((F.col("term") != "") & ~is_suppressed(F.col("term")) & ~suppressed_source(F.col("page"))).distinct()
 
 
+def tag_of_page(path) -> F.Column:
+    """The tag that a tag page stands for; null for other pages."""
+    return F.when(path.startswith("tags/") & (path != "tags/index.md"), F.regexp_replace(F.regexp_replace(path, "^tags/", ""), r"\.md$", ""))
+
+
+def page_terms(pages: DataFrame) -> DataFrame:
+    """(term, kind, page) of rendered pages (path, body, title, source): the tag of a tag page; of others headings, title, file
+    and link labels, lists and navigation included."""
+    own = tag_of_page(F.col("path"))
+    others = pages.where(own.isNull())
+    heads = markdown.headings(others.select(F.col("path").alias("source_path"), T.strip_front_matter(F.col("body")).alias("body")))
+    page = F.col("path").alias("page")
+    parts = [
+        pages.where(own.isNotNull()).select(own.alias("term"), F.lit("tag").alias("kind"), page),
+        heads.select(F.col("text").alias("term"), F.lit("heading").alias("kind"), F.col("source_path").alias("page")),
+        others.select(F.col("title").alias("term"), F.lit("title").alias("kind"), page),
+        others.where("source != ''").select(T.stem_of(F.col("source")).alias("term"), F.lit("file").alias("kind"), page),
+        others.select(F.explode(F.regexp_extract_all("body", F.lit(LABELS), F.lit(1))).alias("term"), F.lit("link_label").alias("kind"), page),
+    ]
+    return _cleaned(parts)
+
+
+def page_summary(text) -> F.Column:
+    """Entries of a page of an index: how many link labels, or headings where there are none, with the first and the last."""
+    labels = F.regexp_extract_all(text, F.lit(LABELS), F.lit(1))
+    heads = F.regexp_extract_all(text, F.lit(r"(?m)^\s*#{1,6} (.*)$"), F.lit(1))
+    found = F.when(F.size(labels) > 0, labels).otherwise(heads)
+    end = lambda k: F.coalesce(T.plain_link_label(F.try_element_at(found, F.lit(k))), F.lit(""))
+    return F.struct(F.size(found).cast("long").alias("n"), end(1).alias("first"), end(-1).alias("last"))
+
+
 def term_index(rows: DataFrame, most: int = TERM_PAGES) -> DataFrame:
     """(term, kind, n_pages, pages, n_more): the first `most` pages of each term by path.
 
@@ -148,18 +190,24 @@ def root_summary(notes: DataFrame, pages: DataFrame, unresolved: DataFrame) -> D
     return one.crossJoin(two).crossJoin(three).crossJoin(four)  # one row each
 
 
-def packed(rows: DataFrame, scope: list[str], order: list[str], size: str, limit: int = PAGE_CHARS, header: int = 0) -> DataFrame:
-    """(*scope, *order, page_no): rows in order go to a page until the next would take it beyond the limit (greedy, with
-    reset). A fold over each scope's sizes."""
-    at = [F.col(c).alias(c) for c in order]
-    listed = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*at, F.col(size).cast("long").alias("_n")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(-1).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, x):
-        fits = (s["used"] < 0) | (s["used"] + x["_n"] <= limit)
-        page = F.when(fits, s["page"]).otherwise(s["page"] + 1)
-        used = F.when(s["used"] < 0, F.lit(header).cast("long") + x["_n"]).when(fits, s["used"] + x["_n"]).otherwise(F.lit(header).cast("long") + x["_n"])
-        return F.struct(page.alias("page"), used.alias("used"), F.concat(s["out"], F.array(page)).alias("out"))
-
-    found = listed.select(*scope, F.explode(F.arrays_zip(F.col("l").alias("l"), F.aggregate("l", start, step, lambda s: s["out"]).alias("p"))).alias("x"))
-    return found.select(*scope, *[F.col(f"x.l.{c}").alias(c) for c in order], F.col("x.p").alias("page_no"))
+def packed(rows: DataFrame, scope: list[str], order: list[str], size: str, limit: int = PAGE_CHARS, header: int = 0, carry: list[str] | None = None) -> DataFrame:
+    """(*scope, *order, *carry, page_no): rows in order go to a page until the next would take it beyond the limit (greedy, with
+    reset). Rows of a scope pass by in order; what is held is the page's number and how full it is."""
+    names = [*scope, *order, *(carry or [])]
+    rows = rows.select(*names, F.col(size).cast("long").alias("_n"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, page, used = None, 0, -1
+        for batch in batches:
+            out = []
+            for key, n in zip(zip(*(batch.column(c).to_pylist() for c in scope), strict=True), batch.column("_n").to_pylist(), strict=True):
+                if key != now:
+                    now, page, used = key, 0, -1
+                if used >= 0 and used + n > limit:
+                    page, used = page + 1, -1
+                used = (header if used < 0 else used) + n
+                out.append(page)
+            yield batch.select(names).append_column(pa.field("page_no", pa.int64()), pa.array(out, pa.int64()))
+
+    placed = rows.repartition(*scope).sortWithinPartitions(*scope, *order)
+    return placed.mapInArrow(fold, StructType([*rows.schema.fields[:-1], StructField("page_no", LongType())]))

@@ -1,36 +1,43 @@
-"""Links between notes: extraction, name resolution with tie-breaks, the page graph, related notes."""
+"""Links between pages: extraction, name resolution with tie-breaks, the page graph, related notes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import frontmatter as FM
 from ..functions import text as T
 from . import markdown
 
 WIKILINK = r"(!?)\[\[([^\[\]\n]+)\]\]"
 MDLINK = r"\[([^\]\n]+)\]\(([^)\s]+)\)"
+ANYLINK = r"!?\[\[[^\[\]\n]+\]\]|\[[^\]\n]+\]\([^)\s]+\)"
 TOP_RELATED, LEAST_SHARED, MAX_TAGS = 3, 2, 10
 
 
-def wikilinks(notes: DataFrame) -> DataFrame:
-    """(source_path, entry_path, ord, embed, target, heading, alias) outside fences; ord counts links of a note from 0.
+def bodies(notes: DataFrame, resplit: int = markdown.RESPLIT_LINES, found: DataFrame | None = None) -> DataFrame:
+    """Pages with their raw text, in which what stands in code or comments no longer looks like a wikilink."""
+    found = markdown.pages(notes, resplit) if found is None else found
+    return FM.with_shields(markdown.page_bodies(notes, found), "raw")
 
-    Comments and inline code should be masked before (`functions.frontmatter.masked`) where there are any.
-    """
-    rows = markdown.lines(notes, "entry_path").where(~F.col("fenced") & F.col("line").contains("[["))
-    rows = rows.select("source_path", "entry_path", "line_idx", F.posexplode(F.regexp_extract_all("line", F.lit(r"(!?\[\[[^\[\]\n]+\]\])"), F.lit(1))).alias("at", "raw"))
-    ordered = Window.partitionBy("source_path").orderBy("line_idx", "at")
-    rows = rows.select("source_path", "entry_path", (F.row_number().over(ordered) - 1).cast("long").alias("ord"), F.col("raw").startswith("!").alias("embed"), F.regexp_extract("raw", WIKILINK, 2).alias("inner"))
+
+def page_links(shielded: DataFrame) -> DataFrame:
+    """(output_path, entry_path, source_path, at, raw): all links of each page in order, wikilinks and Markdown links."""
+    return shielded.select("output_path", "entry_path", "source_path", F.posexplode(F.regexp_extract_all("raw", F.lit(f"({ANYLINK})"), F.lit(1))).alias("at", "raw"))
+
+
+def wikilinks(found: DataFrame) -> DataFrame:
+    """Of page links the wikilinks: (output_path, entry_path, source_path, at, raw, embed, target, heading, alias)."""
+    rows = found.where(F.col("raw").rlike(r"^!?\[\[")).withColumn("inner", F.regexp_extract("raw", WIKILINK, 2))
     name = F.substring_index("inner", "|", 1)
     after = lambda c, mark: F.when(F.instr(c, mark) > 0, T.trim(F.substring(c, F.instr(c, mark) + 1, F.length(c))))
-    return rows.select("source_path", "entry_path", "ord", "embed", T.trim(F.substring_index(name, "#", 1)).alias("target"), after(name, "#").alias("heading"), after(F.col("inner"), "|").alias("alias"))
+    return rows.select("output_path", "entry_path", "source_path", "at", "raw", F.col("raw").startswith("!").alias("embed"), T.trim(F.substring_index(name, "#", 1)).alias("target"), after(name, "#").alias("heading"), after(F.col("inner"), "|").alias("alias"))
 
 
-def markdown_links(notes: DataFrame) -> DataFrame:
-    """(source_path, entry_path, ord, label, target) of links to Markdown files or headings."""
-    rows = notes.select("source_path", "entry_path", F.posexplode(F.regexp_extract_all("body", F.lit(r"(\[[^\]\n]+\]\([^)\s]+\))"), F.lit(1))).alias("ord", "raw"))
-    rows = rows.select("source_path", "entry_path", F.col("ord").cast("long").alias("ord"), F.regexp_extract("raw", MDLINK, 1).alias("label"), F.regexp_extract("raw", MDLINK, 2).alias("target"))
+def markdown_links(found: DataFrame) -> DataFrame:
+    """Of page links those to Markdown files or headings: (output_path, entry_path, source_path, at, raw, label, target)."""
+    rows = found.where(~F.col("raw").rlike(r"^!?\[\["))
+    rows = rows.select("output_path", "entry_path", "source_path", "at", "raw", F.regexp_extract("raw", MDLINK, 1).alias("label"), F.regexp_extract("raw", MDLINK, 2).alias("target"))
     return rows.where(T.is_markdown_target(F.col("target")) & ~T.is_external(F.col("target")))
 
 
@@ -58,40 +65,53 @@ def best_names(notes: DataFrame, asks: DataFrame) -> DataFrame:
     return found.select("name", "from_dir", F.coalesce("near_entry", "any_entry").alias("note_entry"))
 
 
-def resolve(notes: DataFrame, resplit: int = markdown.RESPLIT_LINES) -> DataFrame:
-    """Wikilinks with their resolution: (source_path, entry_path, ord, target, heading, alias, status, dst).
+def targets(notes: DataFrame, found: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(note_entry, slug, dst, anchor): what a heading link can lead to. Of a note that is cut into pages, the page of each
+    second-level section by its slug; of another, the entry page and the anchors of its second-level headings."""
+    cut = found.where("kind in ('h2leaf', 'shell')").select(F.col("entry_path").alias("note_entry"), "slug", F.col("output_path").alias("dst"), F.lit(None).cast("string").alias("anchor"))
+    whole = notes.join(found.where("kind in ('h2leaf', 'shell')").select("source_path").distinct(), "source_path", "left_anti").select("source_path", F.col("entry_path").alias("note_entry"))
+    rows = (markdown.headings(notes) if heads is None else heads).where("level = 2").join(whole, "source_path")
+    anchors = markdown.counter_slugs(rows, ["note_entry"], "line_idx", default="").select("note_entry", "slug", F.col("note_entry").alias("dst"), F.col("slug").alias("anchor"))
+    return cut.unionByName(anchors.distinct())
 
-    status is entry, page (a heading link to a fragment page) or missing; only second-level headings resolve.
-    """
-    links = wikilinks(notes).withColumn("from_dir", T.source_dir_of(F.col("entry_path")))
+
+def _with_heading(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows (..., heading, note_entry) with status (entry, page, anchor or missing), dst and anchor."""
+    rows = FM.normalised(rows, "heading", "plain").withColumn("slug", T.slugify(F.col("plain"))).drop("plain")
+    rows = rows.join(goals.withColumnRenamed("dst", "goal"), ["note_entry", "slug"], "left")
+    dst = F.when(F.col("heading").isNull(), F.col("note_entry")).otherwise(F.col("goal"))
+    status = F.when(dst.isNull(), "missing").when(F.col("heading").isNull(), "entry").when(F.col("anchor").isNull(), "page").otherwise("anchor")
+    return rows.withColumn("status", status).withColumn("dst", dst).drop("goal", "slug", "note_entry")
+
+
+def resolve(notes: DataFrame, wiki: DataFrame, goals: DataFrame) -> DataFrame:
+    """Wikilinks with status, dst (a page) and anchor; only second-level headings resolve."""
+    links = wiki.withColumn("from_dir", T.source_dir_of(F.col("entry_path")))
     asks = links.select(F.col("target").alias("name"), "from_dir")
-    found = links.join(best_names(notes, asks).withColumnRenamed("name", "target"), ["target", "from_dir"], "left")
-    fragments = markdown.pages(notes, resplit).where("kind in ('h2leaf', 'shell')").select(F.col("entry_path").alias("note_entry"), F.col("output_path").alias("page"), T.slugify(F.col("title")).alias("slug"), "ord")
-    fragments = fragments.groupBy("note_entry", "slug").agg(F.min_by("page", "ord").alias("page"))
-    found = found.withColumn("slug", T.slugify(F.col("heading"))).join(fragments, ["note_entry", "slug"], "left")
-    dst = F.when(F.col("heading").isNull(), F.col("note_entry")).otherwise(F.col("page"))
-    status = F.when(dst.isNull(), "missing").when(F.col("heading").isNull(), "entry").otherwise("page")
-    return found.select("source_path", "entry_path", "ord", "target", "heading", "alias", status.alias("status"), dst.alias("dst"))
+    found = links.join(best_names(notes, asks).withColumnRenamed("name", "target"), ["target", "from_dir"], "left").drop("from_dir")
+    return _with_heading(found, goals)
 
 
-def resolve_markdown(notes: DataFrame) -> DataFrame:
-    """Relative links by normalised source path: (source_path, entry_path, ord, target, dst); dst is null if there is none."""
-    rows = markdown_links(notes).withColumn("file", F.split_part("target", F.lit("#"), F.lit(1)))
-    path = T.normalize_path(F.concat_ws("/", T.parent_of(F.col("source_path")), "file"))
-    have = notes.select(F.col("source_path").alias("path"), F.col("entry_path").alias("dst"))
-    return rows.withColumn("path", path).join(have, "path", "left").select("source_path", "entry_path", "ord", "target", "dst")
+def resolve_markdown(notes: DataFrame, md: DataFrame, goals: DataFrame) -> DataFrame:
+    """Markdown links with status, dst and anchor, by normalised source path; a bare heading is one of the link's own note."""
+    file = F.split_part("target", F.lit("#"), F.lit(1))
+    after = F.when(F.instr("target", "#") > 0, F.substring(F.col("target"), F.instr("target", "#") + 1, F.length("target")))
+    path = F.when(file == "", F.col("source_path")).otherwise(T.normalize_path(F.concat_ws("/", T.parent_of(F.col("source_path")), file)))
+    have = notes.select(F.col("source_path").alias("path"), F.col("entry_path").alias("note_entry"))
+    return _with_heading(md.withColumn("heading", after).withColumn("path", path).join(have, "path", "left").drop("path"), goals)
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
-    return resolved.where("status = 'missing'").select("source_path", "ord", "target", "heading", "alias")
+    """Wikilinks that lead nowhere: (output_path, source_path, at, target, heading, alias)."""
+    return resolved.where("status = 'missing'").select("output_path", "source_path", "at", "target", "heading", "alias")
 
 
 def edges(notes: DataFrame, resolved: DataFrame, md: DataFrame) -> DataFrame:
-    """(src, dst, first_ord): related entries, then wikilinks in reverse order, then Markdown links; no self links, each pair
-    once, at its first place."""
+    """(src, dst, first_ord): related entries, then wikilinks in reverse order, then Markdown links, of each page; no self links,
+    each pair once, at its first place."""
     related = related_entries(notes).select(F.col("entry_path").alias("src"), "dst", F.struct(F.lit(0).alias("a"), F.col("rank").alias("b")).alias("o"))
-    wiki = resolved.where("dst is not null").select(F.col("entry_path").alias("src"), "dst", F.struct(F.lit(1).alias("a"), (-F.col("ord")).alias("b")).alias("o"))
-    other = md.where("dst is not null").select(F.col("entry_path").alias("src"), "dst", F.struct(F.lit(2).alias("a"), F.col("ord").alias("b")).alias("o"))
+    wiki = resolved.where("dst is not null").select(F.col("output_path").alias("src"), "dst", F.struct(F.lit(1).alias("a"), (-F.col("at")).cast("long").alias("b")).alias("o"))
+    other = md.where("dst is not null").select(F.col("output_path").alias("src"), "dst", F.struct(F.lit(2).alias("a"), F.col("at").cast("long").alias("b")).alias("o"))
     rows = related.union(wiki).union(other).where("src != dst")
     return rows.groupBy("src", "dst").agg(F.min("o").alias("o")).withColumn("first_ord", (F.row_number().over(Window.partitionBy("src").orderBy("o", "dst")) - 1).cast("long")).drop("o")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import frontmatter as FM
 from ..functions import text as T
 
 RESPLIT_LINES = 300
@@ -26,40 +27,62 @@ def heading_text(rest) -> F.Column:
 
 
 def headings(notes: DataFrame, *keep: str) -> DataFrame:
-    """(source_path, *keep, line_idx, level, text) of headings outside fences."""
-    rows = lines(notes, *keep).where(~F.col("fenced") & F.col("line").rlike(HEADING))
-    return rows.select("source_path", *keep, "line_idx", F.length(F.regexp_extract("line", HEADING, 1)).cast("long").alias("level"), heading_text(F.coalesce(F.regexp_extract("line", HEADING, 2), F.lit(""))).alias("text"))
+    """(source_path, *keep, line_idx, level, text) of headings outside fences.
 
+    Only lines that can be a heading or a fence are numbered against each other; the others are dropped before the window.
+    """
+    rows = notes.select("source_path", *keep, F.posexplode(F.split("body", "\n")).alias("line_idx", "line"))
+    mark = F.col("line").rlike(FENCE)
+    rows = rows.where(mark | F.col("line").rlike(HEADING))
+    before = Window.partitionBy("source_path").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("opened", F.sum(F.when(mark, 1).otherwise(0)).over(before)).where(~mark & (F.col("opened") % 2 == 0))
+    return rows.select("source_path", *keep, F.col("line_idx").cast("long").alias("line_idx"), F.length(F.regexp_extract("line", HEADING, 1)).cast("long").alias("level"), heading_text(F.coalesce(F.regexp_extract("line", HEADING, 2), F.lit(""))).alias("text"))
 
-def sections(notes: DataFrame, resplit: int = RESPLIT_LINES) -> DataFrame:
-    """Second-level sections: (source_path, line_idx, end_idx, text, n_h3, is_shell), by the next such heading or the end."""
-    size = notes.select("source_path", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
-    marks = headings(notes).where("level in (2, 3)").join(size, "source_path")
+
+def is_fragmented(notes: DataFrame):
+    """Whether a note is cut into pages, unless it says not to."""
+    return F.coalesce(F.col("fragment"), F.lit(True)) if "fragment" in notes.columns else F.lit(True)
+
+
+def sections(notes: DataFrame, resplit: int = RESPLIT_LINES, heads: DataFrame | None = None) -> DataFrame:
+    """Second-level sections of notes that are cut: (source_path, sec, line_idx, end_idx, text, n_h3, first_h3, is_shell), by the
+    next such heading or the end."""
+    size = notes.where(is_fragmented(notes)).select("source_path", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
+    marks = (headings(notes) if heads is None else heads).where("level in (2, 3)").join(size, "source_path")
     by_note = Window.partitionBy("source_path").orderBy("line_idx")
     marks = marks.withColumn("sec", F.sum(F.when(F.col("level") == 2, 1).otherwise(0)).over(by_note.rowsBetween(Window.unboundedPreceding, 0)))
+    third = F.when(F.col("level") == 3, F.col("line_idx"))
     grouped = marks.where("sec > 0").groupBy("source_path", "sec", "n_lines").agg(
-        F.min_by("line_idx", "line_idx").alias("line_idx"), F.min_by("text", "line_idx").alias("text"), F.sum(F.when(F.col("level") == 3, 1).otherwise(0)).cast("long").alias("n_h3")
+        F.min("line_idx").alias("line_idx"), F.min_by("text", "line_idx").alias("text"), F.count(third).cast("long").alias("n_h3"), F.min(third).alias("first_h3")
     )
     end = F.lead("line_idx").over(by_note)
     out = grouped.withColumn("end_idx", F.coalesce(end, F.col("n_lines")))
     shell = (F.col("end_idx") - F.col("line_idx") - 1 > resplit) & (F.col("n_h3") >= 2)
-    return out.select("source_path", F.col("sec").cast("long").alias("sec"), "line_idx", "end_idx", "text", "n_h3", shell.alias("is_shell"))
+    return out.select("source_path", F.col("sec").cast("long").alias("sec"), "line_idx", "end_idx", "text", "n_h3", "first_h3", shell.alias("is_shell"))
 
 
-def counter_slugs(rows: DataFrame, scope: list[str], order: str, text: str = "text") -> DataFrame:
+def counter_slugs(rows: DataFrame, scope: list[str], order: str, text: str = "text", default: str = "section") -> DataFrame:
     """Adds `slug`: of equal slugs within a scope the second gets -1, the third -2, ..."""
-    rows = rows.withColumn("_base", T.slug_or(F.col(text), "section"))
+    rows = FM.normalised(rows, text, "_plain").withColumn("_base", T.slug_or(F.col("_plain"), default)).drop("_plain")
     nth = F.row_number().over(Window.partitionBy(*scope, "_base").orderBy(order)) - 1
     return rows.withColumn("slug", F.when(nth == 0, F.col("_base")).otherwise(F.concat_ws("-", "_base", nth.cast("string")))).drop("_base")
 
 
-def probing_slugs(rows: DataFrame, scope: list[str], order: str, text: str = "text") -> DataFrame:
-    """Adds `slug`, as `counter_slugs`, but a suffix is also passed over where a slug within the scope has it already.
+def probing_slugs(rows: DataFrame, scope: list[str], order: str, text: str = "text", default: str = "section") -> DataFrame:
+    """Adds `slug`, as `counter_slugs`, but a suffix is also passed over where a slug within the scope has it already."""
+    rows = FM.normalised(rows, text, "_plain").withColumn("_base", T.slug_or(F.col("_plain"), default)).drop("_plain")
+    return unused_names(rows, scope, order, "_base", "slug").drop("_base")
+
 
-    A fold over each scope's slugs in order; a scope is a note or a section, so its list is as long as its headings.
+def unused_names(rows: DataFrame, scope: list[str], order: str, base: str, out: str, extension: str = "") -> DataFrame:
+    """Adds `out`: the base name, or else the first of base-1, base-2, ... that none before it in the scope has; an extension
+    comes last.
+
+    A fold over each scope's names that are not alone: a name whose base no other name of the scope begins with is free.
     """
-    rows = rows.withColumn("_base", T.slug_or(F.col(text), "section"))
-    listed = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_base").alias("base")))).alias("l"))
+    bare = F.regexp_replace(F.col(base), r"(-\d+)+$", "")  # names can only collide where these are equal
+    rows = rows.withColumn("_root", bare)
+    listed = rows.groupBy(*scope, "_root").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(base).alias("base")))).alias("l"))
     start = F.struct(F.array().cast("array<string>").alias("used"))
 
     def step(state, x):
@@ -69,36 +92,61 @@ def probing_slugs(rows: DataFrame, scope: list[str], order: str, text: str = "te
         )
         return F.struct(F.concat(state["used"], F.array(F.element_at(free, 1))).alias("used"))
 
-    found = listed.select(*scope, F.explode(F.arrays_zip(F.transform("l", lambda x: x["at"]).alias("at"), F.aggregate("l", start, step, lambda s: s["used"]).alias("slug"))).alias("x"))
-    found = found.select(*scope, F.col("x.at").alias(order), F.col("x.slug").alias("slug"))
-    return rows.drop("_base").join(found, [*scope, order])
-
-
-def pages(notes: DataFrame, resplit: int = RESPLIT_LINES) -> DataFrame:
-    """(output_path, entry_path, source_path, ord, kind, title): entry, then leaves, or a shell and its third-level leaves."""
-    titled = notes.join(titles(notes), "source_path")
-    entry = titled.select(F.col("entry_path").alias("output_path"), "entry_path", "source_path", F.lit(-1).cast("long").alias("ord"), F.lit("entry").alias("kind"), "title")
-    second = probing_slugs(sections(notes, resplit), ["source_path"], "line_idx").join(notes.select("source_path", "entry_path", "entry_dir"), "source_path")
+    given = F.when(F.size("l") == 1, F.transform("l", lambda x: x["base"])).otherwise(F.aggregate("l", start, step, lambda s: s["used"]))
+    found = listed.select(*scope, "_root", F.explode(F.arrays_zip(F.transform("l", lambda x: x["at"]).alias("at"), given.alias("name"))).alias("x"))
+    found = found.select(*scope, "_root", F.col("x.at").alias(order), F.concat(F.col("x.name"), F.lit(extension)).alias(out))
+    return rows.join(found, [*scope, "_root", order]).drop("_root")
+
+
+def pages(notes: DataFrame, resplit: int = RESPLIT_LINES, heads: DataFrame | None = None) -> DataFrame:
+    """(output_path, entry_path, source_path, ord, kind, title, slug, above, first, last): entry, then leaves, or a shell and its
+    third-level leaves. A page has its note's lines from first to before last; above is the page it hangs on."""
+    heads = headings(notes) if heads is None else heads
+    cut = sections(notes, resplit, heads)
+    size = notes.select("source_path", "entry_path", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
+    none = F.lit(None).cast("string")
+    titled = size.join(titles(notes, heads), "source_path").join(cut.groupBy("source_path").agg(F.min("line_idx").alias("first_h2")), "source_path", "left")
+    entry = titled.select(
+        F.col("entry_path").alias("output_path"), "entry_path", "source_path", F.lit(-1).cast("long").alias("ord"), F.lit("entry").alias("kind"), "title",
+        none.alias("slug"), none.alias("above"), F.lit(0).cast("long").alias("first"), F.coalesce("first_h2", "n_lines").alias("last"),
+    )
+    second = probing_slugs(cut, ["source_path"], "line_idx").join(notes.select("source_path", "entry_path", "entry_dir"), "source_path")
     leaf = F.concat(F.col("entry_dir"), F.lit("/"), F.col("slug"), F.when(F.col("is_shell"), F.lit("/index.md")).otherwise(F.lit(".md")))
-    two = second.select(leaf.alias("output_path"), "entry_path", "source_path", F.col("line_idx").alias("ord"), F.when(F.col("is_shell"), F.lit("shell")).otherwise(F.lit("h2leaf")).alias("kind"), F.col("text").alias("title"))
-    shells = second.where("is_shell").select("source_path", "entry_path", "entry_dir", F.col("slug").alias("above"), F.col("line_idx").alias("lo"), F.col("end_idx").alias("hi"))
-    third = headings(notes).where("level = 3").join(shells, "source_path").where("line_idx > lo and line_idx < hi")
+    two = second.select(
+        leaf.alias("output_path"), "entry_path", "source_path", F.col("line_idx").alias("ord"), F.when(F.col("is_shell"), F.lit("shell")).otherwise(F.lit("h2leaf")).alias("kind"), F.col("text").alias("title"),
+        "slug", F.col("entry_path").alias("above"), F.col("line_idx").alias("first"), F.when(F.col("is_shell"), F.col("first_h3")).otherwise(F.col("end_idx")).alias("last"),
+    )
+    shells = second.where("is_shell").select("source_path", "entry_path", F.concat_ws("/", "entry_dir", "slug").alias("dir"), F.col("line_idx").alias("lo"), F.col("end_idx").alias("hi"))
+    third = heads.where("level = 3").join(shells, "source_path").where("line_idx > lo and line_idx < hi")
     third = probing_slugs(third, ["source_path", "lo"], "line_idx")
-    three = third.select(F.concat(F.col("entry_dir"), F.lit("/"), F.col("above"), F.lit("/"), F.col("slug"), F.lit(".md")).alias("output_path"), "entry_path", "source_path", F.col("line_idx").alias("ord"), F.lit("h3leaf").alias("kind"), F.col("text").alias("title"))
+    end = F.coalesce(F.lead("line_idx").over(Window.partitionBy("source_path", "lo").orderBy("line_idx")), F.col("hi"))
+    three = third.select(
+        F.concat(F.col("dir"), F.lit("/"), F.col("slug"), F.lit(".md")).alias("output_path"), "entry_path", "source_path", F.col("line_idx").alias("ord"), F.lit("h3leaf").alias("kind"), F.col("text").alias("title"),
+        "slug", F.concat(F.col("dir"), F.lit("/index.md")).alias("above"), F.col("line_idx").alias("first"), end.alias("last"),
+    )
     return entry.unionByName(two).unionByName(three)
 
 
-def titles(notes: DataFrame) -> DataFrame:
+def page_bodies(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """The pages found, with their lines as `raw`."""
+    all_ = F.split("body", "\n")
+    rows = found.join(notes.select("source_path", "body"), "source_path")
+    return rows.select(*found.columns, F.array_join(F.slice(all_, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), "\n").alias("raw"))
+
+
+def titles(notes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(source_path, title): the given title, else the first first-level heading, else the stem."""
-    first = headings(notes).where("level = 1").groupBy("source_path").agg(F.min_by("text", "line_idx").alias("h1"))
+    first = (headings(notes) if heads is None else heads).where("level = 1").groupBy("source_path").agg(F.min_by("text", "line_idx").alias("h1"))
     return notes.select("source_path", "fm_title", "stem").join(first, "source_path", "left").select("source_path", F.coalesce("fm_title", F.nullif("h1", F.lit("")), "stem").alias("title"))
 
 
-def navigation(pages: DataFrame) -> DataFrame:
-    """(output_path, parent, prev, next) of the second-level pages of a note."""
-    by_note = Window.partitionBy("source_path").orderBy("ord")
-    rows = pages.where("kind in ('h2leaf', 'shell')")
-    return rows.select("output_path", F.col("entry_path").alias("parent"), F.lag("output_path").over(by_note).alias("prev"), F.lead("output_path").over(by_note).alias("next"))
+def navigation(found: DataFrame) -> DataFrame:
+    """(output_path, parent, prev, next) of all pages but entries. Neighbours are the pages that hang on the same page; a shell
+    has a parent alone."""
+    siblings = Window.partitionBy("above").orderBy("ord")
+    rows = found.where("kind != 'entry'").withColumn("before", F.lag("output_path").over(siblings)).withColumn("after", F.lead("output_path").over(siblings))
+    leaf = F.col("kind") != "shell"
+    return rows.select("output_path", F.col("above").alias("parent"), F.when(leaf, F.col("before")).alias("prev"), F.when(leaf, F.col("after")).alias("next"))
 
 
 def section_bodies(notes: DataFrame, resplit: int = RESPLIT_LINES) -> DataFrame:
@@ -118,13 +166,13 @@ def first_paragraph(notes: DataFrame) -> DataFrame:
     return rows.groupBy("source_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", T.trim(F.col("line")).alias("t")))), lambda x: x["t"]), " ").alias("paragraph"))
 
 
-def section_extents(notes: DataFrame) -> DataFrame:
+def section_extents(notes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(source_path, line_idx, level, text, end_idx): a section ends at the next heading of its level or above it.
 
     The nearest such heading is the least over one running minimum for each level, so no heading is joined to another.
     """
     size = notes.select("source_path", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
-    rows = headings(notes).join(size, "source_path")
+    rows = (headings(notes) if heads is None else heads).join(size, "source_path")
     after = Window.partitionBy("source_path").orderBy("line_idx").rowsBetween(1, Window.unboundedFollowing)
     nexts = [F.min(F.when(F.col("level") == k, F.col("line_idx"))).over(after) for k in range(1, 7)]
     rows = rows.select("source_path", "line_idx", "level", "text", "n_lines", F.array(*nexts).alias("nexts"))

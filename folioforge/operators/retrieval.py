@@ -114,6 +114,24 @@ def front_matter_evidence(files: DataFrame, wanted: dict[str, str]) -> DataFrame
     return out
 
 
+def evidence(notes: DataFrame, schema: SchemaPack) -> DataFrame:
+    """(field, generated_path, source_path, line_start, line_end, text) of all fields of a schema over notes; notes without a
+    front matter (content, fm_line_end) give what their headings have. A field may name several headings or paths."""
+    out = notes.sparkSession.createDataFrame([], "field string, generated_path string, source_path string, line_start long, line_end long, text string")
+    of_files = "content" in notes.columns
+    turn = 0
+    while True:  # the sources of a field of each kind one after another
+        some = {k: {f: [key for kind, key in sources if kind == k][turn : turn + 1] for f, (_, sources) in schema.fields.items()} for k in ("heading", "frontmatter")}
+        wanted = {k: {f: x[0] for f, x in v.items() if x} for k, v in some.items()}
+        if not any(wanted.values()):
+            return out
+        if wanted["heading"]:
+            out = out.unionByName(heading_evidence(notes, wanted["heading"], "fm_line_end" if of_files else None))
+        if wanted["frontmatter"] and of_files:
+            out = out.unionByName(front_matter_evidence(notes, wanted["frontmatter"]))
+        turn += 1
+
+
 def catalog(notes: DataFrame, pages: DataFrame, titles: DataFrame, heads: DataFrame) -> DataFrame:
     """(generated_path, entry_path, source_path, title, kind, entities, tags, headings): pages with their note's attributes."""
     texts = heads.groupBy("source_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]).alias("headings"))
@@ -172,16 +190,12 @@ def source_trail(found: DataFrame, evidence: DataFrame, fields: list[str]) -> Da
 def within_budget(lines: DataFrame, budget: int) -> DataFrame:
     """(line, used): lines in order while their running length fits.
 
-    The cut needs all lines in one order: lengths are summed by ranges of lines first, so only the range in which the budget
-    ends is summed line by line.
+    A line has one character and its break at least, so no more than budget / 2 lines can fit: these are the only ones that are
+    brought into one order, by a top-k that each task takes part in.
     """
-    n = (F.length("line") + 1).cast("long")
-    ranged = lines.withColumn("n", n).withColumn("prefix", F.substring("line", 1, 40))
-    blocks = ranged.groupBy("prefix").agg(F.sum("n").alias("b"))
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("b").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < budget)
-    rows = ranged.join(blocks.select("prefix", "before"), "prefix")
-    used = F.col("before") + F.sum("n").over(Window.partitionBy("prefix").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("line", used.alias("used")).where(F.col("used") <= budget)
+    first = lines.orderBy("line").limit(budget // 2 + 1).withColumn("n", (F.length("line") + 1).cast("long"))
+    used = F.sum("n").over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return first.select("line", used.alias("used")).where(F.col("used") <= budget)
 
 
 def enforce_budget(pack: str, budget: int) -> str:
@@ -224,15 +238,21 @@ def _floor(prefix: str, budget: int) -> str:
 
 
 def context_pack(cat: DataFrame, edges: DataFrame, evidence: DataFrame, schema: SchemaPack, task: str, entities: list[str] | None = None, query: str | None = None, time: str | None = None, budget: int | None = None) -> str:
-    """The evidence pack of one request, as text. What reaches the driver is what the budget can hold, and the pages and
-    evidence of the request's candidates."""
+    """The evidence pack of one request, as text.
+
+    What reaches the driver is bounded by the budget: a pack that is beyond it has no evidence at all, so of each section and of
+    the trail so many rows are enough as would fill it, and whether one is beyond it is seen from these."""
     if task not in schema.contexts:
         raise ValueError(f"{task} is no context of the schema")
     recipe, entities = schema.contexts[task], entities or []
     limit = budget or recipe.budget or DEFAULT_BUDGET
     fields = sorted({f for s in recipe.sections for f in s.fields})
     found = candidates(cat, edges, evidence, fields, entities, query, time)
-    rows = evidence.where(F.col("field").isin(*fields)).join(found, "generated_path").orderBy("priority", "generated_path", "field", "line_start", "line_end", "text").collect()
+    order = ["priority", "generated_path", "field", "line_start", "line_end", "text"]
+    most = limit // 20 + 2  # a line of evidence or of the trail is longer than 20 characters
+    wanted = evidence.where(F.col("field").isin(*fields)).join(found, "generated_path").persist()
+    rows = wanted.orderBy(*order).limit(most).select("field", "generated_path", "source_path", "line_start", "line_end", T.compact_line(F.col("text")).alias("short")).collect()
+    scoped = {r.field for r in wanted.where("in_scope").select("field").distinct().collect()}  # fields of the schema
     by_field: dict[str, list] = {}
     for r in rows:
         by_field.setdefault(r.field, []).append(r)
@@ -241,25 +261,30 @@ def context_pack(cat: DataFrame, edges: DataFrame, evidence: DataFrame, schema:
         lines.append("  entities:\n" + "\n".join(f"  - {e}" for e in entities))
     lines += [f"  {k}: {v}" for k, v in (("query", query), ("time", time)) if v is not None]
     pack = "\n".join(lines) + f"\n---\n# {recipe.title or task}\n"
-    trail, missing, cited = set(), [], set()
+    trail, missing = set(), []
     for s in recipe.sections:
         if s.kind == "sources":
             continue
         body = ""
         for f in s.fields:
             items = by_field.get(f, [])
-            if s.required and not any(r.in_scope for r in items):
+            if s.required and f not in scoped:
                 missing.append(f"- `{f}` for section `{s.title}`\n")
             for r in items:
-                cited.add(r.generated_path)
                 trail.add(f"- `{r.generated_path}` from `{r.source_path}` lines {r.line_start}-{r.line_end} ({f})")
-                short = " ".join(r.text.split())
-                short = short if len(short) <= T.COMPACT_LIMIT else short[: T.COMPACT_LIMIT - 3] + "..."
-                body += f"- `{r.generated_path}` lines {r.line_start}-{r.line_end}: {short}\n"
+                body += f"- `{r.generated_path}` lines {r.line_start}-{r.line_end}: {r.short}\n"
         if body:
             pack += f"\n## {s.title}\n\n{body}"
-    rest = found.join(cat.select("generated_path", "source_path"), "generated_path").where(~F.col("generated_path").isin(*cited)) if cited else found.join(cat.select("generated_path", "source_path"), "generated_path")
-    trail |= {f"- `{r.generated_path}` from `{r.source_path}`" for r in rest.select("generated_path", "source_path").collect()}
+    if len(rows) < most:
+        rest = found.join(wanted.select("generated_path").distinct(), "generated_path", "left_anti").join(cat.select("generated_path", "source_path"), "generated_path")
+        line = F.concat(F.lit("- `"), "generated_path", F.lit("` from `"), "source_path", F.lit("`"))
+        trail |= {r.line for r in rest.select(line.alias("line")).distinct().orderBy("line").limit(most).collect()}
+    else:  # beyond the budget: the first lines of the whole trail are wanted, not those of the first evidence
+        cited_lines = source_trail(found, evidence, fields)
+        rest = found.join(wanted.select("generated_path").distinct(), "generated_path", "left_anti").join(cat.select("generated_path", "source_path"), "generated_path")
+        line = F.concat(F.lit("- `"), "generated_path", F.lit("` from `"), "source_path", F.lit("`"))
+        trail = {r.line for r in cited_lines.unionByName(rest.select(line.alias("line")).distinct()).orderBy("line").limit(most).collect()}
+    wanted.unpersist()
     if missing:
         pack += "\n## Missing Required Evidence\n\n" + "".join(missing)
     pack += "\n## Source Trail\n\n" + ("".join(x + "\n" for x in sorted(trail)) or "- No sources matched.\n")

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import compile as C
 from .operators import incremental, indexes, large, links, markdown, quality, render, retrieval
 from .sources import corpus
 
-RESPLIT = 12  # lines, so that the short documents have shells
+RESPLIT = 5  # lines, so that the short documents have shells
 CHUNK = 2000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -35,53 +36,60 @@ def rows_of(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
 
 # ---------------------------------------------------------------- shared SQL
 
-CORPUS = """
-WITH d AS (SELECT doc_id AS i, text, lang, source, (SELECT count(*) FROM documents) AS n FROM documents),
+CORPUS = r"""
+WITH RECURSIVE d AS (SELECT doc_id AS i, text, lang, source, (SELECT count(*) FROM documents) AS n FROM documents),
 q AS (SELECT doc_id AS i, min(quality) AS quality FROM labels GROUP BY 1),
 base AS (SELECT d.*, q.quality, lang || '/' || source || CASE WHEN i % 10 = 3 THEN '/h' || i ELSE '' END AS dir,
   CASE WHEN i % 10 = 3 THEN 'hub' || (i % 7) ELSE 'n' || i END AS stem FROM d LEFT JOIN q USING (i)),
-tl AS (SELECT i, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM base),
+tl AS (SELECT i, n, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM base),
+kinds AS (SELECT * FROM (VALUES (1, -7, '```'), (1, -6, '## not a heading [[n3]]'), (1, -5, '```'), (2, -7, '| a | b |'), (2, -6, '|---|---|'), (3, -7, '- item'), (3, -6, ''), (3, -5, '1. one')) v(m, o, line)),
 bl AS (
   SELECT i, -9 AS o, '# Doc ' || i AS line FROM base
   UNION ALL SELECT i, -8, 'See [[n' || ((7 * i + 3) % n) || ']] and [[topic-' || (i % 97) || '|label ' || i || ']] or [[missing-' || (i % 17) || ']] at [[n' || ((5 * i + 1) % n) || '#Part 1]] and [file](../' || source || '/n' || ((i + 20) % n) || '.md).' FROM base
-  UNION ALL SELECT i, -7, '```' FROM base WHERE i % 8 = 1
-  UNION ALL SELECT i, -6, '## not a heading' FROM base WHERE i % 8 = 1
-  UNION ALL SELECT i, -5, '```' FROM base WHERE i % 8 = 1
-  UNION ALL SELECT i, 2 * k, '## Part ' || ((k // 4) % 3) FROM tl WHERE k % 4 = 0
-  UNION ALL SELECT i, 2 * k, '### Sub ' || (k // 4) FROM tl WHERE k % 4 = 2
+  UNION ALL SELECT i, o, line FROM base JOIN kinds ON i % 8 = m
+  UNION ALL SELECT i, 2 * k, CASE WHEN i % 9 = 4 AND k = 0 THEN '## Part 1-1' ELSE '## Part ' || ((k // 4) % 3) END FROM tl WHERE k % 4 = 0
+  UNION ALL SELECT i, 2 * k, '### Sub ' || CASE WHEN i % 6 = 2 THEN 0 ELSE k // 4 END FROM tl WHERE k % 4 = 2 OR (i % 6 = 2 AND k % 4 > 0)
+  UNION ALL SELECT i, 2 * k, 'More `[[n1]]` <!-- [[n2]] --> [own](#Part 0) [far](../' || source || '/n' || ((i + 4) % n) || '.md#Part 1) [[n' || ((i + 4) % n) || '#Part 1-1]]' FROM tl WHERE k = 1 AND i % 7 = 0 AND i % 6 <> 2
   UNION ALL SELECT i, 2 * k + 1, t FROM tl),
 bodies AS (SELECT i, string_agg(line, chr(10) ORDER BY o) AS body FROM bl GROUP BY i),
 notes AS (SELECT i AS doc_id, dir || '/' || stem || '.md' AS source_path, 'fragments/' || dir || '/' || stem || '/index.md' AS entry_path,
   'fragments/' || dir || '/' || stem AS entry_dir, dir, stem, CASE WHEN i % 5 = 0 THEN 'Title ' || (i % 50) END AS fm_title,
   CASE WHEN i % 3 = 0 THEN ['topic-' || (i % 97)] ELSE [] END AS aliases,
   list_concat(['lang/' || lang, 'src/' || source, 'group/g' || (i % 13)], CASE WHEN quality IS NOT NULL THEN ['quality/' || quality] ELSE [] END) AS tags,
-  CASE WHEN i % 11 = 0 THEN ['n' || ((i + 1) % n)] ELSE [] END AS related, body FROM base JOIN bodies USING (i)),
+  CASE WHEN i % 11 = 0 THEN ['n' || ((i + 1) % n)] ELSE [] END AS related, i % 12 <> 5 AS cut, body FROM base JOIN bodies USING (i)),
 raw_lines AS (SELECT source_path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_idx FROM notes),
-lines AS (SELECT *, regexp_matches(line, '^[\\s\\p{Z}]*(```|~~~)') OR
-  sum(CASE WHEN regexp_matches(line, '^[\\s\\p{Z}]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY source_path ORDER BY line_idx) % 2 = 1 AS fenced FROM raw_lines),
-headings AS (SELECT source_path, line_idx, CAST(length(regexp_extract(line, '^[\\s\\p{Z}]*(#{1,6})(?: (.*))?$', 1)) AS BIGINT) AS level,
-  trim(regexp_replace(trim(regexp_extract(line, '^[\\s\\p{Z}]*(#{1,6})(?: (.*))?$', 2)), '#+$', '')) AS text
-  FROM lines WHERE NOT fenced AND regexp_matches(line, '^[\\s\\p{Z}]*(#{1,6})(?: (.*))?$')),
+lines AS (SELECT *, regexp_matches(line, '^[\s\p{Z}]*(```|~~~)') OR
+  sum(CASE WHEN regexp_matches(line, '^[\s\p{Z}]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY source_path ORDER BY line_idx) % 2 = 1 AS fenced FROM raw_lines),
+headings AS (SELECT source_path, line_idx, CAST(length(regexp_extract(line, '^[\s\p{Z}]*(#{1,6})(?: (.*))?$', 1)) AS BIGINT) AS level,
+  trim(regexp_replace(trim(regexp_extract(line, '^[\s\p{Z}]*(#{1,6})(?: (.*))?$', 2)), '#+$', '')) AS text
+  FROM lines WHERE NOT fenced AND regexp_matches(line, '^[\s\p{Z}]*(#{1,6})(?: (.*))?$')),
 n_lines AS (SELECT source_path, count(*) AS n_lines FROM raw_lines GROUP BY 1),
-h2 AS (SELECT source_path, line_idx, text, lead(line_idx) OVER (PARTITION BY source_path ORDER BY line_idx) AS nxt FROM headings WHERE level = 2),
+h2 AS (SELECT h.source_path, line_idx, text, lead(line_idx) OVER (PARTITION BY h.source_path ORDER BY line_idx) AS nxt FROM headings h JOIN notes n ON n.source_path = h.source_path AND n.cut WHERE level = 2),
 sections AS (SELECT h2.source_path, h2.line_idx, coalesce(nxt, n_lines) AS end_idx, h2.text,
-  (SELECT count(*) FROM headings h WHERE h.source_path = h2.source_path AND h.level = 3 AND h.line_idx > h2.line_idx AND h.line_idx < coalesce(nxt, n_lines)) AS n_h3
+  (SELECT count(*) FROM headings h WHERE h.source_path = h2.source_path AND h.level = 3 AND h.line_idx > h2.line_idx AND h.line_idx < coalesce(nxt, n_lines)) AS n_h3,
+  (SELECT min(line_idx) FROM headings h WHERE h.source_path = h2.source_path AND h.level = 3 AND h.line_idx > h2.line_idx AND h.line_idx < coalesce(nxt, n_lines)) AS first_h3
   FROM h2 JOIN n_lines USING (source_path)),
-shells AS (SELECT *, end_idx - line_idx - 1 > 12 AND n_h3 >= 2 AS is_shell FROM sections),
-slugs AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\\s\\p{Z}]', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS base FROM shells),
-slugged AS (SELECT *, CASE WHEN nth = 1 THEN base ELSE base || '-' || (nth - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY source_path, base ORDER BY line_idx) AS nth FROM slugs)),
+shells AS (SELECT *, end_idx - line_idx - 1 > 5 AND n_h3 >= 2 AS is_shell FROM sections),
+slugs AS (SELECT *, replace(lower(text), ' ', '-') AS base, row_number() OVER (PARTITION BY source_path ORDER BY line_idx) AS r FROM shells),
+probe AS (SELECT source_path, r, base AS slug, [base] AS used FROM slugs WHERE r = 1
+  UNION ALL SELECT source_path, r, slug, list_append(used, slug) FROM (
+    SELECT s.source_path, s.r, p.used, CASE WHEN NOT list_contains(p.used, s.base) THEN s.base ELSE s.base || '-' || list_min(list_filter(range(1, len(p.used) + 2), lambda k: NOT list_contains(p.used, s.base || '-' || k))) END AS slug
+    FROM probe p JOIN slugs s ON s.source_path = p.source_path AND s.r = p.r + 1)),
+slugged AS (SELECT s.*, p.slug FROM slugs s JOIN probe p USING (source_path, r)),
 titles AS (SELECT n.source_path, coalesce(fm_title, nullif(h1, ''), stem) AS title FROM notes n LEFT JOIN (SELECT source_path, arg_min(text, line_idx) AS h1 FROM headings WHERE level = 1 GROUP BY 1) USING (source_path)),
+thirds AS (SELECT h.source_path, h.line_idx, h.text, s.slug AS above, s.end_idx, row_number() OVER (PARTITION BY h.source_path, s.line_idx, h.text ORDER BY h.line_idx) AS nth, lead(h.line_idx) OVER (PARTITION BY h.source_path, s.line_idx ORDER BY h.line_idx) AS nxt
+  FROM headings h JOIN slugged s ON h.source_path = s.source_path AND s.is_shell AND h.level = 3 AND h.line_idx > s.line_idx AND h.line_idx < s.end_idx),
 pages AS (
-  SELECT entry_path AS output_path, entry_path, source_path, -1 AS ord, 'entry' AS kind, title FROM notes JOIN titles USING (source_path)
-  UNION ALL SELECT entry_dir || '/' || slug || CASE WHEN is_shell THEN '/index.md' ELSE '.md' END, entry_path, source_path, line_idx, CASE WHEN is_shell THEN 'shell' ELSE 'h2leaf' END, text FROM slugged JOIN notes USING (source_path)
-  UNION ALL SELECT entry_dir || '/' || above || '/' || CASE WHEN nth = 1 THEN b ELSE b || '-' || (nth - 1) END || '.md', entry_path, source_path, line_idx, 'h3leaf', text FROM (
-    SELECT h.source_path, h.line_idx, h.text, s.slug AS above, replace(lower(h.text), ' ', '-') AS b, row_number() OVER (PARTITION BY h.source_path, s.line_idx, h.text ORDER BY h.line_idx) AS nth
-    FROM headings h JOIN slugged s ON h.source_path = s.source_path AND s.is_shell AND h.level = 3 AND h.line_idx > s.line_idx AND h.line_idx < s.end_idx) JOIN notes USING (source_path)),
-raw_links AS (SELECT source_path, line_idx, unnest(regexp_extract_all(line, '!?\\[\\[[^\\[\\]\\n]+\\]\\]')) AS raw, generate_subscripts(regexp_extract_all(line, '!?\\[\\[[^\\[\\]\\n]+\\]\\]'), 1) AS pos FROM lines WHERE NOT fenced),
-inner_links AS (SELECT source_path, row_number() OVER (PARTITION BY source_path ORDER BY line_idx, pos) - 1 AS ord, starts_with(raw, '!') AS embed, regexp_extract(raw, '\\[\\[([^\\[\\]\\n]+)\\]\\]', 1) AS x FROM raw_links),
-wikilinks AS (SELECT source_path, entry_path, ord, embed, trim(split_part(split_part(x, '|', 1), '#', 1)) AS target,
+  SELECT entry_path AS output_path, entry_path, source_path, -1 AS ord, 'entry' AS kind, title, NULL AS slug, NULL AS above, 0 AS first, coalesce((SELECT min(line_idx) FROM sections s WHERE s.source_path = n.source_path), n_lines) AS last FROM notes n JOIN titles USING (source_path) JOIN n_lines USING (source_path)
+  UNION ALL SELECT entry_dir || '/' || slug || CASE WHEN is_shell THEN '/index.md' ELSE '.md' END, entry_path, source_path, line_idx, CASE WHEN is_shell THEN 'shell' ELSE 'h2leaf' END, text, slug, entry_path, line_idx, CASE WHEN is_shell THEN first_h3 ELSE end_idx END FROM slugged JOIN notes USING (source_path)
+  UNION ALL SELECT entry_dir || '/' || above || '/' || replace(lower(text), ' ', '-') || CASE WHEN nth = 1 THEN '' ELSE '-' || (nth - 1) END || '.md', entry_path, source_path, line_idx, 'h3leaf', text, replace(lower(text), ' ', '-') || CASE WHEN nth = 1 THEN '' ELSE '-' || (nth - 1) END, entry_dir || '/' || above || '/index.md', line_idx, coalesce(nxt, end_idx) FROM thirds JOIN notes USING (source_path)),
+page_lines AS (SELECT p.output_path, p.entry_path, l.*, CASE WHEN fenced THEN '' ELSE regexp_replace(line, '`[^`]*`|<!--.*?-->', '', 'g') END AS clean FROM pages p JOIN lines l ON l.source_path = p.source_path AND l.line_idx >= p.first AND l.line_idx < p.last),
+any_links AS (SELECT output_path, entry_path, source_path, raw, row_number() OVER (PARTITION BY output_path ORDER BY line_idx, pos) - 1 AS ord FROM (SELECT output_path, entry_path, source_path, line_idx,
+  unnest(regexp_extract_all(clean, '!?\[\[[^\[\]\n]+\]\]|\[[^\]\n]+\]\([^)\s]+\)')) AS raw, generate_subscripts(regexp_extract_all(clean, '!?\[\[[^\[\]\n]+\]\]|\[[^\]\n]+\]\([^)\s]+\)'), 1) AS pos FROM page_lines)),
+inner_links AS (SELECT *, starts_with(raw, '!') AS embed, regexp_extract(raw, '\[\[([^\[\]\n]+)\]\]', 1) AS x FROM any_links WHERE regexp_matches(raw, '^!?\[\[')),
+wikilinks AS (SELECT output_path, source_path, entry_path, ord, embed, trim(split_part(split_part(x, '|', 1), '#', 1)) AS target,
   CASE WHEN contains(split_part(x, '|', 1), '#') THEN trim(substr(split_part(x, '|', 1), instr(split_part(x, '|', 1), '#') + 1)) END AS heading,
-  CASE WHEN contains(x, '|') THEN trim(substr(x, instr(x, '|') + 1)) END AS alias FROM inner_links JOIN notes USING (source_path)),
+  CASE WHEN contains(x, '|') THEN trim(substr(x, instr(x, '|') + 1)) END AS alias FROM inner_links),
 names AS (SELECT unnest(aliases) AS name, 0 AS prio, source_path AS note_path, entry_path AS note_entry FROM notes
   UNION ALL SELECT fm_title, 0, source_path, entry_path FROM notes WHERE fm_title IS NOT NULL
   UNION ALL SELECT stem, 1, source_path, entry_path FROM notes),
@@ -92,16 +100,18 @@ best AS (SELECT name, from_dir, note_entry FROM (SELECT a.name, a.from_dir, m.no
     CASE WHEN regexp_replace(m.note_entry, '/[^/]*/[^/]*$', '') = a.from_dir THEN 0 ELSE len(string_split(m.note_entry, '/')) END,
     CASE WHEN regexp_replace(m.note_entry, '/[^/]*/[^/]*$', '') = a.from_dir THEN string_split(m.note_path, '/') ELSE string_split(m.note_entry, '/') END) AS r
   FROM asks a JOIN names m USING (name)) WHERE r = 1),
-fragment_of AS (SELECT entry_path AS note_entry, base AS slug, arg_min(entry_dir || '/' || slug || CASE WHEN is_shell THEN '/index.md' ELSE '.md' END, line_idx) AS page FROM slugged JOIN notes USING (source_path) GROUP BY 1, 2),
-resolved AS (SELECT w.source_path, w.entry_path, w.ord, w.target, w.heading, w.alias, CASE WHEN w.heading IS NULL THEN b.note_entry ELSE f.page END AS dst
+goals AS (SELECT entry_path AS note_entry, slug, output_path AS goal, CAST(NULL AS VARCHAR) AS anchor FROM pages WHERE kind IN ('h2leaf', 'shell')
+  UNION ALL SELECT entry_path, CASE WHEN nth = 1 THEN b ELSE b || '-' || (nth - 1) END, entry_path, CASE WHEN nth = 1 THEN b ELSE b || '-' || (nth - 1) END FROM (
+    SELECT source_path, replace(lower(text), ' ', '-') AS b, row_number() OVER (PARTITION BY source_path, text ORDER BY line_idx) AS nth FROM headings WHERE level = 2 AND source_path NOT IN (SELECT source_path FROM sections)) JOIN notes USING (source_path)),
+resolved AS (SELECT w.*, CASE WHEN w.heading IS NULL THEN b.note_entry ELSE g.goal END AS dst, CASE WHEN w.heading IS NOT NULL THEN g.anchor END AS anchor
   FROM wikilinks w LEFT JOIN best b ON b.name = w.target AND b.from_dir = regexp_replace(w.entry_path, '/[^/]*/[^/]*$', '')
-  LEFT JOIN fragment_of f ON f.note_entry = b.note_entry AND f.slug = replace(lower(w.heading), ' ', '-')),
-md_links AS (SELECT source_path, entry_path, pos - 1 AS ord, regexp_extract(raw, '\\[([^\\]\\n]+)\\]\\(([^)\\s]+)\\)', 1) AS label, regexp_extract(raw, '\\[([^\\]\\n]+)\\]\\(([^)\\s]+)\\)', 2) AS target FROM (
-  SELECT source_path, entry_path, unnest(regexp_extract_all(body, '\\[[^\\]\\n]+\\]\\([^)\\s]+\\)')) AS raw, generate_subscripts(regexp_extract_all(body, '\\[[^\\]\\n]+\\]\\([^)\\s]+\\)'), 1) AS pos FROM notes)),
-md_resolved AS (SELECT m.source_path, m.entry_path, m.ord, m.target, n.entry_path AS dst FROM md_links m JOIN notes s USING (source_path)
-  LEFT JOIN notes n ON n.source_path = regexp_replace(s.dir, '(^|/)[^/]*$', '') || '/' || substr(m.target, 4)),
+  LEFT JOIN goals g ON g.note_entry = b.note_entry AND g.slug = replace(lower(w.heading), ' ', '-')),
+md_links AS (SELECT output_path, source_path, entry_path, ord, regexp_extract(raw, '\[([^\]\n]+)\]\(([^)\s]+)\)', 1) AS label, regexp_extract(raw, '\[([^\]\n]+)\]\(([^)\s]+)\)', 2) AS target FROM any_links WHERE NOT regexp_matches(raw, '^!?\[\[')),
+md_goal AS (SELECT m.*, CASE WHEN contains(target, '#') THEN split_part(target, '#', 2) END AS heading, CASE WHEN starts_with(target, '#') THEN m.source_path ELSE regexp_replace(s.dir, '(^|/)[^/]*$', '') || '/' || substr(split_part(target, '#', 1), 4) END AS path FROM md_links m JOIN notes s USING (source_path)),
+md_resolved AS (SELECT m.output_path, m.source_path, m.entry_path, m.ord, m.label, m.target, CASE WHEN m.heading IS NULL THEN n.entry_path ELSE g.goal END AS dst, CASE WHEN m.heading IS NOT NULL THEN g.anchor END AS anchor
+  FROM md_goal m LEFT JOIN notes n ON n.source_path = m.path LEFT JOIN goals g ON g.note_entry = n.entry_path AND g.slug = replace(lower(m.heading), ' ', '-')),
 related_entries AS (SELECT n.source_path, n.entry_path, 0 AS rank, b.note_entry AS dst FROM notes n JOIN best b ON len(n.related) > 0 AND b.name = n.related[1] AND b.from_dir = regexp_replace(n.entry_path, '/[^/]*/[^/]*$', '')),
-all_edges AS (SELECT entry_path AS src, dst, 0 AS a, rank AS b FROM related_entries UNION ALL SELECT entry_path, dst, 1, -ord FROM resolved WHERE dst IS NOT NULL UNION ALL SELECT entry_path, dst, 2, ord FROM md_resolved WHERE dst IS NOT NULL),
+all_edges AS (SELECT entry_path AS src, dst, 0 AS a, rank AS b FROM related_entries UNION ALL SELECT output_path, dst, 1, -ord FROM resolved WHERE dst IS NOT NULL UNION ALL SELECT output_path, dst, 2, ord FROM md_resolved WHERE dst IS NOT NULL),
 edges AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY o, dst) - 1 AS first_ord FROM (SELECT src, dst, min([a, b]) AS o FROM all_edges WHERE src <> dst GROUP BY 1, 2)),
 tag_index AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS tag, entry_path FROM (SELECT string_split(tag, '/') AS p, unnest(range(1, len(string_split(tag, '/')) + 1)) AS k, entry_path FROM (SELECT unnest(tags) AS tag, entry_path FROM notes))),
 shared AS (SELECT a.entry_path AS a, b.entry_path AS b, count(*) AS n_shared FROM (SELECT entry_path, unnest(tags) AS tag FROM notes) a JOIN (SELECT entry_path, unnest(tags) AS tag FROM notes) b ON a.tag = b.tag AND a.entry_path < b.entry_path GROUP BY 1, 2 HAVING count(*) >= 2)
@@ -113,23 +123,9 @@ def sql(select: str) -> str:
     return CORPUS + select
 
 
-class Built:
-    """The tables that queries over one corpus share, made when they are asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.notes = corpus.notes(spark, sf_dir)
-
-    @property
-    def pages(self) -> DataFrame:
-        return markdown.pages(self.notes, RESPLIT)
-
-    @property
-    def resolved(self) -> DataFrame:
-        return links.resolve(self.notes, RESPLIT)
-
-    @property
-    def edges(self) -> DataFrame:
-        return links.edges(self.notes, self.resolved, links.resolve_markdown(self.notes))
+def built(spark: SparkSession, sf_dir: str) -> C.Corpus:
+    """The tables that a query over the corpus reads, made when they are asked for."""
+    return C.Corpus(corpus.notes(spark, sf_dir), RESPLIT)
 
 
 # ---------------------------------------------------------------- corpus and Markdown
@@ -160,9 +156,9 @@ def h3_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.sections(corpus.notes(spark, sf_dir), RESPLIT).where("n_h3 >= 2").select("source_path", "line_idx", "is_shell", "n_h3")
 
 
-@query(sql("SELECT output_path, entry_path, source_path, CAST(ord AS BIGINT) AS ord, kind, title FROM pages"))
+@query(sql("SELECT output_path, entry_path, source_path, CAST(ord AS BIGINT) AS ord, kind, title, slug, above, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last FROM pages"))
 def fragment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Built(spark, sf_dir).pages
+    return built(spark, sf_dir).pages
 
 
 @query(sql("SELECT source_path, title FROM titles"))
@@ -170,7 +166,7 @@ def note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.titles(corpus.notes(spark, sf_dir))
 
 
-@query(sql("SELECT source_path, line_idx, slug FROM slugged"))
+@query(sql("SELECT source_path, line_idx, CASE WHEN nth = 1 THEN base ELSE base || '-' || (nth - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY source_path, base ORDER BY line_idx) AS nth FROM slugs)"))
 def slug_dedup_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.counter_slugs(markdown.sections(corpus.notes(spark, sf_dir), RESPLIT), ["source_path"], "line_idx").select("source_path", "line_idx", "slug")
 
@@ -180,9 +176,12 @@ def slug_dedup_probing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.probing_slugs(markdown.sections(corpus.notes(spark, sf_dir), RESPLIT), ["source_path"], "line_idx").select("source_path", "line_idx", "slug")
 
 
-@query(sql("SELECT output_path, entry_path AS parent, lag(output_path) OVER w AS prev, lead(output_path) OVER w AS next FROM pages WHERE kind IN ('h2leaf', 'shell') WINDOW w AS (PARTITION BY source_path ORDER BY ord)"))
+NAV = ", nav AS (SELECT output_path, above AS parent, CASE WHEN kind <> 'shell' THEN lag(output_path) OVER w END AS prev, CASE WHEN kind <> 'shell' THEN lead(output_path) OVER w END AS next FROM pages WHERE kind <> 'entry' WINDOW w AS (PARTITION BY above ORDER BY ord)) "
+
+
+@query(sql(NAV + "SELECT output_path, parent, prev, next FROM nav"))
 def page_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.navigation(Built(spark, sf_dir).pages)
+    return markdown.navigation(built(spark, sf_dir).pages)
 
 
 @query(sql("SELECT s.source_path, s.line_idx, md5(string_agg(l.line, chr(10) ORDER BY l.line_idx)) AS body_md5 FROM sections s JOIN raw_lines l ON l.source_path = s.source_path AND l.line_idx >= s.line_idx AND l.line_idx < s.end_idx GROUP BY 1, 2"))
@@ -206,44 +205,52 @@ def first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
-@query(sql("SELECT source_path, ord, embed, target, heading, alias FROM wikilinks"))
+@query(sql("SELECT output_path, ord, embed, target, heading, alias FROM wikilinks"))
 def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.wikilinks(corpus.notes(spark, sf_dir)).drop("entry_path")
+    return links.wikilinks(built(spark, sf_dir).links).select("output_path", F.col("at").cast("long").alias("ord"), "embed", "target", "heading", "alias")
 
 
-@query(sql("SELECT source_path, ord, label, target FROM md_links"))
+@query(sql("SELECT output_path, ord, label, target FROM md_links"))
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.markdown_links(corpus.notes(spark, sf_dir)).drop("entry_path")
+    return links.markdown_links(built(spark, sf_dir).links).select("output_path", F.col("at").cast("long").alias("ord"), "label", "target")
 
 
-@query(sql("SELECT source_path, ord, target, heading, CASE WHEN dst IS NULL THEN 'missing' WHEN heading IS NULL THEN 'entry' ELSE 'page' END AS status, dst FROM resolved"))
+STATUS = "CASE WHEN dst IS NULL THEN 'missing' WHEN heading IS NULL THEN 'entry' WHEN anchor IS NULL THEN 'page' ELSE 'anchor' END AS status"
+
+
+@query(sql(f"SELECT output_path, ord, target, heading, {STATUS}, dst, anchor FROM resolved"))
 def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Built(spark, sf_dir).resolved.select("source_path", "ord", "target", "heading", "status", "dst")
+    return built(spark, sf_dir).resolved.select("output_path", F.col("at").cast("long").alias("ord"), "target", "heading", "status", "dst", "anchor")
 
 
-@query(sql("SELECT source_path, ord, target, dst FROM md_resolved"))
+@query(sql("SELECT output_path, ord, target, dst, anchor FROM md_resolved"))
 def relative_link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.resolve_markdown(corpus.notes(spark, sf_dir)).drop("entry_path")
+    return built(spark, sf_dir).md.select("output_path", F.col("at").cast("long").alias("ord"), "target", "dst", "anchor")
+
+
+@query(sql("SELECT note_entry, slug, goal AS dst, anchor FROM goals"))
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).goals
 
 
-@query(sql("SELECT source_path, ord, target, heading, alias FROM resolved WHERE dst IS NULL"))
+@query(sql("SELECT output_path, source_path, ord, target, heading, alias FROM resolved WHERE dst IS NULL"))
 def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.unresolved(Built(spark, sf_dir).resolved)
+    return built(spark, sf_dir).unresolved.select("output_path", "source_path", F.col("at").cast("long").alias("ord"), "target", "heading", "alias")
 
 
-@query(sql("SELECT source_path, count(*) AS n_missing, count(heading) AS n_headings FROM resolved WHERE dst IS NULL GROUP BY 1"))
+@query(sql("SELECT output_path, count(*) AS n_missing, count(heading) AS n_headings FROM resolved WHERE dst IS NULL GROUP BY 1"))
 def unresolved_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.unresolved(Built(spark, sf_dir).resolved).groupBy("source_path").agg(F.count(F.lit(1)).alias("n_missing"), F.count("heading").alias("n_headings"))
+    return built(spark, sf_dir).unresolved.groupBy("output_path").agg(F.count(F.lit(1)).alias("n_missing"), F.count("heading").alias("n_headings"))
 
 
 @query(sql("SELECT src, dst, first_ord FROM edges"))
 def forward_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Built(spark, sf_dir).edges
+    return built(spark, sf_dir).edges
 
 
 @query(sql("SELECT dst, src, count(*) OVER (PARTITION BY dst) AS n_src FROM edges"))
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.backlinks(Built(spark, sf_dir).edges)
+    return links.backlinks(built(spark, sf_dir).edges)
 
 
 @query(sql("SELECT source_path, CAST(rank AS BIGINT) AS rank, dst FROM related_entries"))
@@ -299,7 +306,7 @@ def first_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(""", k AS (SELECT * FROM headings WHERE level = 2 UNION ALL SELECT h.* FROM headings h WHERE level = 1 AND line_idx = (SELECT min(line_idx) FROM headings g WHERE g.level = 1 AND g.source_path = h.source_path)),
 b AS (SELECT *, replace(lower(text), ' ', '-') AS base FROM k)
-SELECT source_path, line_idx, level, text, CASE WHEN nth = 1 THEN base ELSE base || '-' || (nth - 1) END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY source_path, base ORDER BY line_idx) AS nth FROM b)"""))
+SELECT source_path, line_idx, level, text, CASE WHEN nth = 1 THEN base ELSE base || '-' || (nth - 1) END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY source_path, level, base ORDER BY line_idx) AS nth FROM b)"""))
 def heading_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.heading_index(corpus.notes(spark, sf_dir))
 
@@ -324,24 +331,21 @@ def term_page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.term_index(indexes.terms(corpus.notes(spark, sf_dir)))
 
 
-NAV = ", nav AS (SELECT output_path, entry_path AS parent, lag(output_path) OVER w AS prev, lead(output_path) OVER w AS next FROM pages WHERE kind IN ('h2leaf', 'shell') WINDOW w AS (PARTITION BY source_path ORDER BY ord)) "
-
-
 @query(sql(NAV + "SELECT p.output_path AS path, kind, title, source_path AS source, array_to_string(string_split(p.output_path, '/'), ' > ') AS section, coalesce(parent, '') AS parent, coalesce(prev, '') AS prev, coalesce(next, '') AS next FROM pages p LEFT JOIN nav USING (output_path)"))
 def page_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Built(spark, sf_dir)
+    b = built(spark, sf_dir)
     return indexes.page_catalog(b.notes, b.pages, markdown.navigation(b.pages))
 
 
 @query(sql("SELECT source_path, count(*) AS n_pages, min(output_path) AS first_page, max(output_path) AS last_page FROM pages GROUP BY 1"))
 def pages_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.pages_by_source(Built(spark, sf_dir).pages)
+    return indexes.pages_by_source(built(spark, sf_dir).pages)
 
 
 @query(sql("SELECT (SELECT count(*) FROM notes) AS n_notes, (SELECT count(*) FROM pages WHERE kind IN ('h2leaf', 'h3leaf')) AS n_fragments, (SELECT count(DISTINCT tag) FROM tag_index) AS n_tags, (SELECT count(*) FROM resolved WHERE dst IS NULL) AS n_unresolved"))
 def root_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Built(spark, sf_dir)
-    return indexes.root_summary(b.notes, b.pages, links.unresolved(b.resolved))
+    b = built(spark, sf_dir)
+    return indexes.root_summary(b.notes, b.pages, b.unresolved)
 
 
 @query("""WITH RECURSIVE w AS (SELECT doc_id, lang || '/' || source AS scope, length(text) % 900 + 1 AS n, row_number() OVER (PARTITION BY lang || '/' || source ORDER BY doc_id) AS r FROM documents),
@@ -438,7 +442,8 @@ def invalid_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- retrieval
 
 ENTITIES, TEXT = ["topic-7", "group/g3"], "title 1"
-EVIDENCE = """, first AS (SELECT source_path, arg_min(line_idx, line_idx) AS i, arg_min(end_idx, line_idx) AS e, text FROM sections WHERE text IN ('Part 1', 'Part 2') GROUP BY source_path, text),
+EVIDENCE = """, every AS (SELECT source_path, line_idx, text, coalesce(lead(line_idx) OVER (PARTITION BY source_path ORDER BY line_idx), n_lines) AS end_idx FROM headings JOIN n_lines USING (source_path) WHERE level = 2),
+first AS (SELECT source_path, arg_min(line_idx, line_idx) AS i, arg_min(end_idx, line_idx) AS e, text FROM every WHERE text IN ('Part 1', 'Part 2') GROUP BY source_path, text),
 flat AS (SELECT f.source_path, f.text AS head, min(l.line_idx) AS a, max(l.line_idx) AS b FROM first f JOIN raw_lines l ON l.source_path = f.source_path AND l.line_idx > f.i AND l.line_idx < f.e AND trim(l.line) <> '' GROUP BY 1, 2),
 evidence AS (SELECT CASE head WHEN 'Part 1' THEN 'setup' ELSE 'payoff' END AS field, n.entry_path AS generated_path, n.source_path, CAST(a + 1 AS BIGINT) AS line_start, CAST(b + 1 AS BIGINT) AS line_end,
   trim(array_to_string(string_split(n.body, chr(10))[a + 1 : b + 1], chr(10))) AS text FROM flat JOIN notes n USING (source_path))
@@ -458,7 +463,7 @@ def _evidence(notes: DataFrame) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = Built(spark, sf_dir)
+    b = built(spark, sf_dir)
     cat = retrieval.catalog(b.notes, b.pages, markdown.titles(b.notes), markdown.headings(b.notes))
     evidence = _evidence(b.notes)
     return retrieval.candidates(cat, b.edges, evidence, ["setup", "payoff"], ENTITIES, TEXT), evidence
@@ -503,7 +508,7 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(""", hit AS (SELECT entry_path AS g FROM notes WHERE list_contains(tags, 'group/g3'))
 SELECT DISTINCT dst AS generated_path FROM edges WHERE src IN (SELECT g FROM hit) UNION SELECT DISTINCT src FROM edges WHERE dst IN (SELECT g FROM hit)"""))
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Built(spark, sf_dir)
+    b = built(spark, sf_dir)
     hit = b.notes.where(F.array_contains("tags", "group/g3")).select(F.col("entry_path").alias("at"))
     edges = b.edges
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("generated_path")).union(edges.select(F.col("dst").alias("at"), F.col("src").alias("generated_path")))
@@ -559,19 +564,20 @@ def oversized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT source_path AS path, target, split_part(source_path, '/', 1) || '/' || substr(target, 4) AS goal FROM md_resolved WHERE dst IS NULL AND source_path NOT LIKE '%/%/h%/%' UNION ALL SELECT source_path, target, split_part(source_path, '/', 1) || '/' || split_part(source_path, '/', 2) || '/' || substr(target, 4) FROM md_resolved WHERE dst IS NULL AND source_path LIKE '%/%/h%/%'"))
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = corpus.notes(spark, sf_dir)
-    return quality.broken_links(links.markdown_links(notes).select(F.col("source_path").alias("path"), "target"), notes.select(F.col("source_path").alias("path")))
+    b = built(spark, sf_dir)
+    notes = b.notes
+    return quality.broken_links(links.markdown_links(b.links).where(~F.col("target").startswith("#")).select(F.col("source_path").alias("path"), "target"), notes.select(F.col("source_path").alias("path")))
 
 
 @query(sql(NAV + "SELECT n.output_path, 'next' AS problem FROM nav n LEFT JOIN nav m ON m.output_path = n.next WHERE n.next IS NOT NULL AND m.prev IS DISTINCT FROM n.output_path UNION ALL SELECT output_path, 'parent' FROM nav WHERE parent NOT IN (SELECT output_path FROM pages)"))
 def nav_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = Built(spark, sf_dir).pages
+    pages = built(spark, sf_dir).pages
     return quality.nav_violations(markdown.navigation(pages), pages)
 
 
 @query(sql("SELECT output_path AS path, 'missing' AS problem FROM pages WHERE kind = 'shell'"))
 def catalog_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = Built(spark, sf_dir).pages.select(F.col("output_path").alias("path"), "kind")
+    pages = built(spark, sf_dir).pages.select(F.col("output_path").alias("path"), "kind")
     return quality.duplicates_and_gaps(pages.where("kind != 'shell'"), pages)
 
 
@@ -588,7 +594,7 @@ def marker_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(""", steps AS (SELECT src AS route, src, dst, first_ord AS step FROM edges WHERE first_ord < 3 UNION ALL SELECT src, dst, src, 3 FROM edges WHERE first_ord = 0)
 SELECT route, count(*) AS n_steps, bool_and(e.src IS NOT NULL) AND count(*) <= 5 AS ok FROM steps s LEFT JOIN edges e ON e.src = s.src AND e.dst = s.dst GROUP BY 1"""))
 def route_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = Built(spark, sf_dir).edges
+    edges = built(spark, sf_dir).edges
     steps = edges.where("first_ord < 3").select(F.col("src").alias("route"), "src", "dst").union(edges.where("first_ord = 0").select(F.col("src").alias("route"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     return quality.reachable_routes(steps, edges)
 
@@ -606,7 +612,7 @@ def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT src, dst, array_to_string(list_concat(list_transform(range(0, len(string_split(src, '/')) - 1 - k), lambda j: '..'), string_split(dst, '/')[k + 1 :]), '/') AS link FROM (SELECT src, dst, coalesce(list_max(list_filter(range(0, least(len(string_split(src, '/')), len(string_split(dst, '/')))), lambda j: string_split(src, '/')[1:j] = string_split(dst, '/')[1:j])), 0) AS k FROM edges)"))
 def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Built(spark, sf_dir).edges.select("src", "dst", T.relative_link(F.col("src"), F.col("dst")).alias("link"))
+    return built(spark, sf_dir).edges.select("src", "dst", T.relative_link(F.col("src"), F.col("dst")).alias("link"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[\\s\\p{Z}]', '-', 'g'), '[.,:;!?`''\"()\\[\\]{}<>@#$%^&*+=|\\\\/~]|\\p{Cc}', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
@@ -635,20 +641,20 @@ def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- rendering
 
 
-@query(sql("SELECT source_path, string_agg('- `[[' || concat_ws('#', target, heading) || ']]`: ' || CASE WHEN heading IS NULL THEN 'note missing' ELSE 'heading missing' END, chr(10) ORDER BY target, ord) AS body FROM resolved WHERE dst IS NULL GROUP BY 1"))
+@query(sql("SELECT output_path, string_agg('- `[[' || concat_ws('#', target, heading) || coalesce('|' || alias, '') || ']]`: ' || CASE WHEN heading IS NULL THEN 'note missing' ELSE 'heading missing' END, chr(10) ORDER BY target, ord) AS body FROM resolved WHERE dst IS NULL GROUP BY 1"))
 def unresolved_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.unresolved_report(links.unresolved(Built(spark, sf_dir).resolved))
+    return render.unresolved_report(built(spark, sf_dir).unresolved)
 
 
 @query(sql(NAV + """SELECT p.output_path AS path, '---' || chr(10) || 'page_meta:' || chr(10) || '  page_kind: ' || kind || chr(10) || '  title: "' || title || '"' || chr(10) || '  source: "' || source_path || '"' || coalesce(chr(10) || '  parent: "' || parent || '"', '') || coalesce(chr(10) || '  prev: "' || prev || '"', '') || coalesce(chr(10) || '  next: "' || next || '"', '') || chr(10) || '---' || chr(10) AS body FROM pages p LEFT JOIN nav USING (output_path)"""))
 def metadata_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Built(spark, sf_dir)
+    b = built(spark, sf_dir)
     return render.metadata_block(indexes.page_catalog(b.notes, b.pages, markdown.navigation(b.pages)))
 
 
 @query(None)
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.compile_pages(corpus.notes(spark, sf_dir))
+    return C.fragment_pages(built(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,8 @@
 """The note corpus derived from the documents table, and the page tables of other sources.
 
 The documents table has no Markdown, so notes are built from it by one rule that SQL can express too: titles, tags,
-aliases and related entries by arithmetic on doc_id, and a body with a heading, links, a fenced block now and then, and
-headings between the lines of the text.
+aliases and related entries by arithmetic on doc_id, and a body with a heading, links, a fence, table or list now and then,
+and headings between the lines of the text. Some notes are not cut into pages.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source_path, entry_path, entry_dir, dir, stem, fm_title, aliases, tags, related, body)."""
+    """(doc_id, source_path, entry_path, entry_dir, dir, stem, fm_title, aliases, tags, related, body, fragment)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -44,18 +44,28 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("See [[n"), s((7 * i + 3) % n), F.lit("]] and [[topic-"), s(i % 97), F.lit("|label "), s(i), F.lit("]] or [[missing-"), s(i % 17),
         F.lit("]] at [[n"), s((5 * i + 1) % n), F.lit("#Part 1]] and [file](../"), F.col("source"), F.lit("/n"), s((i + 20) % n), F.lit(".md)."),
     )
-    fenced = F.when(i % 8 == 1, F.array(F.lit("```"), F.lit("## not a heading"), F.lit("```"))).otherwise(F.array().cast("array<string>"))
+    block_of = lambda k: F.floor(k / 4)
+    # what only looks like a link, and links to headings
+    more = F.concat(
+        F.lit("More `[[n1]]` <!-- [[n2]] --> [own](#Part 0) [far](../"), F.col("source"), F.lit("/n"), s((i + 4) % n), F.lit(".md#Part 1) [[n"), s((i + 4) % n), F.lit("#Part 1-1]]"),
+    )
+    # a fence, a table, a list and a blank line now and then
+    kinds = F.when(i % 8 == 1, F.array(F.lit("```"), F.lit("## not a heading [[n3]]"), F.lit("```"))).when(i % 8 == 2, F.array(F.lit("| a | b |"), F.lit("|---|---|"))).when(i % 8 == 3, F.array(F.lit("- item"), F.lit(""), F.lit("1. one"))).otherwise(F.array().cast("array<string>"))
 
     def with_heading(line, k):
-        block = F.floor(k / 4)
+        block = block_of(k)
+        # of one note in six a section has three third-level headings; of one in nine a heading takes the name of a repeated one
+        title = F.when((i % 9 == 4) & (block == 0), F.lit("## Part 1-1")).otherwise(F.concat(F.lit("## Part "), s(block % 3)))
+        third = F.concat(F.lit("### Sub "), s(F.when(i % 6 == 2, F.lit(0)).otherwise(block)))
         return (
-            F.when(k % 4 == 0, F.array(F.concat(F.lit("## Part "), s(block % 3)), line))
-            .when(k % 4 == 2, F.array(F.concat(F.lit("### Sub "), s(block)), line))
+            F.when(k % 4 == 0, F.array(title, line))
+            .when((k % 4 == 2) | ((i % 6 == 2) & (k % 4 > 0)), F.array(third, line))
+            .when((k == 1) & (i % 7 == 0), F.array(more, line))
             .otherwise(F.array(line))
         )
 
     lines = F.flatten(F.transform(F.split("text", "\n"), with_heading))
-    body = F.array_join(F.concat(F.array(F.concat(F.lit("# Doc "), s(i)), see), fenced, lines), "\n")
+    body = F.array_join(F.concat(F.array(F.concat(F.lit("# Doc "), s(i)), see), kinds, lines), "\n")
     path = F.concat(F.col("dir"), F.lit("/"), F.col("stem"), F.lit(".md"))
-    base = base.withColumn("source_path", path).withColumn("body", body)
-    return base.select("doc_id", "source_path", T.entry_path(F.col("source_path")).alias("entry_path"), T.entry_dir(F.col("source_path")).alias("entry_dir"), "dir", "stem", "fm_title", "aliases", "tags", "related", "body")
+    base = base.withColumn("source_path", path).withColumn("body", body).withColumn("fragment", F.when(i % 12 == 5, F.lit(False)))
+    return base.select("doc_id", "source_path", T.entry_path(F.col("source_path")).alias("entry_path"), T.entry_dir(F.col("source_path")).alias("entry_dir"), "dir", "stem", "fm_title", "aliases", "tags", "related", "body", "fragment")

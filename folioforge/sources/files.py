@@ -6,9 +6,12 @@ row for each file. Folders must be mounted on all machines.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
+import re
+import shutil
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +24,7 @@ from ..functions import text as T
 # What is never scanned, and size classes.
 PRUNED = (".git", "node_modules", "dist", "build", "target")
 KEPT_HIDDEN = ".wiki"
-LARGE_BYTES, SNIFFED = 1 << 20, 8192
+LARGE_BYTES, MANAGED_BYTES, SNIFFED = 1 << 20, 200 << 20, 8192
 STATE = ".corpus"
 
 
@@ -66,19 +69,26 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, skip: tuple[str
         root, found = os.path.dirname(root) or ".", [(os.path.basename(root), os.path.getsize(root))]
     else:
         found = list(listed(root, recursive, skip))
-    rows = spark.createDataFrame(found, "path string, size long").repartition(min(partitions, max(1, len(found))), "path")
+    # so many files, or bytes, to a task
+    tasks = max(partitions, -(-len(found) // 1000), -(-sum(n for _, n in found) // (64 << 20)))
+    rows = spark.createDataFrame(found, "path string, size long").repartition(min(tasks, max(1, len(found))), "path")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, size in zip(pdf["path"], pdf["size"], strict=True):
                 with open(os.path.join(root, path), "rb") as f:
-                    content = f.read()
-                yield pd.DataFrame({"path": [path], "size": [size], "content": [content]})
+                    content = f.read(SNIFFED)
+                    text = is_text(content)
+                    if text and path.endswith(".md"):  # of others no more than the head is read
+                        content += f.read()
+                yield pd.DataFrame({"path": [path], "size": [size], "content": [content], "text": [text]})
 
-    rows = rows.mapInPandas(read, "path string, size long, content binary")
-    text = F.col("content").cast("string")
-    reason = F.when(~F.col("path").rlike(r"[^/]\.md$"), "not markdown").when(F.expr("contains(content, X'00')"), "binary").when(~F.is_valid_utf8(text), "not UTF-8")
-    return rows.select("path", "size", "content", F.when(reason.isNotNull(), "skipped").when(F.col("size") > LARGE_BYTES, "large").otherwise("regular").alias("kind"), reason.alias("reason"))
+    rows = rows.mapInPandas(read, "path string, size long, content binary, text boolean")
+    reason = F.when(~F.col("path").rlike(r"[^/]\.md$"), "not markdown").when(~F.col("text") & F.expr("contains(content, X'00')"), "binary").when(~F.col("text"), "not UTF-8")
+    reason = F.coalesce(reason, F.when(F.expr("contains(content, X'00')"), "binary").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8"))
+    kind = F.when(reason.isNotNull(), "skipped").when(F.col("size") > LARGE_BYTES, "large").otherwise("regular")
+    note = F.coalesce(reason, F.when(F.col("size") > MANAGED_BYTES, "over 200 MiB"))
+    return rows.select("path", "size", F.when(kind != "skipped", F.col("content")).alias("content"), kind.alias("kind"), note.alias("reason"))
 
 
 def notes(files: DataFrame) -> DataFrame:
@@ -138,46 +148,90 @@ def write_tree(rows: DataFrame, root: str) -> int:
     return int(rows.select("path", F.col("body").cast("binary").alias("body")).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
-def read_manifest(root: str) -> dict[str, str] | None:
-    """Path -> hash of what the last run wrote; None where there was none."""
+def read_manifest(root: str) -> dict | None:
+    """What the last run was and where its tables of hashes are; None where there was none."""
     try:
         with open(f"{root}/{STATE}/manifest.json") as f:
             found = json.load(f)
     except FileNotFoundError:
         return None
-    if found.get("version") != 1:
+    if found.get("version") != 2:
         raise ValueError("unknown manifest version")
-    for path in found["generated"]:
-        if any(x in ("", ".", "..") for x in path.split("/")):
-            raise ValueError(f"{path} leaves the output folder")
-    return found["generated"]
+    if not re.fullmatch(r"tables-\d+", found["tables"]):
+        raise ValueError("the manifest names no table of its folder")
+    return found
 
 
-def apply_incremental(desired: DataFrame, root: str) -> dict[str, int]:
-    """Brings a tree to the desired (path, body): new and changed files are written, stale ones go, others stay untouched."""
+def hashes_of(spark: SparkSession, root: str, name: str, manifest: dict | None) -> DataFrame:
+    """(path, hash) of the last run: `generated` or `sources`. Paths that would leave the output folder are refused."""
+    from ..operators.incremental import invalid_paths
+
+    if manifest is None:
+        return spark.createDataFrame([], "path string, hash string")
+    rows = spark.read.schema("path string, hash string").parquet(f"file://{os.path.realpath(root)}/{STATE}/{manifest['tables']}/{name}")
+    if not invalid_paths(rows).isEmpty():
+        raise ValueError("a path of the manifest leaves the output folder")
+    return rows
+
+
+def _delete(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path in pdf["path"]:
+            goal = os.path.join(root, path)
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(goal)
+            folder = os.path.dirname(goal)
+            while folder != root:  # folders that are left empty go, whichever task empties them
+                try:
+                    os.rmdir(folder)
+                except OSError:
+                    break
+                folder = os.path.dirname(folder)
+        yield pd.DataFrame({"n": [len(pdf)]})
+
+
+def apply_incremental(desired: DataFrame, root: str, about: dict | None = None, sources: DataFrame | None = None, tables: dict[str, DataFrame] | None = None) -> dict[str, int]:
+    """Brings a tree to the desired (path, body): new and changed files are written, stale ones go, others stay untouched.
+
+    Files are written and removed by tasks; hashes are Parquet tables, so the driver holds counts alone. All checks come before
+    the first change, and the manifest, which is written last, decides which tables count. about goes into the manifest, sources
+    are (path, hash) of the input, and tables are kept beside the hashes.
+    """
     from ..operators import incremental as I
 
-    spark = desired.sparkSession
+    spark, root = desired.sparkSession, os.path.realpath(root)
     os.makedirs(f"{root}/{STATE}", exist_ok=True)
     with OutputLock(f"{root}/{STATE}"):
-        had = read_manifest(root) or {}
-        new = I.hashes(desired)
-        old = spark.createDataFrame(sorted(had.items()), "path string, hash string")
+        had = read_manifest(root)
+        new, old = I.hashes(desired), hashes_of(spark, root, "generated", had)
         existing = spark.createDataFrame([(p, n) for p, n in listed(root) if not p.startswith(f"{STATE}/")], "path string, size long")
         bad = I.collisions(new, existing, old).take(5)
         if bad:
             raise ValueError(f"in the way: {[r.path for r in bad]}")
-        actions = I.diff(new, old)
+        name = f"tables-{int(had['tables'].split('-')[1]) + 1 if had else 0}"
+        place = f"file://{root}/{STATE}/{name}"
+        # a file that someone has removed or changed in size is written again
+        sizes = desired.select("path", F.octet_length(F.col("body").cast("binary")).cast("long").alias("size"))
+        lost = sizes.join(existing, ["path", "size"], "left_anti").select("path", F.lit(True).alias("lost"))
+        actions = I.diff(new, old).join(lost, "path", "left")
+        actions = actions.select("path", F.when((F.col("action") == "noop") & F.col("lost"), "update").otherwise(F.col("action")).alias("action"))
+        actions.write.mode("overwrite").parquet(f"{place}/actions")
+        new.write.mode("overwrite").parquet(f"{place}/generated")
+        (sources if sources is not None else new.where("false")).write.mode("overwrite").parquet(f"{place}/sources")
+        for key, df in (tables or {}).items():
+            df.write.mode("overwrite").parquet(f"{place}/{key}")
+        actions = spark.read.schema("path string, action string").parquet(f"{place}/actions")
+        gone = actions.where("action = 'delete'").select("path").mapInPandas(lambda batches: _delete(batches, root), "n long")
+        gone.agg(F.sum("n")).collect()  # before others are written, as a folder may take a file's place
         write_tree(desired.join(actions.where("action in ('insert', 'update')"), "path", "left_semi"), root)
-        for (path,) in actions.where("action = 'delete'").select("path").toLocalIterator():
-            goal = os.path.join(root, path)
-            if os.path.exists(goal):
-                os.remove(goal)
-            folder = os.path.dirname(goal)
-            while folder != root and os.path.isdir(folder) and not os.listdir(folder):
-                os.rmdir(folder)
-                folder = os.path.dirname(folder)
-        hashes = {r.path: r.hash for r in new.toLocalIterator()}
-        with open(f"{root}/{STATE}/manifest.json", "w") as f:
-            json.dump({"version": 1, "generated": hashes}, f, sort_keys=True)
-        return {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
+        counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
+        _place(root, f"{STATE}/manifest.json", json.dumps({"version": 2, "tables": name} | (about or {}), sort_keys=True).encode())
+        if had:
+            shutil.rmtree(f"{root}/{STATE}/{had['tables']}", ignore_errors=True)
+        return counts
+
+
+def load_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, body) of the Markdown files of a generated tree."""
+    files = scan(spark, root)
+    return files.where(F.col("content").isNotNull() & ~F.col("path").startswith(f"{STATE}/")).select("path", F.col("content").cast("string").alias("body"))
