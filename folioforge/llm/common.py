@@ -6,8 +6,6 @@ and ``bytes.lower()`` touches A-Z only, so word work is done on UTF-8 bytes with
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -17,6 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from ..sources.tables import written  # noqa: F401
+
 #: Bytes and rows of an Arrow batch, so that a batch is small even where texts are long.
 BATCH_BYTES, BATCH_ROWS = "4m", 10_000
 
@@ -33,12 +34,8 @@ def tune(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder; where that is unset (tests), a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below the session's shared checkpoint folder."""
+    return tables.work_folder(spark, name)
 
 
 def local_path(uri: str) -> str:
@@ -49,12 +46,6 @@ def local_path(uri: str) -> str:
     return found.path
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is read column-wise."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 class Log:
     """Names of the tables that make up a store in a shared folder, by version. A commit is one appended row, so a reader
     sees all of a version or nothing, and what was written without a commit is as if it were not there."""
