@@ -178,3 +178,17 @@ def section_extents(notes: DataFrame, heads: DataFrame | None = None) -> DataFra
     rows = rows.select("source_path", "line_idx", "level", "text", "n_lines", F.array(*nexts).alias("nexts"))
     end = F.array_min(F.slice("nexts", F.lit(1), F.col("level").cast("int")))
     return rows.select("source_path", "line_idx", "level", "text", F.coalesce(end, F.col("n_lines")).alias("end_idx"))
+
+
+def page_plan(found: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(page_id, page_kind, output_path, source_path, section_path, parent, prev, next, n_chars) of pages, ways relative to the
+    page. bodies: `page_bodies`."""
+    nav = navigation(found)
+    near = lambda c: F.when(F.col(c).isNotNull(), T.relative_link(F.col("output_path"), F.col(c)))
+    up = found.select(F.col("output_path").alias("above"), F.col("title").alias("above_title"), F.col("kind").alias("above_kind"))
+    notes = found.where("kind = 'entry'").select("source_path", F.col("title").alias("note_title"))
+    rows = found.join(nav, "output_path", "left").join(up, "above", "left").join(notes, "source_path").join(bodies.select("output_path", F.length("raw").cast("long").alias("n_chars")), "output_path")
+    path = F.array_compact(F.array(F.col("note_title"), F.when(F.col("above_kind") == "shell", F.col("above_title")), F.when(F.col("kind") != "entry", F.col("title"))))
+    tail = F.when(F.col("kind") == "entry", "entry").when(F.col("kind") == "shell", F.concat("slug", F.lit(":shell"))).when(F.col("above_kind") == "shell", F.concat(F.element_at(F.split("above", "/"), -2), F.lit(":"), "slug")).otherwise(F.col("slug"))
+    kind = F.when(F.col("kind").isin("h2leaf", "h3leaf"), "leaf").otherwise(F.col("kind"))
+    return rows.select(F.concat("entry_path", F.lit(":"), tail).alias("page_id"), kind.alias("page_kind"), "output_path", "source_path", F.array_join(path, " > ").alias("section_path"), near("parent").alias("parent"), near("prev").alias("prev"), near("next").alias("next"), "n_chars")

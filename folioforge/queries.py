@@ -381,9 +381,16 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large.line_records(_bodies(spark, sf_dir))
 
 
-@query(RECORDS + "SELECT kind, count(*) AS n_lines, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM records GROUP BY 1")
+NOTE_RECORDS = CORPUS + ", " + RECORDS.removeprefix("WITH RECURSIVE ").replace("(text, chr(10))", "(body, chr(10))").replace("FROM documents", "FROM notes").replace("raw AS", "raw_ AS").replace("FROM raw)", "FROM raw_)")
+
+
+def _note_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.notes(spark, sf_dir).select("doc_id", "body")
+
+
+@query(NOTE_RECORDS + "SELECT kind, count(*) AS n_lines, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM records GROUP BY 1")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return large.line_records(_bodies(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+    return large.line_records(_note_bodies(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_chars").alias("n_chars"))
 
 
 @query(RECORDS + "SELECT doc_id, chunk_no, line_start, line_end, byte_start, byte_end, n_chars FROM chunks")
@@ -403,10 +410,10 @@ def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large.byte_windows(_bodies(spark, sf_dir), CHUNK).withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
-@query(RECORDS + """SELECT doc_id, CASE WHEN bool_or(n_chars > 2000) THEN 'byte_window' WHEN bool_or(kind = 'fence') THEN 'code_fence' WHEN bool_or(kind = 'table') THEN 'table'
+@query(NOTE_RECORDS + """SELECT doc_id, CASE WHEN bool_or(n_chars > 2000) THEN 'byte_window' WHEN bool_or(kind = 'fence') THEN 'code_fence' WHEN bool_or(kind = 'table') THEN 'table'
 WHEN count(*) FILTER (kind = 'heading') > 1 THEN 'heading' WHEN count(*) FILTER (kind = 'heading') = 0 THEN 'paragraph' ELSE 'line_window' END AS reason FROM records GROUP BY 1""")
 def split_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return large.split_reason(large.line_records(_bodies(spark, sf_dir)), CHUNK)
+    return large.split_reason(large.line_records(_note_bodies(spark, sf_dir)), CHUNK)
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, TRUE AS contiguous FROM documents WHERE text <> ''")
@@ -434,9 +441,14 @@ def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large.children(_tree(spark, sf_dir))
 
 
-@query(sql(TREE + "SELECT t.source_path, t.id, t.parent_id FROM tree t LEFT JOIN tree u ON u.source_path = t.source_path AND u.id = t.parent_id WHERE t.parent_id <> 'root' AND (u.id IS NULL OR u.level >= t.level OR u.line_idx >= t.line_idx OR u.end_idx < t.end_idx)"))
+# trees are valid, so some parents are taken away, and some sections made their own
+BAD_TREE = TREE + ", bad AS (SELECT * REPLACE (CASE WHEN level = 2 AND line_idx % 5 = 0 THEN 'nowhere' WHEN level = 3 AND line_idx % 7 = 0 THEN id ELSE parent_id END AS parent_id) FROM tree) "
+
+
+@query(sql(BAD_TREE + "SELECT t.source_path, t.id, t.parent_id FROM bad t LEFT JOIN bad u ON u.source_path = t.source_path AND u.id = t.parent_id WHERE t.parent_id <> 'root' AND (u.id IS NULL OR u.level >= t.level OR u.line_idx >= t.line_idx OR u.end_idx < t.end_idx)"))
 def invalid_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return large.invalid_sections(_tree(spark, sf_dir))
+    parent = F.when((F.col("level") == 2) & (F.col("line_idx") % 5 == 0), "nowhere").when((F.col("level") == 3) & (F.col("line_idx") % 7 == 0), F.col("id")).otherwise(F.col("parent_id"))
+    return large.invalid_sections(_tree(spark, sf_dir).withColumn("parent_id", parent))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -569,10 +581,16 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.broken_links(links.markdown_links(b.links).where(~F.col("target").startswith("#")).select(F.col("source_path").alias("path"), "target"), notes.select(F.col("source_path").alias("path")))
 
 
-@query(sql(NAV + "SELECT n.output_path, 'next' AS problem FROM nav n LEFT JOIN nav m ON m.output_path = n.next WHERE n.next IS NOT NULL AND m.prev IS DISTINCT FROM n.output_path UNION ALL SELECT output_path, 'parent' FROM nav WHERE parent NOT IN (SELECT output_path FROM pages)"))
+# navigation is sound, so some ways back and some parents are taken away
+CUT_NAV = NAV + ", cut_nav AS (SELECT output_path, CASE WHEN length(output_path) % 11 = 0 THEN 'nowhere' ELSE parent END AS parent, CASE WHEN length(output_path) % 7 <> 0 THEN prev END AS prev, next FROM nav) "
+
+
+@query(sql(CUT_NAV + "SELECT n.output_path, 'next' AS problem FROM cut_nav n LEFT JOIN cut_nav m ON m.output_path = n.next WHERE n.next IS NOT NULL AND m.prev IS DISTINCT FROM n.output_path UNION ALL SELECT output_path, 'parent' FROM cut_nav WHERE parent NOT IN (SELECT output_path FROM pages)"))
 def nav_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = built(spark, sf_dir).pages
-    return quality.nav_violations(markdown.navigation(pages), pages)
+    n = F.length("output_path")
+    nav = markdown.navigation(pages).withColumn("parent", F.when(n % 11 == 0, "nowhere").otherwise(F.col("parent"))).withColumn("prev", F.when(n % 7 != 0, F.col("prev")))
+    return quality.nav_violations(nav, pages)
 
 
 @query(sql("SELECT output_path AS path, 'missing' AS problem FROM pages WHERE kind = 'shell'"))
@@ -652,9 +670,186 @@ def metadata_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.metadata_block(indexes.page_catalog(b.notes, b.pages, markdown.navigation(b.pages)))
 
 
-@query(None)
+def relative_sql(src: str, dst: str) -> str:
+    """The link from page src to page dst: up from the directories that they don't share."""
+    a, b = f"string_split({src}, '/')[:-2]", f"string_split({dst}, '/')"
+    shared = f"coalesce(list_max(list_filter(range(0, least(len({a}), len({b}) - 1) + 1), lambda j: {a}[1:j] = {b}[1:j])), 0)"
+    return f"(repeat('../', len({a}) - {shared}) || array_to_string({b}[{shared} + 1 :], '/'))"
+
+
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    return lines.select("path", F.array_join("k", "/").alias("k"), "n", "line")
+
+
+TITLE_OF = ", title_of AS (SELECT output_path AS path, title FROM pages) "
+
+
+@query(sql(TITLE_OF + f"""SELECT p.output_path, '> Parent: [' || u.title || '](' || {relative_sql("p.output_path", "p.above")} || ')'
+  || coalesce(' · Prev: [' || b.title || '](' || {relative_sql("p.output_path", "p.prev")} || ')', '') || coalesce(' · Next: [' || a.title || '](' || {relative_sql("p.output_path", "p.next")} || ')', '') AS head
+FROM (SELECT *, CASE WHEN kind <> 'shell' THEN lag(output_path) OVER w END AS prev, CASE WHEN kind <> 'shell' THEN lead(output_path) OVER w END AS next FROM pages WHERE kind <> 'entry' WINDOW w AS (PARTITION BY above ORDER BY ord)) p
+JOIN title_of u ON u.path = p.above LEFT JOIN title_of b ON b.path = p.prev LEFT JOIN title_of a ON a.path = p.next"""))
+def navigation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.navigation_lines(built(spark, sf_dir).pages)
+
+
+FRAGMENTS = f"SELECT above AS output_path, '## Fragments' || chr(10) || chr(10) || string_agg('- [' || title || '](' || {relative_sql('above', 'output_path')} || ')', chr(10) ORDER BY ord) || chr(10) AS fragments FROM pages WHERE above IS NOT NULL GROUP BY 1"
+BACK = f"""SELECT dst AS output_path, '## Backlinks' || chr(10) || chr(10) || string_agg('- [' || title || '](' || {relative_sql('dst', 'src')} || ')', chr(10) ORDER BY string_split(src, '/')) || chr(10) AS backlinks FROM edges JOIN title_of ON path = src GROUP BY 1"""
+RELATED = """, ex AS (SELECT entry_path AS src, dst, min(rank) AS rank FROM related_entries WHERE entry_path <> dst GROUP BY 1, 2),
+both_ways AS (SELECT a AS src, b AS dst, n_shared FROM shared UNION ALL SELECT b, a, n_shared FROM shared),
+by_tags AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n_shared DESC, string_split(dst, '/')) AS rank, n_shared FROM both_ways ANTI JOIN ex USING (src, dst)),
+related AS (SELECT src, dst, CAST(rank AS BIGINT) AS rank, 'related' AS why FROM ex UNION ALL SELECT src, dst, rank, 'tags' FROM by_tags WHERE rank <= 3) """
+RELATED_LIST = f"""SELECT src AS output_path, '## Related' || chr(10) || chr(10) || string_agg('- [' || title || '](' || {relative_sql('src', 'dst')} || ')', chr(10) ORDER BY why, rank) || chr(10) AS related FROM related JOIN title_of ON path = dst GROUP BY 1"""
+
+
+@query(sql(FRAGMENTS))
+def fragment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.fragment_lists(built(spark, sf_dir).pages)
+
+
+@query(sql(TITLE_OF + BACK))
+def backlink_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return render.backlink_lists(c.edges, c.titles)
+
+
+@query(sql(TITLE_OF + RELATED + RELATED_LIST))
+def related_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return render.related_lists(links.top_related(c.notes), c.titles)
+
+
+# texts with what only looks like a wikilink marked, as links are cut out by a pattern
+MAIN = f""", raw_bodies AS (SELECT output_path, string_agg(replace(replace(CASE WHEN fenced THEN replace(line, '[[', '[@[') ELSE line END, '`[[', '`[@['), '<!-- [[', '<!-- [@['), chr(10) ORDER BY line_idx) AS raw FROM page_lines GROUP BY 1),
+goal_of AS (SELECT output_path, ord, CASE WHEN dst IS NULL THEN regexp_replace(raw, '^!', '') || ' (unresolved)' ELSE '[' || coalesce(alias, concat_ws('#', target, heading)) || '](' || {relative_sql('output_path', 'dst')} || coalesce('#' || anchor, '') || ')' END AS new FROM resolved JOIN any_links USING (output_path, source_path, entry_path, ord)
+  UNION ALL SELECT output_path, ord, CASE WHEN dst IS NULL THEN raw ELSE '[' || label || '](' || {relative_sql('output_path', 'dst')} || coalesce('#' || anchor, '') || ')' END FROM md_resolved JOIN any_links USING (output_path, source_path, entry_path, ord)),
+news AS (SELECT output_path, list(new ORDER BY ord) AS news FROM goal_of GROUP BY 1),
+main AS (SELECT p.output_path, replace(coalesce(array_to_string(list_transform(range(1, len(string_split_regex(raw, '!?\\[\\[[^\\[\\]\\n]+\\]\\]|\\[[^\\]\\n]+\\]\\([^)\\s]+\\)')) + 1), lambda k: string_split_regex(raw, '!?\\[\\[[^\\[\\]\\n]+\\]\\]|\\[[^\\]\\n]+\\]\\([^)\\s]+\\)')[k] || coalesce(news[k], '')), ''), ''), '[@[', '[[') AS main
+  FROM pages p LEFT JOIN raw_bodies USING (output_path) LEFT JOIN news USING (output_path)) """
+
+
+@query(sql(MAIN + "SELECT output_path, md5(main) AS main_md5 FROM main"))
+def rewritten_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return render.rewritten(c.bodies, c.links, c.resolved, c.md).select("output_path", F.md5(F.col("main").cast("binary")).alias("main_md5"))
+
+
+HEADS = QUERIES["navigation_lines"][1][len(CORPUS) + len(TITLE_OF) :]
+
+
+@query(sql(TITLE_OF + RELATED + MAIN + f""", heads AS ({HEADS}), frags AS ({FRAGMENTS}), backs AS ({BACK}), rels AS ({RELATED_LIST}),
+parts AS (SELECT p.output_path, main, coalesce(head || chr(10) || '---' || chr(10) || chr(10), '') AS top, list_filter([fragments, backlinks, related], lambda x: x IS NOT NULL) AS autos
+  FROM main p LEFT JOIN heads USING (output_path) LEFT JOIN frags USING (output_path) LEFT JOIN backs USING (output_path) LEFT JOIN rels USING (output_path))
+SELECT output_path AS path, md5(top || main || CASE WHEN len(autos) > 0 THEN CASE WHEN ends_with(main, chr(10)) THEN '' ELSE chr(10) END || chr(10) || '---' || chr(10) || chr(10) || array_to_string(autos, chr(10)) ELSE '' END) AS body_md5 FROM parts"""))
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fragment_pages(built(spark, sf_dir))
+    return C.fragment_pages(built(spark, sf_dir)).select("path", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query(sql(TITLE_OF + """SELECT 'links/index.md' AS path, array_to_string(string_split(src, '/'), '/') AS k, n, line FROM (
+  SELECT src, first_ord AS n, '- [' || d.title || '](../' || dst || ')' AS line FROM edges JOIN title_of d ON d.path = dst
+  UNION ALL SELECT src, -2, '## [' || title || '](../' || src || ')' FROM (SELECT DISTINCT src FROM edges) JOIN title_of ON path = src
+  UNION ALL SELECT DISTINCT src, -1, '' FROM edges UNION ALL SELECT DISTINCT src, 1099511627776, '' FROM edges)
+UNION ALL SELECT 'links/index.md', '', 0, '# Links' UNION ALL SELECT 'links/index.md', '', 1, ''"""))
+def link_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return _joined_lines(render.link_lines(c.edges, c.titles))
+
+
+HEADING_ROWS = """, kept AS (SELECT * FROM headings WHERE level = 2 UNION ALL SELECT h.* FROM headings h WHERE level = 1 AND line_idx = (SELECT min(line_idx) FROM headings g WHERE g.level = 1 AND g.source_path = h.source_path)),
+anchored AS (SELECT *, CASE WHEN nth = 1 THEN b ELSE b || '-' || (nth - 1) END AS anchor FROM (SELECT *, replace(lower(text), ' ', '-') AS b, row_number() OVER (PARTITION BY source_path, level, text ORDER BY line_idx) AS nth FROM kept)),
+entry_of AS (SELECT source_path, entry_path, title FROM pages WHERE kind = 'entry') """
+
+
+@query(sql(HEADING_ROWS + """SELECT 'headings/index.md' AS path, source_path AS k, n, line FROM (
+  SELECT a.source_path, CASE WHEN level = 1 THEN 0 ELSE a.line_idx + 1 END AS n, CASE WHEN level = 2 THEN '  ' ELSE '' END || '- [' || a.text || '](../' || CASE WHEN level = 1 THEN e.entry_path WHEN p.output_path IS NOT NULL THEN p.output_path ELSE e.entry_path || '#' || anchor END || ')' AS line
+  FROM anchored a JOIN entry_of e USING (source_path) LEFT JOIN pages p ON p.source_path = a.source_path AND p.ord = a.line_idx AND p.kind IN ('h2leaf', 'shell')
+  UNION ALL SELECT source_path, -2, '## [' || title || '](../' || entry_path || ')' FROM entry_of WHERE source_path IN (SELECT source_path FROM kept)
+  UNION ALL SELECT DISTINCT source_path, -1, '' FROM kept UNION ALL SELECT DISTINCT source_path, 1099511627776, '' FROM kept)
+UNION ALL SELECT 'headings/index.md', '', 0, '# Headings' UNION ALL SELECT 'headings/index.md', '', 1, ''"""))
+def heading_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return _joined_lines(render.heading_lines(c.notes, c.pages, indexes.heading_index(c.notes, c.heads)))
+
+
+@query(sql("""SELECT '_unresolved.md' AS path, output_path AS k, n, line FROM (
+  SELECT output_path, row_number() OVER (PARTITION BY output_path ORDER BY target, ord DESC) AS n, '- `[[' || concat_ws('#', target, heading) || coalesce('|' || alias, '') || ']]`: ' || CASE WHEN heading IS NULL THEN 'note missing' ELSE 'heading missing' END AS line FROM resolved WHERE dst IS NULL
+  UNION ALL SELECT DISTINCT output_path, -2, '## `' || output_path || '`' FROM resolved WHERE dst IS NULL
+  UNION ALL SELECT DISTINCT output_path, -1, '' FROM resolved WHERE dst IS NULL UNION ALL SELECT DISTINCT output_path, 1099511627776, '' FROM resolved WHERE dst IS NULL)
+UNION ALL SELECT '_unresolved.md', '', 0, '# Unresolved wikilinks' UNION ALL SELECT '_unresolved.md', '', 1, ''"""))
+def unresolved_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_lines(render.unresolved_lines(built(spark, sf_dir).unresolved))
+
+
+@query(sql(f""", entry_of AS (SELECT output_path AS entry_path, title FROM pages WHERE kind = 'entry'), tagged AS (SELECT tag, 'tags/' || tag || '.md' AS path, entry_path FROM tag_index)
+SELECT path, entry_path AS k, 0 AS n, '- [' || title || '](' || {relative_sql('path', 'entry_path')} || ')' AS line FROM tagged JOIN entry_of USING (entry_path)
+UNION ALL SELECT DISTINCT path, '', 0, '# Tag: `' || tag || '`' FROM tagged UNION ALL SELECT DISTINCT path, '', 1, '' FROM tagged
+UNION ALL SELECT 'tags/index.md', tag, 0, '- [`' || tag || '`](' || tag || '.md) (' || count(*) || ')' FROM tagged GROUP BY tag
+UNION ALL SELECT 'tags/index.md', '', 0, '# Tags' UNION ALL SELECT 'tags/index.md', '', 1, ''"""))
+def tag_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return _joined_lines(render.tag_lines(c.notes, c.pages.where("kind = 'entry'").select(F.col("output_path").alias("path"), "title")))
+
+
+@query("""WITH RECURSIVE l AS (SELECT lang || '/index.md' AS path, doc_id AS n, split_part(text, chr(10), 1) AS line, length(split_part(text, chr(10), 1)) + 1 AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT path, n, r, 0 AS page, size AS used FROM l WHERE r = 1 UNION ALL SELECT l.path, l.n, l.r, CASE WHEN w.used + l.size > 3000 THEN w.page + 1 ELSE w.page END, CASE WHEN w.used + l.size > 3000 THEN l.size ELSE w.used + l.size END FROM w JOIN l ON l.path = w.path AND l.r = w.r + 1),
+t AS (SELECT w.path, page, string_agg(line, chr(10) ORDER BY r) || chr(10) AS text FROM w JOIN l USING (path, r) GROUP BY 1, 2)
+SELECT replace(path, 'index.md', 'page-' || lpad(CAST(page + 1 AS VARCHAR), 3, '0') || '.md') AS path, md5('# ' || path || ' ' || (page + 1) || chr(10) || chr(10) || text) AS body_md5 FROM t
+UNION ALL SELECT path, md5('# ' || path || chr(10) || chr(10) || '- Paged index pages: `' || count(*) || '`' || chr(10) || string_agg('- [Page ' || (page + 1) || '](page-' || lpad(CAST(page + 1 AS VARCHAR), 3, '0') || '.md): 0 entries, `` ... ``', chr(10) ORDER BY page) || chr(10)) FROM t GROUP BY path""")
+def index_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.table(spark, sf_dir, "documents")
+    lines = docs.select(F.concat("lang", F.lit("/index.md")).alias("path"), F.array().cast("array<string>").alias("k"), F.col("doc_id").alias("n"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    return render.documents(lines, 3000, 3000).select("path", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query(sql(NAV + f""", sized AS (SELECT output_path, length(string_agg(line, chr(10) ORDER BY line_idx)) AS n_chars FROM page_lines GROUP BY 1), e AS (SELECT source_path, title FROM pages WHERE kind = 'entry')
+SELECT p.entry_path || ':' || CASE p.kind WHEN 'entry' THEN 'entry' WHEN 'shell' THEN p.slug || ':shell' WHEN 'h3leaf' THEN string_split(p.above, '/')[-2] || ':' || p.slug ELSE p.slug END AS page_id, CASE WHEN p.kind IN ('h2leaf', 'h3leaf') THEN 'leaf' ELSE p.kind END AS page_kind, p.output_path, p.source_path,
+  e.title || CASE WHEN p.kind = 'h3leaf' THEN ' > ' || u.title ELSE '' END || CASE WHEN p.kind <> 'entry' THEN ' > ' || p.title ELSE '' END AS section_path,
+  {relative_sql('p.output_path', 'nav.parent')} AS parent, {relative_sql('p.output_path', 'nav.prev')} AS prev, {relative_sql('p.output_path', 'nav.next')} AS next, coalesce(n_chars, 0) AS n_chars
+FROM pages p JOIN e USING (source_path) LEFT JOIN nav ON nav.output_path = p.output_path LEFT JOIN pages u ON u.output_path = p.above LEFT JOIN sized ON sized.output_path = p.output_path"""))
+def regular_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return markdown.page_plan(c.pages, markdown.page_bodies(c.notes, c.pages))
+
+
+@query(sql(TREE + "SELECT t.source_path, t.line_idx, '- [' || t.id || '](../' || n.entry_path || ')' AS line FROM tree t JOIN notes n USING (source_path)"))
+def tree_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = corpus.notes(spark, sf_dir)
+    return quality.tree_heading_lines(_tree(spark, sf_dir), notes.select("source_path", "entry_path"))
+
+
+@query(sql(""", kinds_of AS (SELECT source_path, CASE WHEN bool_or(starts_with(line, '```')) THEN 'code_fence' WHEN bool_or(starts_with(line, '|')) THEN 'table' ELSE 'heading' END AS reason FROM raw_lines GROUP BY 1),
+code AS (SELECT source_path, string_agg(line || chr(10), '' ORDER BY line_idx) AS t FROM raw_lines WHERE NOT starts_with(ltrim(line), '```') AND NOT starts_with(line, '# ') GROUP BY 1),
+rows_of AS (SELECT source_path, string_agg(line || chr(10), '' ORDER BY line_idx) AS t FROM raw_lines WHERE starts_with(trim(line), '|') AND NOT contains(line, '---') AND NOT contains(trim(line), ' id ') GROUP BY 1)
+SELECT source_path, reason AS split_reason, md5(CASE reason WHEN 'code_fence' THEN '```text' || chr(10) || coalesce(code.t, '') || '```' || chr(10) WHEN 'table' THEN '| id | value |' || chr(10) || '|---|---|' || chr(10) || coalesce(rows_of.t, '') ELSE body END) AS text_md5
+FROM notes JOIN kinds_of USING (source_path) LEFT JOIN code USING (source_path) LEFT JOIN rows_of USING (source_path)"""))
+def repaired_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = corpus.notes(spark, sf_dir)
+    has = lambda mark: F.exists(F.split("body", "\n"), lambda x: x.startswith(mark))
+    leaves = notes.select("source_path", F.when(has("```"), "code_fence").when(has("|"), "table").otherwise("heading").alias("split_reason"), F.col("body").alias("text"))
+    return quality.repaired(leaves).select("source_path", "split_reason", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""SELECT 'headings' AS kind, i + 1 AS n, '## Chapter ' || i || chr(10) || chr(10) || '### Topic ' || i || chr(10) || 'marker-headings-' || i || chr(10) AS line FROM range(300) t(i)
+UNION ALL SELECT 'headings', 0, '---' || chr(10) || 'title: Large Fixture' || chr(10) || '---' || chr(10)
+UNION ALL SELECT 'table', i + 1, '| ' || i || ' | table-marker-' || i || ' |' FROM range(300) t(i)
+UNION ALL SELECT 'table', 0, '---' || chr(10) || 'title: Large Fixture' || chr(10) || '---' || chr(10) || '# Table' || chr(10) || chr(10) || '| id | value |' || chr(10) || '|---|---|'""")
+def fixture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda kind: quality.fixture(spark, kind, 300).select(F.lit(kind).alias("kind"), "n", "line")
+    return one("headings").unionByName(one("table"))
+
+
+@query("""WITH leaf AS (SELECT doc_id, length(text) AS n_chars, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'heading' END AS split_reason FROM documents)
+SELECT doc_id, split_reason = CASE WHEN doc_id % 6 = 0 THEN 'table' ELSE 'heading' END AND n_chars <= 2000 AS passed FROM leaf""")
+def forced_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.table(spark, sf_dir, "documents")
+    leaves = docs.select("doc_id", F.length("text").alias("n_chars"), F.when(F.col("doc_id") % 3 == 0, "table").otherwise("heading").alias("split_reason"))
+    return quality.forced_splits(leaves, docs.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "table").otherwise("heading").alias("reason")), 2000)
+
+
+@query(sql(MAIN + "SELECT output_path AS path, (length(main) - length(replace(main, '[[', ''))) // 2 AS n FROM main WHERE contains(main, '[[')"))
+def wikilink_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    main = render.rewritten(c.bodies, c.links, c.resolved, c.md)
+    return quality.wikilink_residue(main.select(F.col("output_path").alias("path"), F.col("main").alias("body")))
 
 
 def queries() -> dict[str, Query]:
