@@ -318,6 +318,25 @@ def test_init_add_context(spark, tmp_path):
     terms_ = "".join(b for p, b in got.items() if p.startswith("agent/terms/"))
     assert all(f"| {t} | `{k}` |" in terms_ for t, k in (("x/y", "tag"), ("setup", "heading"), ("a", "title"), ("there", "link_label"), ("whole", "file")))
 
+    pages = files.load_tree(spark, str(out)).cache()
+    assert {r.path: r.body for r in pages.collect()} == got
+    expected = pages.where("path like 'fragments/%' and path not like '%index.md' and path not like '%page-%'").select("path")
+    checks = quality.gate({
+        "entry": (10.0, quality.entry_points(pages)),
+        "routes": (10.0, quality.routes_named(pages)),
+        "metadata": (20.0, quality.metadata_present(pages)),
+        "trace": (10.0, quality.traceable(pages)),
+        "budget": (20.0, quality.index_budget(pages)),
+        "terms": (20.0, quality.terms_listed(pages, ["x/y", "Setup", "there"])),
+        "absent": (10.0, quality.terms_listed(pages, ["no such term"])),
+    })
+    assert quality.weighted_score(checks).first().score == 90.0 and quality.navigation_lines(pages, expected).isEmpty()
+    assert {(r.path, r.n) for r in quality.wikilink_residue(pages).collect()} >= {("fragments/a/index.md", 1), ("fragments/b/setup.md", 1)}
+    linked = spark.createDataFrame([("fragments/b/setup.md", "[Alpha](../a/index.md)")], "path string, link string")
+    assert quality.relations(pages, linked, linked.where("false")).first().points == 7.5
+    quality.write_report(checks, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).where("passed").count() == 6
+
     write(root, "b.md", "## Setup\nother\n")
     write(root, "c.md", "[[a]]")
     os.remove(root / "off.md")
