@@ -31,6 +31,8 @@ _SHINGLES = 1 << 16
 STANDS, ASKS = 1, 2
 #: Of keep_one: words of a shingle, least Jaccard similarity of near duplicates, and bands of minima for candidates.
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
+#: How much farther texts of a bucket are compared in each round.
+FARTHER = 8
 
 
 def fingerprint(raw: bytes) -> int:
@@ -397,8 +399,9 @@ def links_of_buckets(shared: DataFrame, sets: DataFrame, folder: str) -> DataFra
 
     A text that others are copies of stands in the fullest bucket of nearly every band, so each text of a bucket is first held
     against the bucket's heaviest one. Where a bucket is not connected by then, its texts stand in a ring and are held against
-    those beside them, then against those farther off, twice as far in each round, as long as they are not connected. Rounds go
-    to the far side of the ring, so no link between unconnected texts is missed.
+    those beside them, then against those farther off, FARTHER times as far in each round, as long as they are not connected.
+    Rounds go to the far side of the ring, so no link between unconnected texts is missed; texts that share a band but are not
+    alike are all held against each other, as nothing less tells that there is no link.
     """
     centre = shared.groupBy("key").agg(F.max(F.struct("weight", "whole"))["whole"].alias("b"))
     stars = shared.join(centre, "key").where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
@@ -412,11 +415,11 @@ def links_of_buckets(shared: DataFrame, sets: DataFrame, folder: str) -> DataFra
             return edges
         ring = tied.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("whole"), "whole")) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
         ring = common.written(ring, folder, f"ring-{far}")
-        reach = F.sequence(F.lit(far), F.least(F.lit(2 * far - 1), F.floor(F.col("of") / 2).cast("int")))
+        reach = F.sequence(F.lit(far), F.least(F.lit(FARTHER * far - 1), F.floor(F.col("of") / 2).cast("int")))
         asks = ring.where(F.floor(F.col("of") / 2) >= far).select("key", F.col("whole").alias("a"), F.col("label").alias("la"), F.explode(F.transform(reach, lambda d: F.pmod(F.col("at") + d, F.col("of")))).alias("at"))
         met = asks.join(ring.select("key", "at", F.col("whole").alias("b"), F.col("label").alias("lb")), ["key", "at"]).where("la <> lb")
         pairs = common.written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"pairs-{far}")
-        edges, far = common.written(edges.union(_alike(pairs, sets, folder, f"ring-{far}")), folder, f"edges-{far}"), 2 * far
+        edges, far = common.written(edges.union(_alike(pairs, sets, folder, f"ring-{far}")), folder, f"edges-{far}"), FARTHER * far
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
