@@ -31,8 +31,6 @@ _SHINGLES = 1 << 16
 STANDS, ASKS = 1, 2
 #: Of keep_one: words of a shingle, least Jaccard similarity of near duplicates, and bands of minima for candidates.
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
-#: How much farther texts of a bucket are compared in each round.
-FARTHER = 8
 
 
 def fingerprint(raw: bytes) -> int:
@@ -368,17 +366,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "sig": batch.column("sig"), "whole": pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), "keys": lists})
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
-    """Of pairs (a, b) those whose texts' sets of shingles have a Jaccard similarity of at least SIMILAR."""
+def _compared(pairs: DataFrame, sets: DataFrame, folder: str, name: str, least: float = SIMILAR) -> DataFrame:
+    """(a, b, alike) of pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least so much."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            near = [jaccard(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) >= SIMILAR for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            alike = np.array([jaccard(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) for p, q in zip(x, y, strict=True)], dtype=np.float64)
+            yield batch.select(["a", "b"]).append_column("alike", pa.array(alike)).filter(pa.array(alike >= least))
 
     both = pairs.join(sets.select(F.col("whole").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("whole").alias("b"), F.col("found").alias("y")), "b")
-    return common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), folder, f"alike-{name}")
+    return common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, alike double"), folder, name)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
@@ -395,31 +393,25 @@ def _sets(texts: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
 
 
 def links_of_buckets(shared: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """Edges (a, b) that connect all texts of a bucket whose sets are alike, from the buckets (key, whole, n, weight).
+    """Edges (a, b) that connect all texts of a bucket whose sets are alike, from the buckets (key, whole, weight).
 
     A text that others are copies of stands in the fullest bucket of nearly every band, so each text of a bucket is first held
-    against the bucket's heaviest one. Where a bucket is not connected by then, its texts stand in a ring and are held against
-    those beside them, then against those farther off, FARTHER times as far in each round, as long as they are not connected.
-    Rounds go to the far side of the ring, so no link between unconnected texts is missed; texts that share a band but are not
-    alike are all held against each other, as nothing less tells that there is no link.
+    against the bucket's heaviest one. What that does not connect is held against each other, but for texts whose similarities
+    to the heaviest are too far apart: Jaccard distances obey the triangle inequality, so such texts are not alike.
     """
     centre = shared.groupBy("key").agg(F.max(F.struct("weight", "whole"))["whole"].alias("b"))
-    stars = shared.join(centre, "key").where("whole <> b").select(F.col("whole").alias("a"), "b").distinct()
-    edges, far = _alike(common.written(stars, folder, "stars"), sets, folder, "stars"), 1
-    while True:
-        labels = components(edges, f"{folder}/components-{far}").withColumnRenamed("node", "whole")
-        tied = shared.where((F.col("n") > 2) & (F.col("n") >= 2 * far)).join(labels, "whole", "left").select("key", "whole", "n", F.coalesce("label", "whole").alias("label"))
-        open_ = tied.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        tied = common.written(tied.join(open_, "key"), folder, f"tied-{far}")
-        if tied.isEmpty():
-            return edges
-        ring = tied.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("whole"), "whole")) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        ring = common.written(ring, folder, f"ring-{far}")
-        reach = F.sequence(F.lit(far), F.least(F.lit(FARTHER * far - 1), F.floor(F.col("of") / 2).cast("int")))
-        asks = ring.where(F.floor(F.col("of") / 2) >= far).select("key", F.col("whole").alias("a"), F.col("label").alias("la"), F.explode(F.transform(reach, lambda d: F.pmod(F.col("at") + d, F.col("of")))).alias("at"))
-        met = asks.join(ring.select("key", "at", F.col("whole").alias("b"), F.col("label").alias("lb")), ["key", "at"]).where("la <> lb")
-        pairs = common.written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"pairs-{far}")
-        edges, far = common.written(edges.union(_alike(pairs, sets, folder, f"ring-{far}")), folder, f"edges-{far}"), FARTHER * far
+    members = common.written(shared.select("key", F.col("whole").alias("a")).join(centre, "key").where("a <> b"), folder, "members")
+    stars = _compared(members.select("a", "b").distinct(), sets, folder, "stars", 0.0)
+    edges = stars.where(F.col("alike") >= SIMILAR).select("a", "b")
+    labels = components(edges, f"{folder}/stars-components").withColumnRenamed("node", "a")
+    tied = members.join(stars, ["a", "b"]).join(labels, "a", "left").select("key", "a", "alike", F.coalesce("label", "a").alias("label"))
+    open_ = tied.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    tied = common.written(tied.join(open_, "key"), folder, "tied")
+    x = tied.select("key", "a", F.col("label").alias("la"), F.col("alike").alias("xa"))
+    y = tied.select("key", F.col("a").alias("b"), F.col("label").alias("lb"), F.col("alike").alias("xb"))
+    near = F.abs(F.col("xa") - F.col("xb")) <= 1 - SIMILAR + 1e-9
+    pairs = common.written(x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct(), folder, "pairs")
+    return common.written(edges.union(_compared(pairs, sets, folder, "rest").select("a", "b")), folder, "edges")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
