@@ -27,6 +27,8 @@ LAYOUTS = ((2, 2, 2, 2), (3, 3, 2), (4, 4))
 #: Cost of a probe row (a shuffled row) and of a candidate (one XOR and bit count).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 _SHINGLES = 1 << 16
+#: Fingerprints whose probes a task holds at a time; one has up to 5,489 at three bits.
+PROBED = 512
 #: What a row does in a bucket, as bits.
 STANDS, ASKS = 1, 2
 #: Of keep_one: words of a shingle, least Jaccard similarity of near duplicates, and bands of minima for candidates.
@@ -180,7 +182,7 @@ def links(nodes: DataFrame, folder: str, tau: int = 3, block: int = 512) -> Data
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(LAYOUTS))
-        for batch in batches:
+        for batch in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
             values = _ordered_bits(batch.column("fp").to_numpy(), order)
             out += [allocate(values, x, tables, n, tau)[1].sum() for x in LAYOUTS]
         yield from common.sparse(out)
@@ -188,7 +190,7 @@ def links(nodes: DataFrame, folder: str, tau: int = 3, block: int = 512) -> Data
     layout = LAYOUTS[int(common.dense(nodes.mapInArrow(price, "at long, n double"), len(LAYOUTS)).argmin())]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
             fps, ids = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
             values = _ordered_bits(fps, order).astype(np.uint64)
             t, _ = allocate(values.astype(np.int64), layout, tables, n, tau)
