@@ -852,6 +852,43 @@ def wikilink_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.wikilink_residue(main.select(F.col("output_path").alias("path"), F.col("main").alias("body")))
 
 
+@query(sql(""", leaf_n AS (SELECT n.source_path, n.dir, count(p.output_path) AS f FROM notes n LEFT JOIN pages p ON p.source_path = n.source_path AND p.kind IN ('h2leaf', 'h3leaf') GROUP BY 1, 2),
+above AS (SELECT source_path, dir AS own, f, unnest(list_concat([''], list_transform(range(1, len(string_split(dir, '/')) + 1), lambda j: array_to_string(string_split(dir, '/')[1:j], '/')))) AS dir FROM leaf_n),
+roll AS (SELECT dir, 'fragments' || CASE WHEN dir = '' THEN '' ELSE '/' || dir END AS place, count(*) AS n_notes, CAST(sum(f) AS BIGINT) AS n_fragments, count(*) FILTER (own = dir) AS n_direct,
+  count(DISTINCT CASE WHEN own <> dir THEN split_part(CASE WHEN dir = '' THEN own ELSE substr(own, length(dir) + 2) END, '/', 1) END) AS n_subdirs FROM above GROUP BY 1),
+own_of AS (SELECT source_path, title, 'fragments/' || dir || '/_index.md' AS path, stem AS name FROM notes JOIN titles USING (source_path)),
+below AS (SELECT *, string_split(dir, '/')[-1] AS name, 'fragments' || CASE WHEN contains(dir, '/') THEN '/' || regexp_replace(dir, '/[^/]*$', '') ELSE '' END || '/_index.md' AS up FROM roll WHERE dir <> ''),
+ranked AS (SELECT a.dir, t.title, row_number() OVER (PARTITION BY a.dir ORDER BY t.title, t.source_path) AS rank FROM above a JOIN titles t USING (source_path)),
+tops AS (SELECT place, unnest(['# ' || place, '', '## Summary', '', '- Notes: ' || n_notes || ' (recursive)', '- Fragments: ' || n_fragments || ' (recursive)', '- Subdirectories: ' || n_subdirs, '']) AS line, unnest(range(8)) AS n FROM roll)
+SELECT place || '/_index.md' AS path, '' AS k, n, line FROM tops
+UNION ALL SELECT place || '/_index.md', v.k, v.n, v.line FROM roll, (VALUES ('1', -2, '## Subdirectories'), ('1', -1, ''), ('1~', 0, ''), ('3', -2, '## Directory Preview'), ('3', -1, ''), ('3~', 0, '')) v(k, n, line) WHERE n_subdirs > 0
+UNION ALL SELECT place || '/_index.md', v.k, v.n, v.line FROM roll, (VALUES ('5', -2, '## Notes'), ('5', -1, ''), ('5~', 0, '')) v(k, n, line) WHERE n_direct > 0
+UNION ALL SELECT up, '1/' || name, 0, '- [' || name || '](' || name || '/_index.md): ' || n_notes || ' notes' FROM below
+UNION ALL SELECT up, '3/' || name, 0, '- [' || name || '](' || name || '/_index.md): ' || n_notes || ' notes, ' || n_fragments || ' fragments' FROM below
+UNION ALL SELECT up, '3/' || name, rank, '  - ' || title FROM ranked JOIN below USING (dir) WHERE rank <= 3
+UNION ALL SELECT path, '5/' || name, 0, '- [' || title || '](' || name || '/index.md)' FROM own_of"""))
+def directory_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = built(spark, sf_dir)
+    return _joined_lines(render.directory_lines(c.notes, c.pages))
+
+
+@query(sql("SELECT n, text FROM (SELECT text, row_number() OVER (ORDER BY string_split(source_path, '/'), line_idx) AS n FROM headings WHERE level <= 2) WHERE n <= 12"))
+def heading_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.heading_preview(markdown.headings(corpus.notes(spark, sf_dir))).withColumn("n", F.col("n").cast("long"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT lang || '/' || CASE WHEN doc_id % 4 = 0 THEN 'a-1' ELSE 'a' END || repeat('.', doc_id % 5) || '.md' AS source FROM documents),
+b AS (SELECT source, CASE WHEN x = '' THEN 'source' ELSE x END AS base, row_number() OVER (ORDER BY source) AS r FROM (SELECT source, trim(regexp_replace(regexp_replace(source, '(\\.md)+$', ''), '[^A-Za-z0-9-]+', '_', 'g'), '_') AS x FROM s)),
+p AS (SELECT r, source, base AS name, [base] AS used FROM b WHERE r = 1
+  UNION ALL SELECT r, source, name, list_append(used, name) FROM (SELECT b.r, b.source, p.used, CASE WHEN NOT list_contains(p.used, b.base) THEN b.base ELSE b.base || '-' || list_min(list_filter(range(1, len(p.used) + 2), lambda k: NOT list_contains(p.used, b.base || '-' || k))) END AS name FROM p JOIN b ON b.r = p.r + 1))
+SELECT source, name || '.md' AS name FROM p""")
+def source_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.table(spark, sf_dir, "documents")
+    stem = F.when(F.col("doc_id") % 4 == 0, "a-1").otherwise("a")
+    rows = docs.select(F.concat("lang", F.lit("/"), stem, F.repeat(F.lit("."), (F.col("doc_id") % 5).cast("int")), F.lit(".md")).alias("source")).distinct()
+    return markdown.unused_names(rows.withColumn("base", T.source_page_stem(F.col("source"))), [], "source", "base", "name", ".md").select("source", "name")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
