@@ -331,7 +331,9 @@ def near_duplicates(docs: DataFrame, tau: int = 3, block: int = 512) -> DataFram
     labels = components(edges, folder).withColumnRenamed("node", "fp")
     tied = common.written(nodes.join(labels, "fp", "left").select("fp", "least", "n_same", "label"), folder, "tied")
     names = tied.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("name"))
-    found = tied.join(names, "label", "left").select("fp", "n_same", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"))
+    # most fingerprints are linked to none; they have no label to meet at
+    alone = tied.where(F.col("label").isNull()).select("fp", "n_same", F.col("least").alias("component_id"))
+    found = tied.join(names, "label").select("fp", "n_same", F.col("name").alias("component_id")).union(alone)
     found = common.written(found, folder, "found")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
