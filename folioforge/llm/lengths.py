@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: Lengths are summed within blocks of so many, and blocks among themselves, so no task gets all lengths.
-BLOCK = 1024
+BLOCK = 64
 QUANTILES = (0.5, 0.9, 0.99)
 
 
@@ -48,7 +48,7 @@ def context_limits(hist: DataFrame, folder: str) -> DataFrame:
     """
     rows = common.written(hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)), folder, "histogram")
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("b_tokens"))
-    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1024 lengths
+    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64 lengths
     total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     none = F.lit(0).cast("long")
     blocks = blocks.select(
