@@ -170,6 +170,18 @@ def test_wide_notes_are_paired(spark):
     assert got == {("a", "c", 5), ("a", "b", 2), ("b", "a", 2), ("b", "c", 2), ("c", "a", 5), ("c", "b", 2)}
 
 
+def test_tag_pairs_by_blocks(spark):
+    """Tags are compared for two blocks of notes, and pairs of notes are made of those that fit, behind every join."""
+    sets = [["s", "t", "u"], ["t", "u"], ["s"], ["u", "v", "t", "t"], ["s", "v"], []]
+    rows = [(f"n{i:02}.md", "", {"tags": sets[i * i % 6]}) for i in range(40)] + [("n01.md", "", {"tags": ["s", "t"]})]
+    got = links.shared_tags(notes(spark, *rows), block=3, deal=2)
+    entry = lambda path: f"fragments/{path[:-3]}/index.md"
+    want = [(entry(a), entry(b), len({*x["tags"]} & {*y["tags"]})) for a, _, x in rows for b, _, y in rows if a < b and len({*x["tags"]} & {*y["tags"]}) >= 2]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
+
+
 def test_tags_and_directories(spark):
     n = notes(spark, ("a/b/x.md", "## h", {"tags": ["p/q"]}), ("a/y.md", "", {"tags": ["p"]}), ("z.md", ""))
     assert {(r.tag, r.n_notes) for r in indexes.tag_counts(n).collect()} == {("p", 2), ("p/q", 1)}
