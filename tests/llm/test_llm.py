@@ -168,6 +168,45 @@ def test_links_of_buckets(spark):
     assert labels == dict.fromkeys(range(23), 0)
 
 
+def test_candidates_of_prints(spark, monkeypatch):
+    """Fingerprints within the bits that the partitions cover are connected, those far apart are not; hot buckets are dealt out."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, size=(12, simhash.PRINTS), dtype=np.uint64)
+    flip = lambda n: np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
+    found = np.array([[x ^ flip(simhash.WITHIN) for x in base[k % 12]] for k in range(240)], dtype=np.uint64)
+    found = np.concatenate([base, found])
+    ids = simhash.print_ids(found[:, : simhash.CARRIED]).tolist()
+    rows = [(i, *x) for i, x in zip(ids, found.view(np.int64).tolist(), strict=True)]
+    nodes = spark.createDataFrame(rows, "id long, " + ", ".join(f"p{k} long" for k in range(simhash.PRINTS))).repartition(3)
+    for small, block in ((64, 4096), (2, 4)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        folder = common.work_dir(spark, "test")
+        got = {r.node: r.label for r in simhash.components(simhash.candidates(nodes, folder, block), folder).collect()}
+        assert [got[i] for i in ids] == [min(ids[k::12]) for k in range(12)] * 21
+
+
+def test_prints_follow_similarity():
+    """A bit differs as often as the angle of two sets says, 0.151 at a similarity of 0.8."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=900, dtype=np.uint64)) for _ in range(20)]
+    apart = [np.bitwise_count(simhash.prints(x[:800]) ^ simhash.prints(x[100:])).sum() for x in sets]
+    assert abs(np.mean(apart) / (64 * simhash.PRINTS) - np.arccos(700 / 800) / np.pi) < 0.02
+
+
+def test_few_pairs_of_a_large_group(spark):
+    """Copies that differ from the heaviest text in shingles of their own are ruled out by what they can share at most."""
+    folder, rng = common.work_dir(spark, "ruled"), np.random.default_rng(6)
+    text = rng.integers(0, 1 << 62, size=200, dtype=np.uint64)
+    copies = [np.sort(np.concatenate([text[rng.permutation(200)[k:]], rng.integers(0, 1 << 62, size=k, dtype=np.uint64)])) for k in rng.integers(25, 120, size=60)]
+    found = [np.sort(text), *copies, np.sort(np.concatenate([copies[5][:190], text[:3]]))]
+    found = [np.unique(x) for x in found]
+    sets = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(found)], "whole long, found binary")
+    shared = spark.createDataFrame([(7, k, int(k == 0)) for k in range(len(found))], "key long, whole long, weight long")
+    links = {frozenset(r) for r in simhash.links_of_buckets(shared, sets, folder).collect()}
+    assert links == {frozenset((i, j)) for i in range(len(found)) for j in range(i) if simhash.jaccard(found[i], found[j]) >= 0.8}
+    assert len(links) and spark.read.parquet(f"{folder}/pairs").count() < 100
+
+
 def test_no_unrelated_row_goes(spark):
     """Rows that share a doc_id are not copies of each other; names that operators use inside are columns like any other."""
     say = lambda seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(9999)}" for k in range(60))
