@@ -162,9 +162,9 @@ def _plans(nodes: DataFrame, names: list[str], tau: int) -> tuple[list[tuple[np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(names) * cells + 1)
-        for batch in batches:
+        for batch in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
             for k, name in enumerate(names):
-                bits = np.unpackbits(batch.column(name).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+                bits = np.unpackbits(batch.column(name).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
                 out[k * cells : (k + 1) * cells] += (bits.T @ bits).ravel()
             out[-1] += batch.num_rows
         yield from common.sparse(out)
@@ -462,7 +462,9 @@ def candidates(nodes: DataFrame, folder: str, block: int = 4096) -> DataFrame:
         rows = rows.drop("j").join(large, "bucket", "left").withColumn("own", own).withColumn("j", F.explode(to))
         rows = rows.withColumn("key", F.when(F.col("j") == F.col("own"), F.col("key")).otherwise(F.col("key").bitwiseAND(~STANDS)))
     rows = rows.repartition(parts, "bucket", "j").drop("bucket").sortWithinPartitions("j", "key")
-    return rows.mapInArrow(_near, "a long, b long")
+    # tasks that meet the same group each span it, so what several found is spanned once more
+    found = common.written(rows.mapInArrow(_near, "a long, b long"), folder, "forests")
+    return found.coalesce(max(parts // 16, 1)).mapInArrow(_merged, "a long, b long")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,6 +501,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of edges; in pieces where it is large."""
+    a = b = np.empty(0, dtype=np.int64)
+    for batch in batches:
+        a, b = _tied(np.concatenate([a, batch.column("a").to_numpy()]), np.concatenate([b, batch.column("b").to_numpy()]))
+        if len(a) > FOREST:
+            yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+            a = b = np.empty(0, dtype=np.int64)
+    if len(a):
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+
 def _near_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the candidates among rows (j, key, carried fingerprints)."""
     role, carried = rows[:, 1] & 3, np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
