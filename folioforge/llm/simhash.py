@@ -415,8 +415,11 @@ def candidates(nodes: DataFrame, folder: str, block: int = 4096) -> DataFrame:
     each of their fingerprints: some fingerprint differs by at most WITHIN bits, or some partition within its threshold by luck,
     and the carried fingerprints by at most APART bits.
 
-    A text of even value asks at the values one bit away, which are odd, and one of odd value stands there and need not ask;
-    texts with thresholds of their own ask everywhere. Where over `block` texts stand, they are dealt out as blocks.
+    Near copies first meet at their own values of the carried fingerprints alone. What that connects has a label, and texts of a
+    label, already connected, meet no more and count as one where others are linked to them, so a group of copies isn't spanned
+    again by each task that comes upon it. A text of even value asks at the values one bit away, which are odd, and one of odd
+    value stands there and need not ask; texts with thresholds of their own ask everywhere. Where over `block` texts stand, they
+    are dealt out as blocks, those of the most frequent label there apart from the rest, for which alone its own texts ask.
     """
     names = [f"p{k}" for k in range(PRINTS)]
     plans, n = _plans(nodes, names, WITHIN)
@@ -427,44 +430,72 @@ def candidates(nodes: DataFrame, folder: str, block: int = 4096) -> DataFrame:
             for k, (order, _, layout) in enumerate(plans):
                 values = _ordered_bits(batch.column(names[k]).to_numpy(), order).astype(np.uint64)
                 for i, value in enumerate(_partitions(values, layout)):
-                    yield pa.record_batch({"bucket": pa.array((value | np.uint64(4 * k + i) << np.uint64(32)).view(np.int64))})
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
-            carried = [batch.column(c).to_numpy() for c in names[:CARRIED]]
-            for k, (order, tables, layout) in enumerate(plans):
-                values = _ordered_bits(batch.column(names[k]).to_numpy(), order).astype(np.uint64)
-                t, _ = allocate(values.astype(np.int64), layout, tables, n, WITHIN)
-                plain, owners, keys = (t == 1).all(1), [], []
-                for i, (width, value) in enumerate(zip(layout, _partitions(values, layout), strict=True)):
-                    place = np.uint64(4 * k + i) << np.uint64(34)
-                    owners.append(np.arange(len(value)))
-                    keys.append(place | value << np.uint64(2) | np.where(t[:, i] >= 0, STANDS | ASKS, STANDS).astype(np.uint64))
-                    asks = ~plain | (np.bitwise_count(value) % 2 == 0)
-                    for radius in range(1, WITHIN + 1):
-                        who = np.flatnonzero((t[:, i] == radius) & asks)
-                        if len(who):
-                            masks = _flips(8 * width, radius)
-                            keys.append((place | (value[who][:, None] ^ masks[None, :]) << np.uint64(2) | np.uint64(ASKS)).ravel())
-                            owners.append(np.repeat(who, len(masks)))
-                owner, key = np.concatenate(owners), np.concatenate(keys).view(np.int64)
-                for lo in range(0, len(owner), 1 << 16):
-                    part = owner[lo : lo + (1 << 16)]
-                    yield pa.record_batch({"key": pa.array(key[lo : lo + (1 << 16)]), **{f"c{x}": pa.array(c[part]) for x, c in enumerate(carried)}})
-
-    rows = nodes.select(*names).mapInArrow(probe, "key long, " + ", ".join(f"c{x} long" for x in range(CARRIED)))
-    rows = rows.withColumn("bucket", F.shiftright("key", 2)).withColumn("j", F.lit(0))
-    large = nodes.select(*names).mapInArrow(stand, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    large = common.written(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb")), folder, "large")
-    if not large.isEmpty():
-        own = F.pmod(F.xxhash64("c0"), F.coalesce("nb", F.lit(1))).cast("int")
-        to = F.when(F.col("key").bitwiseAND(ASKS) == 0, F.array(own)).otherwise(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))
-        rows = rows.drop("j").join(large, "bucket", "left").withColumn("own", own).withColumn("j", F.explode(to))
-        rows = rows.withColumn("key", F.when(F.col("j") == F.col("own"), F.col("key")).otherwise(F.col("key").bitwiseAND(~STANDS)))
-    rows = rows.repartition(parts, "bucket", "j").drop("bucket").sortWithinPartitions("j", "key")
-    # tasks that meet the same group each span it, so what several found is spanned once more
-    found = common.written(rows.mapInArrow(_near, "a long, b long"), folder, "forests")
-    return found.coalesce(max(parts // 16, 1)).mapInArrow(_merged, "a long, b long")
+                    yield pa.record_batch({"bucket": pa.array((value | np.uint64(4 * k + i) << np.uint64(32)).view(np.int64)), "label": batch.column("label")})
+
+    def probes(some: DataFrame, first: bool) -> DataFrame:
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
+                label, carried = batch.column("label").to_numpy(), [batch.column(c).to_numpy() for c in names[:CARRIED]]
+                for k, (order, tables, layout) in enumerate(plans[:CARRIED] if first else plans):
+                    values = _ordered_bits(batch.column(names[k]).to_numpy(), order).astype(np.uint64)
+                    t, _ = allocate(values.astype(np.int64), layout, tables, n, WITHIN)
+                    plain, owners, keys = (t == 1).all(1), [], []
+                    for i, (width, value) in enumerate(zip(layout, _partitions(values, layout), strict=True)):
+                        place = np.uint64(4 * k + i) << np.uint64(34)
+                        owners.append(np.arange(len(value)))
+                        keys.append(place | value << np.uint64(2) | np.where(t[:, i] >= 0, STANDS | ASKS, STANDS).astype(np.uint64))
+                        asks = ~plain | (np.bitwise_count(value) % 2 == 0)
+                        for radius in range(1, 1 if first else WITHIN + 1):
+                            who = np.flatnonzero((t[:, i] == radius) & asks)
+                            if len(who):
+                                masks = _flips(8 * width, radius)
+                                keys.append((place | (value[who][:, None] ^ masks[None, :]) << np.uint64(2) | np.uint64(ASKS)).ravel())
+                                owners.append(np.repeat(who, len(masks)))
+                    owner, key = np.concatenate(owners), np.concatenate(keys).view(np.int64)
+                    for lo in range(0, len(owner), 1 << 16):
+                        part = owner[lo : lo + (1 << 16)]
+                        yield pa.record_batch({"key": pa.array(key[lo : lo + (1 << 16)]), "label": pa.array(label[part]), **{f"c{x}": pa.array(c[part]) for x, c in enumerate(carried)}})
+
+        rows = some.select(*names, "label").mapInArrow(probe, "key long, label long, " + ", ".join(f"c{x} long" for x in range(CARRIED)))
+        return rows.withColumn("j", F.lit(0))
+
+    def spanned(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(parts, F.shiftright("key", 2), "j").sortWithinPartitions("j", "key")
+        # tasks that meet the same group each span it, so what several found is spanned once more
+        return rows.mapInArrow(_near, "a long, b long").repartition(max(parts // 16, 1)).mapInArrow(_merged, "a long, b long")
+
+    nodes = nodes.select("id", *names, F.lit(0).cast("long").alias("label"))
+    standing = nodes.select(*names, "label").mapInArrow(stand, "bucket long, label long")
+    large = common.written(standing.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), folder, "large")
+    dealt, rows = not large.isEmpty(), probes(nodes, True)
+    mixed = F.xxhash64("c0", "bucket")  # a text meets others in each bucket
+    if dealt:
+        rows = rows.withColumn("bucket", F.shiftright("key", 2)).join(large, "bucket", "left")
+        rows = rows.withColumn("j", F.pmod(mixed, F.coalesce(F.ceil(F.col("n") / block), F.lit(1))).cast("int")).drop("bucket", "n")
+    copies = components(common.written(spanned(rows), folder, "copied"), f"{folder}/copies")
+    labels = copies.withColumnRenamed("node", "id")
+    nodes = nodes.drop("label").join(labels, "id", "left").select(*names, F.coalesce("label", F.lit(0)).alias("label")).repartition(parts)
+    rows = probes(nodes, False)
+    if dealt:
+        held = nodes.mapInArrow(stand, "bucket long, label long").where("label <> 0").join(large, "bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"))
+        most = held.groupBy("bucket").agg(F.max(F.struct("held", "label")).alias("x")).select("bucket", "x.*").withColumnRenamed("label", "hot")
+        n_hot = F.coalesce("held", F.lit(0))
+        blocks = large.join(most, "bucket", "left").select("bucket", "hot", F.ceil(n_hot / block).cast("int").alias("ours"), F.ceil((F.col("n") - n_hot) / block).cast("int").alias("others"))
+        rows = _dealt(rows, common.written(blocks, folder, "blocks"), mixed)
+    return copies.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(spanned(rows))
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, mixed) -> DataFrame:
+    """Rows of candidates() with their blocks j. Of a bucket with blocks (bucket, hot, ours, others), texts of the label hot stand
+    in the first `ours` and ask in the `others` alone; all others stand in those and ask in all."""
+    rows = rows.drop("j").withColumn("bucket", F.shiftright("key", 2)).join(blocks, "bucket", "left").withColumn("ours", F.coalesce("ours", F.lit(0))).withColumn("others", F.coalesce("others", F.lit(1)))
+    own = F.when(F.col("mine"), F.pmod(mixed, F.greatest("ours", F.lit(1)))).otherwise(F.col("ours") + F.pmod(mixed, F.greatest("others", F.lit(1)))).cast("int")
+    rows = rows.withColumn("mine", F.coalesce(F.col("label") == F.col("hot"), F.lit(False))).withColumn("own", own)
+    theirs = F.when(F.col("others") > 0, F.sequence(F.col("ours"), F.col("ours") + F.col("others") - 1)).otherwise(F.array().cast("array<int>"))
+    asked = F.when(F.col("mine"), theirs).otherwise(F.sequence(F.lit(0), F.col("ours") + F.col("others") - 1))
+    to = F.when(F.col("key").bitwiseAND(ASKS) == 0, F.array("own")).when(F.col("key").bitwiseAND(STANDS) == 0, asked).otherwise(F.array_union(F.array("own"), asked))
+    rows = rows.withColumn("j", F.explode(to)).withColumn("key", F.when(F.col("j") == F.col("own"), F.col("key")).otherwise(F.col("key").bitwiseAND(~STANDS)))
+    return rows.select("key", "label", *(f"c{x}" for x in range(CARRIED)), "j")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +512,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("j", "key", *(f"c{x}" for x in range(CARRIED)))], axis=1)
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("j", "key", "label", *(f"c{x}" for x in range(CARRIED)))], axis=1)
         same = (rows[:, 0] == rows[-1, 0]) & (rows[:, 1] >> 2 == rows[-1, 1] >> 2)
         cut = int(np.flatnonzero(~same).max()) + 1 if not same.all() else 0
         if cut == 0 and held and (held[-1][-1, 0] != rows[0, 0] or held[-1][-1, 1] >> 2 != rows[0, 1] >> 2):
@@ -514,16 +545,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the candidates among rows (j, key, carried fingerprints)."""
-    role, carried = rows[:, 1] & 3, np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-    ids, bucket = print_ids(carried), rows[:, 1] >> 2
+    """Edges of the candidates among rows (j, key, label, carried fingerprints) of different labels; a row without one (0) has its
+    id for it."""
+    role, carried = rows[:, 1] & 3, np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    ids, bucket = np.where(rows[:, 2] == 0, print_ids(carried), rows[:, 2]), rows[:, 1] >> 2
     starts = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (rows[1:, 0] != rows[:-1, 0])) + 1])
     ends = np.concatenate([starts[1:], [len(rows)]])
     rest = np.repeat(ends, ends - starts) - np.arange(len(rows))  # rows from here to the end of the bucket
     out = []
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
-        met = _meet(role[x], role[y])
+        met = _meet(role[x], role[y]) & (ids[x] != ids[y])
         x, y = x[met], y[met]
         near = np.bitwise_count(carried[x] ^ carried[y]).sum(1, dtype=np.int64) <= APART
         out.append((ids[x[near]], ids[y[near]]))
@@ -533,14 +565,21 @@ def _near_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep(at, at + ahead)
         ahead += 1
     for lo, hi in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL], strict=True):
-        stands, asks = lo + np.flatnonzero(role[lo:hi] & STANDS), lo + np.flatnonzero(role[lo:hi] & ASKS)
-        step = max((1 << 16) // max(len(stands), 1), 1)
-        for first in range(0, len(asks), step):
-            some = asks[first : first + step]
-            apart = sum(np.bitwise_count(carried[some, k][:, None] ^ carried[stands, k][None, :]).astype(np.int16) for k in range(CARRIED))
-            x, y = np.nonzero(apart <= APART)
-            a, b = _tied(ids[some[x]], ids[stands[y]])  # a forest for each step, as all pairs of a bucket may be near
-            out.append((a, b))
+        # all are held against one of the most frequent label; what that connects need not meet once more
+        here = np.arange(lo, hi)
+        listed, times = np.unique(ids[lo:hi], return_counts=True)
+        most = here[ids[lo:hi] == listed[times.argmax()]]
+        first = most[role[most].argmax()]
+        keep(here, np.full(len(here), first))
+        one = np.isin(ids[lo:hi], np.append(out[-1][0], ids[first]))
+        stands, asks = role[lo:hi] & STANDS > 0, role[lo:hi] & ASKS > 0
+        for ask, stand in ((here[asks & one], here[stands & ~one]), (here[asks & ~one], here[stands])):
+            step = max((1 << 16) // max(len(stand), 1), 1)
+            for lot in range(0, len(ask) if len(stand) else 0, step):
+                some = ask[lot : lot + step]
+                apart = sum(np.bitwise_count(carried[some, k][:, None] ^ carried[stand, k][None, :]).astype(np.int16) for k in range(CARRIED))
+                x, y = np.nonzero(apart <= APART)
+                out.append(_tied(ids[some[x]], ids[stand[y]]))  # a forest for each step, as all pairs of a bucket may be near
     return np.concatenate([x[0] for x in out] or [ids[:0]]), np.concatenate([x[1] for x in out] or [ids[:0]])
 
 

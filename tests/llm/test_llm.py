@@ -185,6 +185,29 @@ def test_candidates_of_prints(spark, monkeypatch):
         assert [got[i] for i in ids] == [min(ids[k::12]) for k in range(12)] * 21
 
 
+def test_a_group_of_near_copies_is_spanned_once(spark, monkeypatch):
+    """Tasks that come upon a group of near copies don't each list it, and a large bucket of it isn't dealt out to itself."""
+    rng, dealt = np.random.default_rng(12), []
+    flip = lambda x: x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 5, replace=False)))
+    base = rng.integers(0, 1 << 63, size=simhash.PRINTS, dtype=np.uint64)
+    found = np.array([[flip(x) for x in base] for _ in range(400)] + [list(x) for x in rng.integers(0, 1 << 63, size=(200, simhash.PRINTS), dtype=np.uint64)], dtype=np.uint64)
+    ids = simhash.print_ids(found[:, : simhash.CARRIED]).tolist()
+    nodes = spark.createDataFrame([(i, *x) for i, x in zip(ids, found.view(np.int64).tolist(), strict=True)], "id long, " + ", ".join(f"p{k} long" for k in range(simhash.PRINTS)))
+    monkeypatch.setattr(simhash, "_dealt", lambda *args, f=simhash._dealt: dealt.append((args[0], f(*args))) or dealt[-1][1])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        for block in (4096, 20):
+            folder = common.work_dir(spark, "test")
+            edges = common.written(simhash.candidates(nodes, folder, block), folder, "found")
+            assert {r.node: r.label for r in simhash.components(edges, folder).collect()} == dict.fromkeys(ids[:400], min(ids[:400]))
+            assert edges.count() < 500
+        rows, out = (x.count() for x in dealt[0])
+        assert out < 1.2 * rows
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_prints_follow_similarity():
     """A bit differs as often as the angle of two sets says, 0.151 at a similarity of 0.8."""
     rng = np.random.default_rng(4)
