@@ -461,8 +461,10 @@ def candidates(nodes: DataFrame, folder: str, block: int = 4096) -> DataFrame:
 
     def spanned(rows: DataFrame) -> DataFrame:
         rows = rows.repartition(parts, F.shiftright("key", 2), "j").sortWithinPartitions("j", "key")
-        # tasks that meet the same group each span it, so what several found is spanned once more
-        return rows.mapInArrow(_near, "a long, b long").repartition(max(parts // 16, 1)).mapInArrow(_merged, "a long, b long")
+        found = rows.mapInArrow(_near, "a long, b long")
+        for lots in (max(parts // 16, 1), max(parts // 256, 1)):  # tasks that meet the same group each span it, so what several found is spanned once more
+            found = found.repartition(lots).mapInArrow(_merged, "a long, b long")
+        return found
 
     nodes = nodes.select("id", *names, F.lit(0).cast("long").alias("label"))
     standing = nodes.select(*names, "label").mapInArrow(stand, "bucket long, label long")
