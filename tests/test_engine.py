@@ -182,6 +182,27 @@ def test_tag_pairs_by_blocks(spark):
     assert plan.index("Generate explode") < plan.index("Join")
 
 
+def test_tag_pairs_by_groups(spark):
+    """Notes travel once for two groups, not with each pair of blocks, and a task has the notes of two groups alone."""
+    sets = [["s", "t", "u"], ["t", "u"], ["s"], ["u", "v", "t", "t"], ["s", "v"], []]
+    rows = [(f"n{i * 7 % 120:03}.md", "", {"tags": sets[i * i % 6]}) for i in range(120)]
+    got = links.shared_tags(notes(spark, *rows), block=3, deal=2)
+    entry = lambda path: f"fragments/{path[:-3]}/index.md"
+    want = [(entry(a), entry(b), len({*x["tags"]} & {*y["tags"]})) for a, _, x in rows for b, _, y in rows if a < b and len({*x["tags"]} & {*y["tags"]}) >= 2]
+    found = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.n_shared) for r in found) == sorted(want)
+    seen = {}
+    for r in found:
+        seen.setdefault(r.task, set()).update((r.a, r.b))
+    assert max(map(len, seen.values())) < len({x for v in seen.values() for x in v}) * 3 / 4
+    todo = [got._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        at = todo.pop()
+        todo += [at.children().apply(i) for i in range(at.children().size())]
+        if at.nodeName().startswith("Repartition"):
+            assert [at.output().apply(i).dataType().typeName() for i in range(at.output().size())].count("array") <= 1
+
+
 def test_tags_and_directories(spark):
     n = notes(spark, ("a/b/x.md", "## h", {"tags": ["p/q"]}), ("a/y.md", "", {"tags": ["p"]}), ("z.md", ""))
     assert {(r.tag, r.n_notes) for r in indexes.tag_counts(n).collect()} == {("p", 2), ("p/q", 1)}
